@@ -20,6 +20,12 @@ def percent_label(col: str | Column, digits: int = 1) -> Column:
     return F.concat(grouped(col, digits), F.lit("%"))
 
 
+def in_order(df: DataFrame, ordered: bool, *keys: str | Column) -> DataFrame:
+    """The display order, if wanted. At product, customer or order grain a total order costs
+    another shuffle and a second run of the last stage, which samples the key ranges."""
+    return df.orderBy(*keys) if ordered else df
+
+
 def text_or(col: Column, missing: str) -> Column:
     """The value as text, or ``missing`` for NULL."""
     return F.coalesce(col.cast("string"), F.lit(missing))

@@ -1,4 +1,8 @@
-"""Every report over the supplied tables, by name."""
+"""Every report over the supplied tables, by name.
+
+Reports at the grain of a dimension come in display order; those at product, customer or
+order grain come unordered, since whoever writes them out needs no total order.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +16,10 @@ from wareflow.functions import present, rules
 from wareflow.operators import clean, quality
 from wareflow.operators.rollups import lines_of, product_sales, with_status
 from wareflow.operators.whatif import reallocate
+from wareflow.session import prepare
 from wareflow.plans import customers, delivery, inventory, stock, territory, warehouse
 from wareflow.sources import supplied
-from wareflow.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS
+from wareflow.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, TABLES
 from wareflow.sources.supplied import Supplied
 
 UNSOLD_SINCE = "2001-06-01"  # few enough orders that many products have none
@@ -33,9 +38,9 @@ COUNTRY_REGIONS = {
 SUPPLIED_REASONS = (supplied.REASONS, supplied.REASON_BLANK, supplied.REASON_OTHER)
 
 
-def model_table(t: Supplied, name: str) -> DataFrame:
-    """A table of the data model by its name in the schema."""
-    return t.lines() if name == "orderdetails" else getattr(t, name)()
+def model_tables(t: Supplied) -> dict[str, DataFrame]:
+    """All tables of the data model by their names in the schema."""
+    return {n: t.lines() if n == "orderdetails" else getattr(t, n)() for n in TABLES}
 
 
 # --- cleaning and quality -------------------------------------------------------------
@@ -57,13 +62,14 @@ def duplicate_keys(t: Supplied) -> DataFrame:
 
 
 def key_audit(t: Supplied) -> DataFrame:
-    return quality.key_audit({n: (model_table(t, n), k) for n, k in PRIMARY_KEYS.items()})
+    return quality.key_audit({n: (df, PRIMARY_KEYS[n]) for n, df in model_tables(t).items()})
 
 
 def orphan_audit(t: Supplied) -> DataFrame:
+    tables = model_tables(t)
     return quality.orphan_audit(
         [
-            (f"{child}.{col}", model_table(t, child), col, model_table(t, parent), parent_col)
+            (f"{child}.{col}", tables[child], col, tables[parent], parent_col)
             for child, col, parent, parent_col in FOREIGN_KEYS
         ]
     )
@@ -151,9 +157,11 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
     # territories
     "territory_sales_share": lambda t: territory.territory_sales_share(*sales_chain(t)),
     "territory_line_rank": lambda t: territory.territory_line_rank(*sales_chain(t), t.products()),
-    "regional_price_gap": lambda t: territory.regional_price_gap(*sales_chain(t), t.products()),
+    "regional_price_gap": lambda t: territory.regional_price_gap(
+        *sales_chain(t), t.products(), ordered=False
+    ),
     "regional_price_gap_corrected": lambda t: territory.regional_price_gap(
-        *sales_chain(t), t.products(), corrected=True
+        *sales_chain(t), t.products(), corrected=True, ordered=False
     ),
     "warehouse_to_territory": lambda t: territory.warehouse_to_territory(
         *sales_chain(t), t.products(), t.warehouses()
@@ -167,7 +175,8 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
         t.customers(), t.orders(), COUNTRY_REGIONS
     ),
     "customer_friction": lambda t: customers.customer_friction(
-        t.customers(), t.orders(comments=True), t.employees(), supplied.ALLOW, supplied.PROBLEM
+        t.customers(), t.orders(comments=True), t.employees(), supplied.ALLOW, supplied.PROBLEM,
+        ordered=False,
     ),
     "customer_friction_since": lambda t: customers.customer_friction(
         t.customers(),
@@ -175,6 +184,7 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
         t.employees(),
         supplied.ALLOW,
         supplied.PROBLEM,
+        ordered=False,
     ),
     "customer_comments": lambda t: customers.customer_comments(t.orders(comments=True)),
     "order_status_share": lambda t: customers.order_status_share(t.orders()),
@@ -187,6 +197,7 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
         rules=supplied.REASONS,
         blank=supplied.REASON_BLANK,
         other=supplied.REASON_OTHER,
+        ordered=False,
     ),
     "disputed_products": lambda t: customers.products_in_orders(
         t.lines(), t.products(), customers.largest_orders(t.lines(), disputed(t), 5)
@@ -221,24 +232,29 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
         rules=supplied.REASONS,
         blank=supplied.REASON_BLANK,
         other=supplied.REASON_OTHER,
+        ordered=False,
     ),
     # inventory and stock
     "line_stock_vs_sales": lambda t: inventory.line_stock_vs_sales(
         t.lines(), t.orders(), t.products(), t.warehouses()
     ),
-    "product_revenue": lambda t: inventory.product_revenue(*goods(t)),
-    "product_revenue_since": lambda t: inventory.product_revenue(*goods(t, UNSOLD_SINCE)),
+    "product_revenue": lambda t: inventory.product_revenue(*goods(t), ordered=False),
+    "product_revenue_since": lambda t: inventory.product_revenue(
+        *goods(t, UNSOLD_SINCE), ordered=False
+    ),
     "product_revenue_corrected": lambda t: inventory.product_revenue(
-        *goods_and_orders(t), corrected=True
+        *goods_and_orders(t), corrected=True, ordered=False
     ),
     "top_bottom_products": lambda t: inventory.top_bottom_products(*goods(t)),
     "top_bottom_products_corrected": lambda t: inventory.top_bottom_products(
         *goods_and_orders(t), drop=["Cancelled"]
     ),
-    "stock_health": lambda t: stock.stock_health(*goods_and_orders(t)),
-    "stock_health_since": lambda t: stock.stock_health(*goods_and_orders(t, UNSOLD_SINCE)),
+    "stock_health": lambda t: stock.stock_health(*goods_and_orders(t), ordered=False),
+    "stock_health_since": lambda t: stock.stock_health(
+        *goods_and_orders(t, UNSOLD_SINCE), ordered=False
+    ),
     "stock_health_corrected": lambda t: stock.stock_health(
-        *goods_and_orders(t, UNSOLD_SINCE), corrected=True
+        *goods_and_orders(t, UNSOLD_SINCE), corrected=True, ordered=False
     ),
     "warehouse_health_pct": lambda t: stock.warehouse_health_pct(*goods(t)),
     "warehouse_health_pct_since": lambda t: stock.warehouse_health_pct(*goods(t, UNSOLD_SINCE)),
@@ -246,14 +262,14 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
     "warehouse_movement_rank_corrected": lambda t: stock.warehouse_movement_rank(
         *goods_and_orders(t), corrected=True
     ),
-    "stock_reduction_plan": lambda t: stock.stock_reduction_plan(*goods_and_orders(t)),
+    "stock_reduction_plan": lambda t: stock.stock_reduction_plan(*goods_and_orders(t), ordered=False),
     "stock_reduction_plan_since": lambda t: stock.stock_reduction_plan(
-        *goods_and_orders(t, UNSOLD_SINCE)
+        *goods_and_orders(t, UNSOLD_SINCE), ordered=False
     ),
-    "restock_plan": lambda t: stock.restock_plan(*goods_and_orders(t)),
-    "overstock_candidates": lambda t: stock.overstock_candidates(*goods_and_orders(t)),
+    "restock_plan": lambda t: stock.restock_plan(*goods_and_orders(t), ordered=False),
+    "overstock_candidates": lambda t: stock.overstock_candidates(*goods_and_orders(t), ordered=False),
     "overstock_candidates_since": lambda t: stock.overstock_candidates(
-        *goods_and_orders(t, UNSOLD_SINCE)
+        *goods_and_orders(t, UNSOLD_SINCE), ordered=False
     ),
     # warehouses
     "warehouse_capacity_rank": lambda t: warehouse.warehouse_capacity_rank(
@@ -285,4 +301,4 @@ def plain_types(df: DataFrame) -> DataFrame:
 
 
 def run(name: str, spark: SparkSession, base: str) -> DataFrame:
-    return plain_types(REPORTS[name](Supplied(spark, base)))
+    return plain_types(REPORTS[name](Supplied(prepare(spark), base)))

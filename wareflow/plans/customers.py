@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wareflow.functions.numbers import percent
+from wareflow.functions.present import in_order
 from wareflow.functions.rules import (
     EXCEPTION_BLANK,
     EXCEPTION_OTHER,
@@ -68,6 +69,7 @@ def customer_friction(
     employees: DataFrame,
     allow: str = FRICTION_ALLOW,
     problem: str = FRICTION_PROBLEM,
+    ordered: bool = True,
 ) -> DataFrame:
     """Per customer: orders, flagged orders, status class and number of distinct comments.
 
@@ -95,7 +97,7 @@ def customer_friction(
         "customerNumber", "customerName", "country", "salesRepEmployeeNumber"
     ).join(per_customer, "customerNumber", "left")
     n_orders, flags = (F.coalesce(c, F.lit(0)) for c in ("n_orders", "flags"))
-    return (
+    rows = (
         left_join_spread(
             rolled, reps, "salesRepEmployeeNumber", "employeeNumber", ["customerNumber"]
         )
@@ -114,8 +116,8 @@ def customer_friction(
             ),
             F.coalesce("distinct_comments", F.lit(0)).alias("distinct_comments"),
         )
-        .orderBy(F.desc("client_status"), "country", F.desc("total_orders"), "customer_number")
     )
+    return in_order(rows, ordered, F.desc("client_status"), "country", F.desc("total_orders"), "customer_number")
 
 
 def customer_comments(orders: DataFrame) -> DataFrame:
@@ -145,6 +147,7 @@ def order_exceptions(
     rules: Rules = EXCEPTION_RULES,
     blank: str = EXCEPTION_BLANK,
     other: str = EXCEPTION_OTHER,
+    ordered: bool = True,
 ) -> DataFrame:
     """Each order in one of ``statuses``: its product lines and warehouses, the units lost to
     cancellation, and the reason its comment gives. Orders without lines stay."""
@@ -157,7 +160,7 @@ def order_exceptions(
         F.sum("quantityOrdered").alias("units"),
         how="left",
     )
-    return (
+    rows = (
         orders.filter(text_in("status", statuses))
         .select(
             "orderNumber",
@@ -179,8 +182,8 @@ def order_exceptions(
             "status",
             "reason",
         )
-        .orderBy("reason", "order_number")
     )
+    return in_order(rows, ordered, "reason", "order_number")
 
 
 def products_in_orders(

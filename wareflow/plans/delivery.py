@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wareflow.functions.numbers import ratio, rounded
-from wareflow.functions.present import text_or
+from wareflow.functions.present import in_order, text_or
 from wareflow.functions.rules import DELAY_BLANK, DELAY_OTHER, DELAY_RULES, Rules, keyword_label
 from wareflow.functions.text import distinct_list, label
 from wareflow.operators.rollups import order_footprint
@@ -96,12 +96,13 @@ def slowest_orders(
     rules: Rules = DELAY_RULES,
     blank: str = DELAY_BLANK,
     other: str = DELAY_OTHER,
+    ordered: bool = True,
 ) -> DataFrame:
     """Shipped orders, slowest first: days to ship, warehouses and what the comment says."""
     footprint = order_footprint(
         lines, products, warehouses, distinct_list("warehouseName").alias("affected_warehouses")
     )
-    return (
+    rows = (
         _shipped(orders)
         .select(
             "orderNumber",
@@ -122,8 +123,8 @@ def slowest_orders(
             "affected_warehouses",
             "reason",
         )
-        .orderBy(F.desc("ship_days"), "order_number")
     )
+    return in_order(rows, ordered, F.desc("ship_days"), "order_number")
 
 
 def slowest_order_number(orders: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wareflow.functions.numbers import percent, ratio, rounded, std_error
-from wareflow.functions.present import text_or
+from wareflow.functions.present import in_order, text_or
 from wareflow.operators.rollups import (
     lines_of,
     located_products,
@@ -77,6 +77,7 @@ def product_revenue(
     orders: DataFrame | None = None,
     corrected: bool = False,
     drop: Sequence[str] = ("Cancelled",),
+    ordered: bool = True,
 ) -> DataFrame:
     """Every product with units, orders, revenue and revenue per unit, smallest revenue first.
 
@@ -91,7 +92,7 @@ def product_revenue(
         F.sum(revenue()).alias("revenue"),
     )
     per_unit = rounded(ratio(F.col("revenue"), F.col("units")), 2)
-    return (
+    rows = (
         located_products(products, warehouses)
         .join(sold, "productCode", "left")
         .select(
@@ -104,8 +105,8 @@ def product_revenue(
             F.coalesce("revenue", F.lit(0)).alias("total_revenue"),
             F.coalesce(per_unit, F.lit(0)).alias("average_revenue_per_unit"),
         )
-        .orderBy("total_revenue", "product_code")
     )
+    return in_order(rows, ordered, "total_revenue", "product_code")
 
 
 def top_bottom_products(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wareflow.functions.numbers import exact, percent
+from wareflow.functions.present import in_order
 from wareflow.functions.text import contains_any
 from wareflow.operators.rollups import (
     lines_of,
@@ -48,17 +49,18 @@ def stock_health(
     drop: Sequence[str] = NOT_SOLD_STOCK,
     scale: HealthScale = ITEM_SCALE,
     corrected: bool = False,
+    ordered: bool = True,
 ) -> DataFrame:
     """Every product with its health class and the capital its stock ties up. As written a
     product without any counted line is left out; ``corrected`` keeps unsold products."""
-    return (
+    rows = (
         stock_position(products, warehouses, lines, orders, drop, corrected, scale)
         .select(
             *_item_columns(),
             (F.col("quantityInStock") * F.col("buyPrice")).alias("capital_tied_up"),
         )
-        .orderBy("total_units_sold", "product_code")
     )
+    return in_order(rows, ordered, "total_units_sold", "product_code")
 
 
 def warehouse_health_pct(
@@ -139,6 +141,7 @@ def stock_reduction_plan(
     places: Sequence[str] = ("East", "West"),
     drop: Sequence[str] = NOT_SOLD_STOCK,
     scale: HealthScale = ITEM_SCALE,
+    ordered: bool = True,
 ) -> DataFrame:
     """Overstocked and dead products of some warehouses: units to cut and stock that remains.
 
@@ -149,7 +152,7 @@ def stock_reduction_plan(
     items = stock_position(products, chosen, lines, orders, drop, True, scale)
     stock = F.col("quantityInStock")
     cut = F.when(F.col("units") == 0, stock).otherwise(F.floor(stock * exact(rate)))
-    return (
+    rows = (
         items.filter(F.col("health").isin(scale.overstock, scale.dead))
         .withColumn("cut", cut.cast("bigint"))
         .select(
@@ -157,8 +160,8 @@ def stock_reduction_plan(
             F.col("cut").alias("target_reduction_units"),
             (stock - F.col("cut")).alias("remaining_stock"),
         )
-        .orderBy("total_units_sold", F.desc("current_stock"), "product_code")
     )
+    return in_order(rows, ordered, "total_units_sold", F.desc("current_stock"), "product_code")
 
 
 def overstock_candidates(*tables: DataFrame, **options) -> DataFrame:
@@ -174,12 +177,13 @@ def restock_plan(
     target: float = 2,
     drop: Sequence[str] = NOT_SOLD_STOCK,
     scale: HealthScale = ITEM_SCALE,
+    ordered: bool = True,
 ) -> DataFrame:
     """Understocked products: stock to aim for, units to buy and what they cost."""
     items = stock_position(products, warehouses, lines, orders, drop, True, scale)
     aim = F.ceil(F.col("units") * exact(target)).cast("bigint")
     missing = F.greatest(F.col("aim") - F.col("quantityInStock"), F.lit(0))
-    return (
+    rows = (
         items.filter(F.col("health") == scale.restock)
         .withColumn("aim", aim)
         .withColumn("missing", missing)
@@ -189,5 +193,5 @@ def restock_plan(
             F.col("missing").alias("required_restock_units"),
             (F.col("missing") * F.col("buyPrice")).alias("procurement_cost"),
         )
-        .orderBy(F.desc("required_restock_units"), "product_code")
     )
+    return in_order(rows, ordered, F.desc("required_restock_units"), "product_code")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wareflow.functions.numbers import percent, rounded
+from wareflow.functions.present import in_order
 from wareflow.operators.rollups import (
     customer_territory,
     lines_of,
@@ -105,6 +106,7 @@ def regional_price_gap(
     products: DataFrame,
     territories: Sequence[str] = TERRITORIES,
     corrected: bool = False,
+    ordered: bool = True,
 ) -> DataFrame:
     """Per product: average price, deviation and standard error in each territory, and the
     widest difference between territory averages. ``corrected`` leaves that difference NULL
@@ -114,7 +116,7 @@ def regional_price_gap(
     stats = pivot_stats(priced, ["productCode"], "territory", territories, "priceEach")
     names = [t.lower() for t in territories]
     gap = spread_of([f"avg_{t}" for t in names], as_written=not corrected)
-    return (
+    rows = (
         stats.join(products.select("productCode", "productName", "productLine"), "productCode")
         .select(
             F.col("productCode").alias("product_code"),
@@ -125,8 +127,8 @@ def regional_price_gap(
             *rounded_cols({f"std_error_{t}": f"err_{t}" for t in names}),
             rounded(gap, 2).alias("max_price_difference"),
         )
-        .orderBy(F.desc("max_price_difference"), "product_code")
     )
+    return in_order(rows, ordered, F.desc("max_price_difference"), "product_code")
 
 
 def warehouse_to_territory(

@@ -7,6 +7,18 @@ import os
 from pyspark.sql import SparkSession
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The adaptive settings the plans rely on, for any session.
+
+    A key that holds a large part of the rows is split at run time, also where the next
+    step could have used the join's partitioning and needs one more shuffle for it.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return spark
+
+
 def local_session(name: str = "wareflow", cpus: int | None = None, **conf: str) -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     builder = (

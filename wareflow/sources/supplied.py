@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wareflow.operators.clean import override
 
@@ -30,13 +31,27 @@ def _lookup(col: Column, pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])[col]
 
 
+# Schema of each file read so far: a footer is read once, not once per report.
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _money(col: str, precision: int) -> Column:
+    """A double that holds whole cents, as an exact decimal. Goes through the integer number
+    of cents; casting a double to a decimal prints and parses every value."""
+    cents = F.rint(F.col(col) * 100).cast("bigint").cast(f"decimal({precision},0)")
+    return (cents * F.expr("0.01BD")).cast(f"decimal({precision},2)")
+
+
 class Supplied:
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base
 
     def scan(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/{name}.parquet")
+        path = f"{self.base}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def warehouses(self) -> DataFrame:
         return self.spark.sql(
@@ -52,7 +67,7 @@ class Supplied:
             F.col("p_type").alias("productLine"),
             (F.col("p_size") * 80).alias("quantityInStock"),
             _lookup(F.col("p_type"), HOME).alias("warehouseCode"),
-            F.col("p_retailprice").cast("decimal(10,2)").alias("buyPrice"),
+            _money("p_retailprice", 10).alias("buyPrice"),
         )
 
     def productlines(self) -> DataFrame:
@@ -165,7 +180,7 @@ class Supplied:
             F.col("l_orderkey").alias("orderNumber"),
             F.col("l_partkey").alias("productCode"),
             F.col("l_quantity").cast("int").alias("quantityOrdered"),
-            F.col("l_extendedprice").cast("decimal(12,2)").alias("priceEach"),
+            _money("l_extendedprice", 12).alias("priceEach"),
             F.col("l_linenumber").alias("orderLineNumber"),
         )
 
