@@ -1,0 +1,100 @@
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import SMALL
+from wareflow.operators.clean import normalize_dates
+from wareflow.operators.rollups import lines_of
+from wareflow.sources import readers, sinks
+from wareflow.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, TABLES, schema_of
+from wareflow.sources.supplied import Supplied
+
+
+def test_schemas_name_their_keys():
+    for table, keys in PRIMARY_KEYS.items():
+        assert set(keys) <= set(schema_of(table).fieldNames())
+    for child, column, parent, parent_column in FOREIGN_KEYS:
+        assert column in schema_of(child).fieldNames()
+        assert (parent_column,) == PRIMARY_KEYS[parent]
+    assert len(TABLES) == 9
+
+
+def test_parquet_round_trip_pushes_filters_and_columns(spark, model, tmp_path):
+    sinks.write_table(model["lines"], f"{tmp_path}/orderdetails")
+    df = readers.load(spark, str(tmp_path), ["orderdetails"])["orderdetails"]
+    assert df.schema == schema_of("orderdetails")
+    assert sorted(df.collect()) == sorted(model["lines"].collect())
+    plan = df.filter("quantityOrdered > 50").select("productCode")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(quantityOrdered,50)" in plan
+    assert "ReadSchema: struct<productCode:string,quantityOrdered:int>" in plan
+
+
+def test_a_table_is_not_written_over_itself(spark, model, tmp_path):
+    path = f"{tmp_path}/orders"
+    sinks.write_table(model["orders"], path)
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_table(model["orders"], path)
+
+
+def test_partitioned_table_is_pruned(spark, model, tmp_path):
+    by_month = model["orders"].withColumn("month", F.date_format("orderDate", "yyyy-MM"))
+    sinks.write_table(by_month, f"{tmp_path}/orders", ("month",))
+    df = spark.read.parquet(f"{tmp_path}/orders").filter("month = '2004-02'")
+    assert df.count() == 3
+    assert "PartitionFilters: [isnotnull(month" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_csv_is_typed_and_dates_may_be_text(spark, tmp_path):
+    (tmp_path / "orders").mkdir()
+    (tmp_path / "orders" / "part.csv").write_text(
+        "orderNumber,orderDate,requiredDate,shippedDate,status,comments,customerNumber\n"
+        '1,31-01-2004,2004-02-10,NULL,Shipped,"two\nlines, ""quoted""",7\n'
+    )
+    raw = readers.read_csv(spark, str(tmp_path), "orders", text_dates=True)
+    row = normalize_dates(raw, ["orderDate", "requiredDate", "shippedDate"]).first()
+    assert str(row.orderDate) == "2004-01-31" and str(row.requiredDate) == "2004-02-10"
+    assert row.shippedDate is None and row.comments == 'two\nlines, "quoted"' and row.customerNumber == 7
+
+
+def test_csv_that_does_not_fit_fails(spark, tmp_path):
+    (tmp_path / "warehouses").mkdir()
+    (tmp_path / "payments").mkdir()
+    (tmp_path / "payments" / "part.csv").write_text(
+        "customerNumber,checkNumber,paymentDate,amount\nx,C1,2004-01-01,1.00\n")
+    with pytest.raises(Exception, match="MALFORMED|Malformed|FAILFAST"):
+        readers.read_csv(spark, str(tmp_path), "payments").collect()
+
+
+def test_jdbc_scan_is_split_by_ranges():
+    options = readers.jdbc_options("jdbc:x", "orderdetails", "orderNumber", (1, 1000), 8)
+    assert options["numPartitions"] == "8" and options["partitionColumn"] == "orderNumber"
+    assert "partitionColumn" not in readers.jdbc_options("jdbc:x", "offices")
+    with pytest.raises(ValueError):
+        readers.jdbc_options("jdbc:x", "orderdetails", "orderNumber")
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, model):
+    spark.sql("CREATE DATABASE IF NOT EXISTS bucketed")
+    sinks.write_bucketed(model["lines"], "bucketed.lines_b", "orderNumber", 4)
+    sinks.write_bucketed(model["orders"], "bucketed.orders_b", "orderNumber", 4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    joined = lines_of(spark.table("bucketed.lines_b"), spark.table("bucketed.orders_b"), "status")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert joined.count() == model["lines"].count()
+
+
+def test_report_sink(spark, tmp_path, model):
+    sinks.write_report(model["products"], f"{tmp_path}/report")
+    sinks.write_report(model["products"], f"{tmp_path}/report")
+    assert spark.read.parquet(f"{tmp_path}/report").count() == 7
+
+
+def test_supplied_prices_equal_a_plain_cast(spark):
+    t = Supplied(spark, SMALL)
+    plain = t.scan("lineitem").agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)"))).first()[0]
+    assert t.lines().agg(F.sum("priceEach")).first()[0] == plain
+    assert isinstance(plain, Decimal)
