@@ -105,12 +105,15 @@ def left_join_spread(
     """Left join on a nullable key without gathering the NULL rows in one task.
 
     Rows without a key match nothing, yet an equi-join would hash them all to the same
-    place. A second key, constant on the right and on rows with a key, carries the hash of
-    ``spread`` on rows without one.
+    place. A second join key spreads them: the hash of the key on both sides, and the hash
+    of ``spread`` on left rows without a key. It is derived from the data on both sides
+    because a constant would be folded away and no longer take part in the shuffle.
     """
-    salt = F.when(F.col(left_key).isNull(), F.xxhash64(*spread)).otherwise(F.lit(0))
-    left = left.withColumn("_salt", salt)
-    right = right.withColumn("_one", F.lit(0).cast("bigint"))
-    return left.join(
-        right, (F.col(left_key) == F.col(right_key)) & (F.col("_salt") == F.col("_one")), "left"
-    ).drop("_salt", "_one")
+    def hashed(*cols: str) -> Column:
+        return F.xxhash64(*[F.col(c).cast("string") for c in cols])
+
+    place = F.when(F.col(left_key).isNull(), hashed(*spread)).otherwise(hashed(left_key))
+    left = left.withColumn("_left_place", place)
+    right = right.withColumn("_right_place", hashed(right_key))
+    same = (F.col(left_key) == F.col(right_key)) & (F.col("_left_place") == F.col("_right_place"))
+    return left.join(right, same, "left").drop("_left_place", "_right_place")
