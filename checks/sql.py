@@ -266,6 +266,7 @@ ORACLE["order_status_share"] = _q("""
 SELECT status AS order_status, count(*) AS total_orders,
        {share} AS pct_of_total FROM ord GROUP BY status""",
     share=_pct("count(*)", "(SELECT count(*) FROM ord)"))
+ORACLE["folded_status_share"] = ORACLE["order_status_share"]
 ORACLE["order_exceptions"] = _q("""
 SELECT no AS order_number, cno AS customer_number, country,
        string_agg(DISTINCT line, ', ' ORDER BY line) AS affected_product_lines,
@@ -550,4 +551,11 @@ FROM wh LEFT JOIN g ON target = code WHERE code <> '{closed}'""")
 ORACLE["whatif_close_south"] = _closure({"SMALL": "a", "LARGE": "c"}, "d")
 ORACLE["whatif_close_west"] = _closure({"MEDIUM": "b"}, "c")
 ORACLE["whatif_close_west_reduced"] = _closure({"MEDIUM": "b"}, "c", {"b": "0.81", "c": "0.81"})
+ORACLE["whatif_close_west_reduced_shown"] = f"""
+SELECT warehouse_code, simulated_warehouse, product_lines,
+       format('{{:,.0f}}', simulated_stock) AS simulated_stock,
+       format('{{:,.2f}}', simulated_capital) AS simulated_capital,
+       format('{{:,.2f}}', simulated_revenue) AS simulated_revenue,
+       format('{{:.1f}}%', simulated_capacity_pct) AS simulated_capacity_pct
+FROM ({ORACLE["whatif_close_west_reduced"]}) AS r"""
 ORACLE["reallocate"] = _closure({"ECONOMY": "c", "MEDIUM": "b"}, kept={"d": "0.9"})

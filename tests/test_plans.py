@@ -27,25 +27,26 @@ def test_no_cross_join_no_forced_broadcast_no_python(plan, name):
         assert operator not in text
 
 
+def ancestors_of_scans(text):
+    """For every file scan in a plan, the operators above it, outermost first."""
+    stack = []
+    for line in text.splitlines():
+        start = re.search(r"[A-Z]", line)
+        if not start:
+            continue
+        stack = [(d, op) for d, op in stack if d < start.start()]
+        stack.append((start.start(), line[start.start() :]))
+        if stack[-1][1].startswith("FileScan"):
+            yield [op for _, op in stack]
+
+
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_one_task_only_sees_grouped_rows(plan, name):
-    """Below every exchange to a single partition there is an aggregate."""
-    lines = plan(name).splitlines()
-    for i, line in enumerate(lines):
-        if "Exchange SinglePartition" in line:
-            depth = re.search(r"[A-Z]", line).start()
-            below = []
-            for later in lines[i + 1 :]:
-                if re.search(r"[A-Z]", later).start() <= depth:
-                    break
-                below.append(later)
-            upto_shuffle = []
-            for later in below:
-                upto_shuffle.append(later)
-                if "Aggregate" in later or "Exchange" in later:
-                    break
-            assert any("Aggregate" in x for x in below), line
-            assert any("Aggregate" in x for x in upto_shuffle) or "hashpartitioning" in upto_shuffle[-1]
+    """Rows of a file reach a single-partition exchange through an aggregate only."""
+    for path in ancestors_of_scans(plan(name)):
+        for i, operator in enumerate(path):
+            if operator.startswith("Exchange SinglePartition"):
+                assert any("Aggregate" in below for below in path[i + 1 :]), path
 
 
 @pytest.mark.parametrize(

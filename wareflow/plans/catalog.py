@@ -35,6 +35,8 @@ COUNTRY_REGIONS = {
     "APAC": [f"NATION_{i}" for i in range(25) if i % 5 == 2],
     "EMEA": [f"NATION_{i}" for i in range(1, 25) if i % 5 in (0, 3, 4)],
 }
+# The order statuses in their canonical spelling.
+STATUSES = ("Shipped", "Cancelled", "In Process", "Resolved", "On Hold", "Disputed")
 SUPPLIED_REASONS = (supplied.REASONS, supplied.REASON_BLANK, supplied.REASON_OTHER)
 
 
@@ -51,6 +53,12 @@ def normalize_dates(t: Supplied, whole_row: bool = False) -> DataFrame:
     )
 
 
+def folded_status_share(t: Supplied) -> DataFrame:
+    """Statuses typed in any case, with trailing blanks, counted under one spelling each."""
+    folded = clean.fold_text(t.orders_with_typed_status(), {"status": STATUSES})
+    return customers.order_status_share(folded)
+
+
 def duplicate_keys(t: Supplied) -> DataFrame:
     return quality.duplicate_keys(
         {
@@ -120,10 +128,20 @@ def warehouse_baseline_shown(t: Supplied) -> DataFrame:
     )
 
 
+def whatif_shown(t: Supplied) -> DataFrame:
+    return present.report(
+        warehouse.whatif_closure(*goods_and_orders(t), **CLOSE_WEST, retention=KEPT),
+        money=["simulated_capital", "simulated_revenue"],
+        counts=["simulated_stock"],
+        percents=["simulated_capacity_pct"],
+    )
+
+
 REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
     # cleaning and quality
     "normalize_dates": normalize_dates,
     "normalize_dates_whole_row": lambda t: normalize_dates(t, whole_row=True),
+    "folded_status_share": folded_status_share,
     "duplicate_keys": duplicate_keys,
     "null_audit_payments": lambda t: quality.null_audit(
         t.payments(),
@@ -180,7 +198,7 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
     ),
     "customer_friction_since": lambda t: customers.customer_friction(
         t.customers(),
-        t.orders(comments=True).filter(F.col("orderDate") >= F.lit(INACTIVE_SINCE).cast("date")),
+        t.orders(comments=True).filter(f"orderDate >= DATE'{INACTIVE_SINCE}'"),
         t.employees(),
         supplied.ALLOW,
         supplied.PROBLEM,
@@ -283,6 +301,7 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
     "whatif_close_west_reduced": lambda t: warehouse.whatif_closure(
         *goods_and_orders(t), **CLOSE_WEST, retention=KEPT
     ),
+    "whatif_close_west_reduced_shown": whatif_shown,
     "reallocate": reallocate_any,
 }
 

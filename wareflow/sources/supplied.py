@@ -6,7 +6,7 @@ filters and column selection reach the scan, and what a report does not read is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,19 +27,29 @@ HOME = {
 }
 
 
-def _lookup(col: Column, pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])[col]
-
-
 # Schema of each file read so far: a footer is read once, not once per report.
 _SCHEMAS: dict[str, StructType] = {}
 
+STATUS = """CASE o_orderstatus
+    WHEN 'F' THEN 'Shipped'
+    WHEN 'O' THEN IF(o_orderpriority = '5-LOW', 'On Hold', 'In Process')
+    ELSE CASE o_orderpriority
+        WHEN '1-URGENT' THEN 'Disputed'
+        WHEN '2-HIGH' THEN 'Cancelled'
+        WHEN '3-MEDIUM' THEN 'Resolved'
+        ELSE 'Shipped' END
+    END"""
 
-def _money(col: str, precision: int) -> Column:
+
+def _money(col: str, precision: int) -> str:
     """A double that holds whole cents, as an exact decimal. Goes through the integer number
     of cents; casting a double to a decimal prints and parses every value."""
-    cents = F.rint(F.col(col) * 100).cast("bigint").cast(f"decimal({precision},0)")
-    return (cents * F.expr("0.01BD")).cast(f"decimal({precision},2)")
+    cents = f"CAST(CAST(RINT({col} * 100) AS BIGINT) AS DECIMAL({precision}, 0))"
+    return f"CAST({cents} * 0.01BD AS DECIMAL({precision}, 2))"
+
+
+def _map(pairs: dict[str, str], key: str) -> str:
+    return "MAP(" + ", ".join(f"'{k}', '{v}'" for k, v in pairs.items()) + f")[{key}]"
 
 
 class Supplied:
@@ -61,61 +71,51 @@ class Supplied:
         )
 
     def products(self) -> DataFrame:
-        return self.scan("part").select(
-            F.col("p_partkey").alias("productCode"),
-            F.col("p_name").alias("productName"),
-            F.col("p_type").alias("productLine"),
-            (F.col("p_size") * 80).alias("quantityInStock"),
-            _lookup(F.col("p_type"), HOME).alias("warehouseCode"),
-            _money("p_retailprice", 10).alias("buyPrice"),
+        return self.scan("part").selectExpr(
+            "p_partkey AS productCode",
+            "p_name AS productName",
+            "p_type AS productLine",
+            "p_size * 80 AS quantityInStock",
+            f"{_map(HOME, 'p_type')} AS warehouseCode",
+            f"{_money('p_retailprice', 10)} AS buyPrice",
         )
 
     def productlines(self) -> DataFrame:
-        return self.scan("part").select(F.col("p_type").alias("productLine")).distinct()
+        return self.scan("part").selectExpr("p_type AS productLine").distinct()
 
     def offices(self, cleaned: bool = True) -> DataFrame:
-        territory = (
-            F.when(F.col("n_name") == JAPAN, "Japan")
-            .when(F.col("r_name") == "AMERICA", "NA")
-            .when(F.col("r_name") == "ASIA", "APAC")
-            .otherwise("EMEA")
-        )
-        raw = (
-            self.scan("nation")
-            .join(self.scan("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(
-                F.col("n_nationkey").cast("string").alias("officeCode"),
-                F.col("n_name").alias("city"),
-                F.col("n_name").alias("country"),
-                territory.alias("territory"),
-            )
+        region = self.scan("region").withColumnRenamed("r_regionkey", "n_regionkey")
+        raw = self.scan("nation").join(region, "n_regionkey").selectExpr(
+            "CAST(n_nationkey AS STRING) AS officeCode",
+            "n_name AS city",
+            "n_name AS country",
+            f"CASE WHEN n_name = '{JAPAN}' THEN 'Japan' WHEN r_name = 'AMERICA' THEN 'NA' "
+            "WHEN r_name = 'ASIA' THEN 'APAC' ELSE 'EMEA' END AS territory",
         )
         return override(raw, "territory", [("country", JAPAN, "APAC")]) if cleaned else raw
 
     def employees(self) -> DataFrame:
-        name = F.split("s_name", "#")
-        return self.scan("supplier").select(
-            F.col("s_suppkey").alias("employeeNumber"),
-            name[1].alias("lastName"),
-            name[0].alias("firstName"),
-            F.col("s_nationkey").cast("string").alias("officeCode"),
-            F.when(F.col("s_suppkey") > 0, F.floor(F.col("s_suppkey") / 10)).alias("reportsTo"),
+        return self.scan("supplier").selectExpr(
+            "s_suppkey AS employeeNumber",
+            "split_part(s_name, '#', 2) AS lastName",
+            "split_part(s_name, '#', 1) AS firstName",
+            "CAST(s_nationkey AS STRING) AS officeCode",
+            "IF(s_suppkey > 0, s_suppkey DIV 10, NULL) AS reportsTo",
         )
 
     def customers(self) -> DataFrame:
         reps = self.scan("supplier").agg(F.count(F.lit(1))).scalar()
-        nation = self.scan("nation").select("n_nationkey", "n_name")
+        nation = self.scan("nation").selectExpr("n_nationkey AS c_nationkey", "n_name")
         return (
             self.scan("customer")
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-            .select(
-                F.col("c_custkey").alias("customerNumber"),
-                F.col("c_name").alias("customerName"),
-                F.col("n_name").alias("city"),
-                F.col("n_name").alias("country"),
-                F.when(F.col("c_acctbal") >= 0, F.col("c_custkey") % reps).alias(
-                    "salesRepEmployeeNumber"
-                ),
+            .withColumn("reps", reps)
+            .join(nation, "c_nationkey", "left")
+            .selectExpr(
+                "c_custkey AS customerNumber",
+                "c_name AS customerName",
+                "n_name AS city",
+                "n_name AS country",
+                "IF(c_acctbal >= 0, c_custkey % reps, NULL) AS salesRepEmployeeNumber",
             )
         )
 
@@ -127,61 +127,53 @@ class Supplied:
         still has no more dates than the calendar, and the join that follows moves no lines.
         Comments cost a join with the documents, so they come on request.
         """
-        status = (
-            F.when(F.col("o_orderstatus") == "F", "Shipped")
-            .when(
-                F.col("o_orderstatus") == "O",
-                F.when(F.col("o_orderpriority") == "5-LOW", "On Hold").otherwise("In Process"),
-            )
-            .when(F.col("o_orderpriority") == "1-URGENT", "Disputed")
-            .when(F.col("o_orderpriority") == "2-HIGH", "Cancelled")
-            .when(F.col("o_orderpriority") == "3-MEDIUM", "Resolved")
-            .otherwise("Shipped")
-        )
-        headers = self.scan("orders").select(
-            F.col("o_orderkey").alias("orderNumber"),
-            F.col("o_custkey").alias("customerNumber"),
-            F.col("o_orderdate").cast("date").alias("orderDate"),
-            status.alias("status"),
+        headers = self.scan("orders").selectExpr(
+            "o_orderkey AS orderNumber",
+            "o_custkey AS customerNumber",
+            "CAST(o_orderdate AS DATE) AS orderDate",
+            f"{STATUS} AS status",
         )
         dates = (
             self.scan("lineitem")
-            .groupBy("l_orderkey")
-            .agg(F.collect_set(F.col("l_shipdate").cast("date")).alias("line_dates"))
+            .groupBy(F.col("l_orderkey").alias("orderNumber"))
+            .agg(F.expr("collect_set(CAST(l_shipdate AS DATE)) AS line_dates"))
         )
-        shipped = F.array_min(F.filter("line_dates", lambda d: d >= F.col("orderDate")))
-        orders = headers.join(dates, F.col("orderNumber") == F.col("l_orderkey"), "left").select(
+        orders = headers.join(dates, "orderNumber", "left").selectExpr(
             *headers.columns,
-            F.date_add("orderDate", 365).alias("requiredDate"),
-            shipped.alias("shippedDate"),
+            "date_add(orderDate, 365) AS requiredDate",
+            "array_min(filter(line_dates, d -> d >= orderDate)) AS shippedDate",
         )
         if not comments:
             return orders
-        notes = self.scan("documents").select("doc_id", F.col("text").alias("comments"))
-        return orders.join(notes, F.col("orderNumber") == F.col("doc_id"), "left").drop("doc_id")
+        notes = self.scan("documents").selectExpr("doc_id AS orderNumber", "text AS comments")
+        return orders.join(notes, "orderNumber", "left")
 
     def orders_with_text_dates(self) -> DataFrame:
         """Dates as an import leaves them: two formats mixed, some not dates at all."""
-        day_first, iso, key = "dd-MM-yyyy", "yyyy-MM-dd", F.col("o_orderkey")
-        required = F.date_add(F.col("o_orderdate").cast("date"), 365)
-        return self.scan("orders").select(
-            key.alias("orderNumber"),
-            F.when(key % 2 == 0, F.date_format("o_orderdate", day_first))
-            .otherwise(F.date_format("o_orderdate", iso))
-            .alias("orderDate"),
-            F.when(key % 7 == 0, "unknown")
-            .when(key % 3 == 0, F.date_format(required, day_first))
-            .otherwise(F.date_format(required, iso))
-            .alias("requiredDate"),
+        required = "date_add(CAST(o_orderdate AS DATE), 365)"
+        return self.scan("orders").selectExpr(
+            "o_orderkey AS orderNumber",
+            "date_format(o_orderdate, IF(o_orderkey % 2 = 0, 'dd-MM-yyyy', 'yyyy-MM-dd')) AS orderDate",
+            "CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' "
+            f"WHEN o_orderkey % 3 = 0 THEN date_format({required}, 'dd-MM-yyyy') "
+            f"ELSE date_format({required}, 'yyyy-MM-dd') END AS requiredDate",
+        )
+
+    def orders_with_typed_status(self) -> DataFrame:
+        """Statuses as people type them: mixed case, trailing blanks."""
+        return self.scan("orders").selectExpr(
+            "o_orderkey AS orderNumber",
+            f"CASE o_orderkey % 3 WHEN 0 THEN upper({STATUS}) "
+            f"WHEN 1 THEN concat(lower({STATUS}), '  ') ELSE {STATUS} END AS status",
         )
 
     def lines(self) -> DataFrame:
-        return self.scan("lineitem").select(
-            F.col("l_orderkey").alias("orderNumber"),
-            F.col("l_partkey").alias("productCode"),
-            F.col("l_quantity").cast("int").alias("quantityOrdered"),
-            _money("l_extendedprice", 12).alias("priceEach"),
-            F.col("l_linenumber").alias("orderLineNumber"),
+        return self.scan("lineitem").selectExpr(
+            "l_orderkey AS orderNumber",
+            "l_partkey AS productCode",
+            "CAST(l_quantity AS INT) AS quantityOrdered",
+            f"{_money('l_extendedprice', 12)} AS priceEach",
+            "l_linenumber AS orderLineNumber",
         )
 
     def lines_since(self, day: str) -> DataFrame:
@@ -190,16 +182,12 @@ class Supplied:
         return self.lines().join(recent, "orderNumber", "left_semi")
 
     def orders_since(self, day: str) -> DataFrame:
-        return self.orders().filter(F.col("orderDate") >= F.lit(day).cast("date"))
+        return self.orders().filter(f"orderDate >= DATE'{day}'")
 
     def payments(self) -> DataFrame:
-        return (
-            self.scan("events")
-            .filter(F.col("event_type") == "purchase")
-            .select(
-                F.col("user_id").alias("customerNumber"),
-                F.col("event_id").cast("string").alias("checkNumber"),
-                F.col("ts").cast("date").alias("paymentDate"),
-                F.col("value").cast("decimal(10,2)").alias("amount"),
-            )
+        return self.scan("events").filter("event_type = 'purchase'").selectExpr(
+            "user_id AS customerNumber",
+            "CAST(event_id AS STRING) AS checkNumber",
+            "CAST(ts AS DATE) AS paymentDate",
+            "CAST(value AS DECIMAL(10, 2)) AS amount",
         )
