@@ -65,3 +65,9 @@ def test_orphan_audit_ignores_null_references(spark):
     parent = spark.createDataFrame([(1,), (2,)], "id INT")
     row = quality.orphan_audit([("c", child, "ref", parent, "id")]).first()
     assert (row.orphan_rows, row.orphan_values) == (3, 2)
+
+
+def test_other_formats_are_parsed_too(spark):
+    df = spark.createDataFrame([("3 Feb 2004",), ("2004/02/03",), ("x",), ("20040203",)], "a STRING")
+    got = clean.normalize_dates(df, ["a"], ["d MMM yyyy", "yyyy/MM/dd", "yyyyMMdd"]).collect()
+    assert [r.a for r in got] == [date(2004, 2, 3), date(2004, 2, 3), None, date(2004, 2, 3)]

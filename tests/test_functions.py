@@ -88,3 +88,11 @@ def test_region_of_country(spark):
     region = rules.region_of("c", rules.REGIONS, rules.REGION_OTHER)
     df = spark.createDataFrame([("norway  ",), ("USA",), ("Japan",), ("Peru",), (None,)], "c STRING")
     assert [r[0] for r in df.select(region).collect()] == ["EMEA", "NA", "APAC", "Other/Unknown", "Other/Unknown"]
+
+
+@pytest.mark.parametrize("pattern", ["damag|missing", "on hold", "dam.g|miss(ing)?", r"\bmissing\b"])
+def test_words_and_regular_expressions_agree(spark, pattern):
+    texts = ["", "DAMAGED", "is Missing.", "dismissing", "on HOLD", "on\nhold", None, "a" * 9999 + "missing"]
+    df = spark.createDataFrame([(t,) for t in texts], "c STRING")
+    got = df.select(text.matches("c", pattern).alias("a"), F.col("c").rlike(f"(?i){pattern}").alias("b"))
+    assert all(r.a == r.b for r in got.collect())

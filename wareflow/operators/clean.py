@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -15,6 +16,15 @@ ISO = "yyyy-MM-dd"
 DAY_FIRST = "dd-MM-yyyy"
 
 
+def _date(col: str, fmt: str) -> Column:
+    """NULL unless the text is a date in the format. A format of fixed-width numbers is
+    tried only on text of its shape, since a parse that fails is slow."""
+    parsed = F.try_to_date(col, fmt)
+    if not re.fullmatch(r"((yyyy|MM|dd)[^A-Za-z%_]*)+", fmt):
+        return parsed
+    return F.when(F.col(col).like(re.sub("[A-Za-z]", "_", fmt)), parsed)
+
+
 def normalize_dates(
     df: DataFrame,
     cols: Sequence[str],
@@ -28,12 +38,13 @@ def normalize_dates(
     remaining formats only, so a date already in the first format is lost there.
     """
     def parse(col: str, fmts: Sequence[str]) -> Column:
-        return F.coalesce(*[F.try_to_date(col, fmt) for fmt in fmts])
+        return F.coalesce(*[_date(col, fmt) for fmt in fmts])
 
     parsed = {c: parse(c, formats) for c in cols}
     if whole_row:
         # a NULL date neither triggers nor prevents the rewrite
-        off_format = [F.col(c).isNotNull() & ~F.col(c).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") for c in cols]
+        iso = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+        off_format = [F.col(c).isNotNull() & ~F.col(c).rlike(iso) for c in cols]
         touched = reduce(lambda a, b: a | b, off_format)
         parsed = {
             c: F.when(touched, parse(c, formats[1:])).otherwise(parse(c, formats[:1])) for c in cols
