@@ -38,6 +38,17 @@ DELAY_OTHER = "Irrelevant comments"
 FRICTION_ALLOW = "cautious optimism|budget approved|credit cleared"
 FRICTION_PROBLEM = "sales|budget|credit|cautions|damag|missing|mistake|cancel|don"
 
+# Class names that appear in results.
+NO_REP = "No Rep Assigned"
+CLIENT_INACTIVE = "Inactive (Zero Orders)"
+CLIENT_DIFFICULT = "Difficult Client"
+CLIENT_NORMAL = "Good / Normal Client"
+NOT_SHIPPED = "Not shipped"
+EARLY = "Early"
+LATE = "Late"
+ON_TIME = "On time"
+
+# Countries of each region.
 REGIONS: Mapping[str, Sequence[str]] = {
     "NA": ("USA", "Canada", "Mexico"),
     "APAC": (

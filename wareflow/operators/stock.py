@@ -17,6 +17,7 @@ from wareflow.operators.rollups import lines_of, located_products, with_status
 class HealthScale:
     """Class thresholds, in multiples of the units sold, and the four class names."""
 
+    # Thresholds and class names.
     over: float = 3
     under: float = 1
     dead: str = "Absolute Dead (0 Sales)"

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from wareflow.functions.numbers import percent
 from wareflow.functions.present import in_order
 from wareflow.functions.rules import (
+    CLIENT_DIFFICULT,
+    CLIENT_INACTIVE,
+    CLIENT_NORMAL,
     EXCEPTION_BLANK,
     EXCEPTION_OTHER,
     EXCEPTION_RULES,
     FRICTION_ALLOW,
     FRICTION_PROBLEM,
+    NO_REP,
     REGION_OTHER,
     REGIONS,
     Rules,
@@ -105,11 +109,11 @@ def customer_friction(
             label("country").alias("country"),
             F.col("customerNumber").alias("customer_number"),
             F.col("customerName").alias("customer_name"),
-            F.coalesce("rep_name", F.lit("No Rep Assigned")).alias("sales_representative"),
+            F.coalesce("rep_name", F.lit(NO_REP)).alias("sales_representative"),
             n_orders.alias("total_orders"),
-            F.when(n_orders == 0, "Inactive (Zero Orders)")
-            .when(flags > 0, "Difficult Client")
-            .otherwise("Good / Normal Client")
+            F.when(n_orders == 0, CLIENT_INACTIVE)
+            .when(flags > 0, CLIENT_DIFFICULT)
+            .otherwise(CLIENT_NORMAL)
             .alias("client_status"),
             F.concat_ws(" of ", flags.cast("string"), n_orders.cast("string")).alias(
                 "friction_ratio"

@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from wareflow.functions.numbers import ratio, rounded
 from wareflow.functions.present import in_order, text_or
-from wareflow.functions.rules import DELAY_BLANK, DELAY_OTHER, DELAY_RULES, Rules, keyword_label
+from wareflow.functions.rules import (
+    DELAY_BLANK,
+    DELAY_OTHER,
+    DELAY_RULES,
+    EARLY,
+    LATE,
+    NOT_SHIPPED,
+    ON_TIME,
+    Rules,
+    keyword_label,
+)
 from wareflow.functions.text import distinct_list, label
 from wareflow.operators.rollups import order_footprint
 
@@ -20,10 +30,10 @@ def delivery_performance(orders: DataFrame, early_days: int = 5) -> DataFrame:
     """Orders and average days to ship by delivery bucket; 'NA' where nothing shipped."""
     spare = F.datediff("requiredDate", "shippedDate")
     bucket = (
-        F.when(F.col("shippedDate").isNull(), "Not shipped")
-        .when(spare >= early_days, "Early")
-        .when(spare < 0, "Late")
-        .otherwise("On time")
+        F.when(F.col("shippedDate").isNull(), NOT_SHIPPED)
+        .when(spare >= early_days, EARLY)
+        .when(spare < 0, LATE)
+        .otherwise(ON_TIME)
     )
     days = rounded(F.avg(F.expr(DAYS_TO_SHIP)), 0).cast("bigint")
     return orders.groupBy(bucket.alias("delivery_performance")).agg(
