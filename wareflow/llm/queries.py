@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wareflow.llm import line_dedup, near_duplicates, packing, warc
+from wareflow.llm import decontaminate, line_dedup, near_duplicates, packing, warc
 from wareflow.llm.store import Scratch
 
 #: The tokenizer's vocabulary file.
@@ -28,6 +28,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), shingle=4, percent=80)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the benchmark's windows that occur in them."""
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark), width=13, share=20)
+    return decontaminate.digest(found)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"), Scratch(spark), least=0)
@@ -41,6 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
 }
