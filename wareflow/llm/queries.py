@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wareflow.llm import decontaminate, line_dedup, near_duplicates, packing, warc
+from wareflow.llm import decontaminate, line_dedup, near_duplicates, packing, sharding, warc
 from wareflow.llm.store import Scratch
 
 #: The tokenizer's vocabulary file.
@@ -23,6 +24,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark), VOCABULARY, window=4096, end_id=2)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled into 24 shards of equal row counts."""
+    placed = sharding.shuffle_to_shards(sharding.digests(table(spark, sf_dir, "documents")), Scratch(spark), shards=24)
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the component of near copies that they are in."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), shingle=4, percent=80)
@@ -46,6 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_sharding": op2_sharding,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
