@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareflow.llm import decontaminate, hnsw, line_dedup, near_duplicates, packing, sharding, warc
+from wareflow.llm import decontaminate, hnsw, line_dedup, near_duplicates, packing, quality, sharding, warc
 from wareflow.llm.store import Scratch
 
 #: The tokenizer's vocabulary file.
@@ -40,6 +40,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), shingle=4, percent=80)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the quality that the labels mark."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark), least=0.3)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the benchmark's windows that occur in them."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark), width=13, share=20)
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op4_nearest": op4_nearest,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
