@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareflow.llm import decontaminate, hnsw, line_dedup, near_duplicates, packing, quality, sharding, warc
+from wareflow.llm import decontaminate, hnsw, language, line_dedup, near_duplicates, packing, quality, sharding, warc
 from wareflow.llm.store import Scratch
 
 #: The tokenizer's vocabulary file.
@@ -30,6 +30,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with their language, learned from all documents and all pages."""
+    model = language.train(table(spark, sf_dir, "documents"))
+    return language.identify(table(spark, sf_dir, "pages"), model, Scratch(spark))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of all embeddings for every hundredth one."""
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, Scratch(spark), k=10)
@@ -64,6 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op3_language": op3_language,
     "op4_nearest": op4_nearest,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
