@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareflow.llm import decontaminate, hnsw, language, line_dedup, near_duplicates, packing, quality, sharding, warc
+from wareflow.llm import decontaminate, hnsw, language, licenses, line_dedup, near_duplicates, packing, quality, sharding, warc
 from wareflow.llm.store import Scratch
 
 #: The tokenizer's vocabulary file.
@@ -41,6 +41,11 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, Scratch(spark), k=10)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the licences that they name or quote."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the component of near copies that they are in."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), shingle=4, percent=80)
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_language": op3_language,
     "op4_nearest": op4_nearest,
+    "op5_licenses": op5_licenses,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
