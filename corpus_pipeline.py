@@ -1,42 +1,74 @@
-"""From documents to packed training windows: the operators of wareflow.llm as stages.
+"""From documents to packed training windows: five operators of wareflow.llm as stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again
-before the next one. All but the last return the columns of documents.
+before the next one. All but the last return the columns of documents; a stage that changes texts
+counts their characters anew.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wareflow.llm import line_dedup, packing
-from wareflow.llm.queries import VOCABULARY
+from wareflow.llm import decontaminate, line_dedup, near_duplicates, packing, quality
+from wareflow.llm.queries import VOCABULARY, table
+from wareflow.llm.rows import without_rows
 from wareflow.llm.store import Scratch
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    scratch = Scratch(spark)
+    measured = scratch.keep(quality.statistics(docs), "statistics")
+    model = quality.fit(measured, table(spark, sf_dir, "labels"), scratch)
+    scratch.drop(measured)
+    return quality.accepted(docs, model, least=0.3)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents share go."""
-    out = line_dedup.dedup_lines(docs, Scratch(spark), threshold=10, least=1, keep=("doc_id", "lang", "source", "n_chars"))
-    return out.select(*COLUMNS)
+    others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
+    cut = line_dedup.dedup_lines(docs, Scratch(spark), threshold=10, least=1, keep=others)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    scratch = Scratch(spark)
+    found = near_duplicates.near_duplicates(docs, scratch, shingle=5, percent=80)
+    return without_rows(docs, scratch.keep(found.where(~F.col("chosen")).select("doc_id", "row_"), "copies"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is benchmark passages go."""
+    scratch = Scratch(spark)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), scratch, width=13, share=20)
+    return without_rows(docs, scratch.keep(found.where("contaminated").select("doc_id", "row_"), "contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, tokenised and packed into windows."""
-    return packing.pack(docs, Scratch(spark), VOCABULARY)
+    return packing.pack(docs, Scratch(spark), VOCABULARY, window=4096, end_id=2)
 
 
-STAGES = [("line_dedup", drop_lines), ("packing", pack)]
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_copies),
+    ("decontaminate", drop_contaminated),
+    ("packing", pack),
+]
 
-#: Packing and the classifier can't be expressed in SQL; tests compare the stages with plain Python.
+#: The classifier and packing can't be expressed in SQL; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = Scratch(spark).keep(docs, f"stage-{name}")
+            docs = scratch.keep(docs, f"stage-{name}")
     return docs

@@ -215,11 +215,14 @@ def verified_links(docs: DataFrame, text: str, shingle: int, percent: int, membe
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", shingle: int = 5, percent: int = 80, side: int = 20, width: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+    """doc_id, row_, n_shingles, component_id, kept and chosen of every row.
+
+    row_ is the text's key. `chosen` is true for one document of each component, also where ids are
+    null or repeated with other texts: the first by id, nulls last, and then by text key.
+    """
     rows = scratch.keep(signatures(docs, text, shingle, side, width), "signatures")
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("least"),
-        F.min(F.struct("doc_id", "row_")).alias("row"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_")).alias("row"),
         F.count("*").alias("copies"),
         F.any_value("n_shingles").alias("n_shingles"),
         F.any_value("left").alias("left"),
@@ -230,13 +233,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", shing
     groups = groups.union(groups.select("b", "b").distinct()).toDF("digest", "group")
     members = scratch.keep(classes.select("digest", "n_shingles", "row").join(groups, "digest"), "members")
     linked = components(verified_links(docs, text, shingle, percent, members), scratch)
-    named = classes.select("digest", "least", "copies").join(linked.toDF("digest", "root"), "digest", "left")
+    named = classes.select("digest", "row", "copies").join(linked.toDF("digest", "root"), "digest", "left")
     named = named.withColumn("root", F.coalesce("root", "digest"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"), F.sum("copies").alias("rows"))
+    first = named.groupBy("root").agg(F.min("row").alias("first"), F.sum("copies").alias("rows"))
     # Only rows with a relative look up their component; hot classes are split by adaptive execution.
-    named = named.join(least.where("rows > 1").drop("rows"), "root").select("digest", "component", F.lit(True).alias("found"))
+    named = named.join(first.where("rows > 1").drop("rows"), "root").select("digest", "first")
     named = scratch.keep(named, "components")
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("found"), F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = rows.select("doc_id", "row_", "n_shingles", "digest").join(named, "digest", "left")
+    alone = F.col("first").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    chosen = alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_") == F.col("first.row_")))
+    out = out.select("doc_id", "row_", "n_shingles", component.alias("component_id"), chosen.alias("chosen"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

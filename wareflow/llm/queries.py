@@ -48,7 +48,8 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the component of near copies that they are in."""
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), shingle=4, percent=80)
+    found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), shingle=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

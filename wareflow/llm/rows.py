@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Row keys up to this many go to every task that drops them; more are joined.
+MOST_SENT = 1_000_000
 #: Rows and bytes of text that a function sees at once.
 ROWS, BYTES = 4096, 4 << 20
 
@@ -54,3 +56,15 @@ def map_texts(df: DataFrame, text: str, function: Callable[[pa.RecordBatch], dic
 def text_key(column: Column) -> Column:
     """A 64-bit key of a text; with the id it names a row up to exact repeats."""
     return F.xxhash64(F.coalesce(column, F.lit("")), column.isNull())
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose id and text key are not in `gone`.
+
+    gone: doc_id and row_ = text_key(text); read twice, so it should be cheap or written.
+    """
+    gone = gone.select(F.col("doc_id").alias("gone_id_"), F.col("row_").alias("gone_key_")).distinct()
+    if gone.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        gone = F.broadcast(gone)
+    same = docs["doc_id"].eqNullSafe(gone["gone_id_"]) & (text_key(docs[text]) == gone["gone_key_"])
+    return docs.join(gone, same, "left_anti")
