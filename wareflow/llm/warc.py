@@ -11,11 +11,12 @@ ordered by segment number, checked against the total length, joined, and the chu
 decoded. Records that were never cut skip the grouping. A revisit gets its payload's figures from
 the response it names.
 
-Archives are plain text-source files whose records end in a fixed delimiter, so Spark splits them
-and commits them whole; chunk boundaries are placed so that the delimiter never occurs in a block.
+Archives are written and read by Spark's text source, so they are committed whole and can be split. The
+version line parts the records; chunk boundaries are placed so that it never occurs in a block.
 
 Defined results
-* null html: empty payload. null url: empty target. Line ends in a url are percent-encoded.
+* null html: empty payload. null url: empty target. Line ends and version lines in a url are
+  percent-encoded.
 * null page_id: written without the identifier and read back as null; it is never the smallest.
   If all equal payloads have null identifiers, all of them are responses.
 * Rows that repeat the smallest page_id and its payload are all responses.
@@ -40,9 +41,9 @@ from wareflow.llm.rows import map_texts, texts_of
 from wareflow.llm.store import new_path
 
 CRLF = b"\r\n"
-#: The end of a record and the start of the next one.
-VERSION = "WARC/1.1\r\n"
-DELIMITER = "\r\n\r\n" + VERSION
+#: The first line of a record without its line end, and what follows a record. The reader splits at the
+#: version line: none of its characters but the last recurs in it, as Hadoop's line reader needs.
+VERSION, RECORD_END = "WARC/1.1", "\r\n\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 #: Responses with copies up to this many are sent to every task of the writer; more are joined.
 MOST_SENT = 100_000
@@ -56,8 +57,8 @@ def payload_digest(payload: bytes) -> str:
 
 
 def chunked(body: bytes, size: int = CHUNK) -> bytes:
-    """Chunked transfer coding; a delimiter inside the body is cut by a chunk boundary."""
-    out, at, mark = [], 0, DELIMITER.encode()
+    """Chunked transfer coding; a version line inside the body is cut by a chunk boundary."""
+    out, at, mark = [], 0, VERSION.encode()
     while at < len(body):
         end = min(at + size, len(body))
         found = body.find(mark, at, min(end + len(mark) - 1, len(body)))
@@ -84,11 +85,11 @@ def dechunked(framed: bytes) -> bytes:
 
 
 def _target(url: str | None) -> str:
-    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A").replace(VERSION, VERSION.replace("/", "%2F"))
 
 
 def records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, name: str, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of a page, each without version line and final delimiter."""
+    """The records of a page, each without its end."""
     revisit = refers_to is not None
     block = b"" if revisit else HTTP_HEAD + chunked(payload)
     parts = [block[k : k + segment] for k in range(0, len(block), segment)] or [b""]
@@ -113,7 +114,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, refers_to: int
                 head["WARC-Segment-Origin-ID"] = f"<urn:x-page:{name}>"
             if k == len(parts) - 1:
                 head["WARC-Segment-Total-Length"] = str(len(block))
-        yield "".join(f"{a}: {b}\r\n" for a, b in head.items()).encode() + CRLF + part
+        yield f"{VERSION}\r\n{''.join(f'{a}: {b}\r\n' for a, b in head.items())}\r\n".encode() + part
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, most_sent: int = MOST_SENT, compression: str = "none") -> None:
@@ -132,17 +133,17 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, segment: int = SEGME
         return {"value": [r for row in zip(*columns) for r in records(*row, segment)]}
 
     made = map_texts(named.select("page_id", "url", "body", "refers_to", "name"), "body", build, "value binary")
-    made.select(F.col("value").cast("string")).write.option("lineSep", DELIMITER).option("compression", compression).text(path)
+    made.select(F.col("value").cast("string")).write.option("lineSep", RECORD_END).option("compression", compression).text(path)
 
 
 RECORD = "page_id long, type string, refers_to long, digest string, origin string, number int, total long, block binary"
 
 
 def parsed(value: bytes) -> tuple | None:
-    """The fields of one record, or null for what follows the last delimiter of a file."""
-    value = value.removeprefix(VERSION.encode())
+    """The fields of one record, or null for what stands before a file's first version line."""
     if not value:
         return None
+    value = value.removesuffix(RECORD_END.encode())
     head, _, block = value.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n"))
     if len(block) != int(fields["Content-Length"]):
@@ -155,7 +156,7 @@ def parsed(value: bytes) -> tuple | None:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives, one row each: continuation records are rows of their own."""
-    lines = spark.read.option("lineSep", DELIMITER).text(path).select(F.col("value").cast("binary"))
+    lines = spark.read.option("lineSep", f"{VERSION}\r\n").text(path).select(F.col("value").cast("binary"))
 
     def parse(part: pa.RecordBatch) -> dict:
         rows = [r for v in part.column("value").to_pylist() if (r := parsed(v)) is not None]
