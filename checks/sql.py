@@ -10,8 +10,10 @@ _BINDING = """
 wh(code, name, pct) AS (
   VALUES ('a', 'North', 72.0::DOUBLE), ('b', 'East', 67.0), ('c', 'West', 50.0), ('d', 'South', 75.0)),
 prod AS (
-  SELECT p_partkey AS code, p_name AS name, p_type AS line, p_size * 80 AS stock,
-         CASE WHEN p_type IN ('STANDARD', 'PROMO') THEN 'a' WHEN p_type = 'ECONOMY' THEN 'b'
+  SELECT p_partkey AS code, p_name AS name, CASE WHEN p_partkey % 43 = 5 THEN 'Unlisted' ELSE p_type END AS line,
+         p_size * 80 AS stock,
+         CASE WHEN p_partkey % 41 = 3 THEN 'z' WHEN p_partkey % 41 = 4 THEN NULL
+              WHEN p_type IN ('STANDARD', 'PROMO') THEN 'a' WHEN p_type = 'ECONOMY' THEN 'b'
               WHEN p_type = 'MEDIUM' THEN 'c' WHEN p_type IN ('SMALL', 'LARGE') THEN 'd' END AS wcode,
          CAST(p_retailprice AS DECIMAL(10,2)) AS cost
   FROM part),
@@ -24,39 +26,50 @@ office AS (
   SELECT code, country, CASE WHEN country = 'NATION_2' THEN 'APAC' ELSE terr END AS terr
   FROM office_raw),
 emp AS (
-  SELECT s_suppkey AS id, CAST(s_nationkey AS VARCHAR) AS ocode, replace(s_name, '#', ' ') AS name,
-         CASE WHEN s_suppkey > 0 THEN s_suppkey // 10 END AS boss
+  SELECT s_suppkey AS id, CASE WHEN s_suppkey % 23 = 6 THEN 'X' ELSE CAST(s_nationkey AS VARCHAR) END AS ocode,
+         CASE WHEN s_suppkey % 29 <> 4 THEN replace(s_name, '#', ' ') END AS name,
+         CASE WHEN s_suppkey % 31 = 9 THEN s_suppkey + 1000000000 WHEN s_suppkey > 0 THEN s_suppkey // 10 END AS boss
   FROM supplier),
 cust AS (
   SELECT c_custkey AS id, c_name AS name, n_name AS country,
-         CASE WHEN c_acctbal >= 0 THEN c_custkey % (SELECT count(*) FROM supplier) END AS rep
+         CASE WHEN c_custkey % 37 = 5 THEN c_custkey + 1000000000
+              WHEN c_acctbal >= 0 THEN c_custkey % (SELECT count(*) FROM supplier) END AS rep
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
 lin AS (
-  SELECT l_orderkey AS ono, l_partkey AS pcode, l_linenumber AS pos, CAST(l_quantity AS INTEGER) AS qty,
+  SELECT CASE WHEN l_orderkey % 103 = 8 THEN l_orderkey + 1000000000 ELSE l_orderkey END AS ono,
+         CASE WHEN l_orderkey % 101 = 5 THEN l_partkey + 1000000000
+              WHEN l_partkey % 20 = 7 THEN l_partkey - 1
+              WHEN l_partkey % 20 = 13 AND l_orderkey % 50 <> 0 THEN l_partkey - 1 ELSE l_partkey END AS pcode,
+         l_linenumber AS pos, CAST(l_quantity AS INTEGER) AS qty,
          CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
          CAST(CAST(l_quantity AS INTEGER) * CAST(l_extendedprice AS DECIMAL(12,2)) AS DECIMAL(18,2)) AS rev
   FROM lineitem),
-first_ship AS (
-  SELECT l_orderkey AS ono, min(CAST(l_shipdate AS DATE)) AS day
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE) GROUP BY 1),
+remark(k, said) AS (
+  VALUES (0, NULL), (1, '  '), (2, 'The SALES manager called'), (3, 'Wrong offer: credit and scale'),
+         (4, 'Wrong color, a defect'), (5, 'Customer in dispute, on Hold'),
+         (6, 'DAMAGED on arrival, parts missing'), (7, 'Ordered by mistake'), (8, 'was on hold  '),
+         (9, 'Budget Approved after a complaint'), (10, 'Cautious optimism; credit cleared'),
+         (11, 'Please cancel, they don''t want it'), (12, 'fine, thank you'), (13, 'FINE, thank you  ')),
 ord AS (
-  SELECT o_orderkey AS no, o_custkey AS cno, CAST(o_orderdate AS DATE) AS placed,
-         CAST(CAST(o_orderdate AS DATE) + INTERVAL 365 DAY AS DATE) AS due, day AS shipped,
-         text AS note,
-         CASE o_orderstatus
+  SELECT o_orderkey AS no,
+         CASE WHEN o_orderkey % 97 = 3 THEN o_custkey + 1000000000
+              WHEN o_custkey % 10 = 7 THEN o_custkey - 1 ELSE o_custkey END AS cno,
+         CAST(o_orderdate AS DATE) AS placed,
+         CAST(CAST(o_orderdate AS DATE) + INTERVAL 30 DAY AS DATE) AS due,
+         CASE WHEN o_orderkey % 9 <> 4 THEN CAST(o_orderdate AS DATE) + CAST((o_orderkey * 7 + o_custkey) % 40 AS INTEGER) END AS shipped,
+         CASE WHEN text IS NULL THEN said ELSE said || chr(10) || text END AS note,
+         CASE WHEN o_orderkey % 50 = 0 THEN 'Cancelled' ELSE CASE o_orderstatus
            WHEN 'F' THEN 'Shipped'
            WHEN 'O' THEN CASE o_orderpriority WHEN '5-LOW' THEN 'On Hold' ELSE 'In Process' END
            ELSE CASE o_orderpriority WHEN '1-URGENT' THEN 'Disputed' WHEN '2-HIGH' THEN 'Cancelled'
                                      WHEN '3-MEDIUM' THEN 'Resolved' ELSE 'Shipped' END
-         END AS status
-  FROM orders LEFT JOIN first_ship ON ono = o_orderkey LEFT JOIN documents ON doc_id = o_orderkey),
-recent AS (
-  SELECT lin.* FROM lin WHERE ono IN (SELECT no FROM ord WHERE placed >= DATE '2001-06-01')),
+         END END AS status
+  FROM orders JOIN remark ON k = o_orderkey % 14 LEFT JOIN documents ON doc_id = o_orderkey),
 pay AS (
-  SELECT user_id AS cno, CAST(event_id AS VARCHAR) AS doc, CAST(value AS DECIMAL(10,2)) AS amount
+  SELECT CASE WHEN user_id % 19 = 8 THEN user_id + 1000000000 ELSE user_id END AS cno, CAST(event_id AS VARCHAR) AS doc, CAST(value AS DECIMAL(10,2)) AS amount
   FROM events WHERE event_type = 'purchase'),
 place AS (SELECT prod.*, wh.name AS wname, wh.pct FROM prod JOIN wh ON wcode = wh.code),
+spot AS (SELECT prod.*, wh.name AS wname FROM prod LEFT JOIN wh ON wcode = wh.code),
 home AS (
   SELECT cust.id AS cno, office.code AS ocode, terr
   FROM cust JOIN emp ON rep = emp.id JOIN office ON ocode = office.code)
@@ -70,17 +83,35 @@ def _q(body: str, **parts: str) -> str:
 
 
 def _r(expr: str, digits: int = 2) -> str:
+    """Roots: rounded from DECIMAL(24,6), since their last bits depend on the order of sums."""
     return f"CAST(round(CAST({expr} AS DECIMAL(24,6)), {digits}) AS DOUBLE)"
 
 
-def _pct(num: str, den: str, digits: int = 2) -> str:
-    return _r(f"CAST({num} AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0) * 100", digits)
+def _quot(num: str, den: str, digits: int = 2, times: int = 1) -> str:
+    """num * times / den of counts or money, rounded half up in whole numbers; den is positive."""
+    n, d = (f"CAST(CAST({x} AS DECIMAL(28,2)) * 100 AS HUGEINT)" for x in (num, den))
+    return f"CAST((2 * {n} * {times * 10**digits} + nullif({d}, 0)) // (2 * nullif({d}, 0)) AS DOUBLE) / {10**digits}"
 
 
-_REASON = """CASE WHEN regexp_matches(note, '(?i)license') THEN 'Reason A'
-  WHEN regexp_matches(note, '(?i)mail|token') THEN 'Reason B'
-  WHEN regexp_matches(note, '(?i)ertion|onre') THEN 'Reason C'
-  WHEN note IS NULL OR trim(note) = '' THEN 'No reason' ELSE 'Other reason' END"""
+def _pct(num: str, den: str, digits: int = 2) -> str:
+    return _quot(num, den, digits, 100)
+
+
+_EXCEPTION = """CASE WHEN regexp_matches(note, '(?i)sales|budget|credit|offer') THEN 'Budgeting Issues'
+  WHEN regexp_matches(note, '(?i)wrong|defect|complaint|color|scale|dispute') THEN 'Product Quality Issue'
+  WHEN regexp_matches(note, '(?i)damag|missing') THEN 'Shipping issues'
+  WHEN regexp_matches(note, '(?i)mistake') THEN 'Mistaken order'
+  WHEN note IS NULL OR trim(note) = '' THEN 'No Reason Provided' ELSE 'Other Reasons' END"""
+_DELAY = """CASE WHEN regexp_matches(note, '(?i)budget|credit|offer|hold') THEN 'Previously on hold'
+  WHEN regexp_matches(note, '(?i)complaint|color|scale|dispute') THEN 'Previously disputed'
+  WHEN regexp_matches(note, '(?i)damag|missing') THEN 'Shipping issues'
+  WHEN regexp_matches(note, '(?i)mistake') THEN 'Mistaken order'
+  WHEN regexp_matches(note, '(?i)on hold') THEN 'Previously on hold'
+  WHEN note IS NULL OR trim(note) = '' THEN 'No comment' ELSE 'Irrelevant comments' END"""
+_FRICTION = """CASE
+  WHEN regexp_matches(note, '(?i)cautious optimism|budget approved|credit cleared') THEN 0
+  WHEN regexp_matches(note, '(?i)sales|budget|credit|cautions|damag|missing|mistake|cancel|don') THEN 1
+  ELSE 0 END"""
 
 ORACLE: dict[str, str] = {}
 
@@ -91,27 +122,26 @@ _TEXT_DATES = """, txt AS (
          CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d-%m-%Y')
               ELSE strftime(o_orderdate, '%Y-%m-%d') END AS a,
          CASE WHEN o_orderkey % 7 = 0 THEN 'unknown'
-              WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate + INTERVAL 365 DAY, '%d-%m-%Y')
-              ELSE strftime(o_orderdate + INTERVAL 365 DAY, '%Y-%m-%d') END AS b
+              WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate + INTERVAL 30 DAY, '%-d-%-m-%Y')
+              ELSE strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') END AS b,
+         CASE WHEN o_orderkey % 5 = 0 THEN NULL
+              WHEN o_orderkey % 5 = 1 THEN strftime(o_orderdate, '%Y-%-m-%-d') || ' '
+              ELSE strftime(o_orderdate, '%d-%m-%Y') END AS c
   FROM orders)"""
 
 
 def _date(col: str, fmt: str) -> str:
-    return f"strftime(try_strptime({col}, '{fmt}'), '%Y-%m-%d')"
+    return f"strftime(try_strptime(trim({col}), '{fmt}'), '%Y-%m-%d')"
 
 
 _ISO, _DMY = "%Y-%m-%d", "%d-%m-%Y"
-_IS_ISO = "regexp_full_match({}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')"
-
-ORACLE["normalize_dates"] = _q("{pre} SELECT k AS \"orderNumber\", {a} AS \"orderDate\", {b} AS \"requiredDate\" FROM txt",
-    pre=_TEXT_DATES,
-    a=f"coalesce({_date('a', _ISO)}, {_date('a', _DMY)})",
-    b=f"coalesce({_date('b', _ISO)}, {_date('b', _DMY)})")
-ORACLE["normalize_dates_whole_row"] = _q("""{pre} SELECT k AS "orderNumber",
-    CASE WHEN {clean} THEN a ELSE {a} END AS "orderDate",
-    CASE WHEN {clean} THEN b ELSE {b} END AS "requiredDate" FROM txt""",
-    pre=_TEXT_DATES, a=_date("a", _DMY), b=_date("b", _DMY),
-    clean=f"({_IS_ISO.format('a')} AND {_IS_ISO.format('b')})")
+_OFF_ISO = "({0} IS NOT NULL AND NOT regexp_full_match(trim({0}), '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}'))"
+_DATE_COLUMNS = (("a", "orderDate"), ("b", "requiredDate"), ("c", "shippedDate"))
+ORACLE["normalize_dates"] = _q('{pre} SELECT k AS "orderNumber", {cols} FROM txt', pre=_TEXT_DATES, cols=", ".join(
+    f'coalesce({_date(c, _ISO)}, {_date(c, _DMY)}) AS "{name}"' for c, name in _DATE_COLUMNS))
+ORACLE["normalize_dates_whole_row"] = _q('{pre} SELECT k AS "orderNumber", {cols} FROM txt', pre=_TEXT_DATES, cols=", ".join(
+    f'CASE WHEN {" OR ".join(_OFF_ISO.format(x) for x, _ in _DATE_COLUMNS)} THEN {_date(c, _DMY)} ELSE {_date(c, _ISO)} END AS "{name}"'
+    for c, name in _DATE_COLUMNS))
 ORACLE["duplicate_keys"] = _q("""
 , keyed AS (
   SELECT 'Product Code' AS t, CAST(code AS VARCHAR) AS k FROM prod
@@ -125,7 +155,7 @@ SELECT count(*) AS total_rows, count(*) - count(cno) AS missing_customers,
 FROM pay""")
 ORACLE["null_audit_orders"] = _q("""
 SELECT count(*) AS total_rows, count(*) - count(placed) AS missing_order_date,
-       count(*) - count(due) AS missing_required_date, count(*) - count(shipped) AS missing_shipped_date
+       count(*) - count(due) AS missing_required_date
 FROM ord""")
 ORACLE["null_audit_customers"] = _q("""
 SELECT count(*) AS total_rows, count(*) - count(rep) AS missing_sales_rep,
@@ -143,7 +173,7 @@ _KEYS = {
     "orderdetails": "SELECT ono || '|' || pcode FROM lin",
     "orders": "SELECT no FROM ord",
     "payments": "SELECT cno || '|' || doc FROM pay",
-    "productlines": "SELECT DISTINCT line FROM prod",
+    "productlines": "SELECT DISTINCT p_type FROM part",
     "products": "SELECT code FROM prod",
     "warehouses": "SELECT code FROM wh",
 }
@@ -164,7 +194,7 @@ _REFS = [
     ("orderdetails.productCode", "SELECT pcode FROM lin", "SELECT code FROM prod"),
     ("orders.customerNumber", "SELECT cno FROM ord", "SELECT id FROM cust"),
     ("payments.customerNumber", "SELECT cno FROM pay", "SELECT id FROM cust"),
-    ("products.productLine", "SELECT line FROM prod", "SELECT line FROM prod"),
+    ("products.productLine", "SELECT line FROM prod", "SELECT p_type FROM part"),
     ("products.warehouseCode", "SELECT wcode FROM prod", "SELECT code FROM wh"),
 ]
 ORACLE["orphan_audit"] = _q("\nUNION ALL ".join(
@@ -198,10 +228,11 @@ def _price_gap(gap: str) -> str:
     names = ("na", "emea", "apac")
     per = ", ".join(
         f"avg(CAST(price AS DOUBLE)) FILTER (WHERE terr = '{t.upper()}') AS a_{t}, "
+        f"sum(price) FILTER (WHERE terr = '{t.upper()}') AS p_{t}, "
         f"stddev_samp(CAST(price AS DOUBLE)) FILTER (WHERE terr = '{t.upper()}') AS s_{t}, "
         f"count(*) FILTER (WHERE terr = '{t.upper()}') AS n_{t}" for t in names)
     out = ", ".join(
-        f"{_r(f'a_{t}')} AS avg_price_{t}, {_r(f's_{t}')} AS std_dev_{t}, "
+        f"{_quot(f'p_{t}', f'n_{t}')} AS avg_price_{t}, {_r(f's_{t}')} AS std_dev_{t}, "
         f"{_r(f's_{t} / nullif(sqrt(n_{t}), 0)')} AS std_error_{t}" for t in names)
     return _q(f"""
 , s AS (
@@ -231,25 +262,18 @@ WHERE shipped IS NOT NULL GROUP BY terr""")
 
 # --- customers, status, comments ------------------------------------------------------
 
-for _name, _when in (("inactive_customers", "true"),
-                     ("inactive_customers_since", "placed >= DATE '2001-01-01'")):
-    ORACLE[_name] = _q(f"""
+ORACLE["inactive_customers"] = _q(f"""
 SELECT count(*) FILTER (WHERE no IS NULL) AS inactive_customers,
        {_pct("count(*) FILTER (WHERE no IS NULL)", "count(DISTINCT id)")} AS inactive_pct
-FROM cust LEFT JOIN ord ON cno = id AND {_when}""")
+FROM cust LEFT JOIN ord ON cno = id""")
 ORACLE["active_countries"] = _q("""
 SELECT CASE WHEN country = 'NATION_0' THEN 'Other/Unknown' WHEN r_name = 'AMERICA' THEN 'NA'
             WHEN r_name = 'ASIA' THEN 'APAC' ELSE 'EMEA' END AS region,
        country, count(DISTINCT id) AS active_customers, count(DISTINCT no) AS total_orders
 FROM cust JOIN ord ON cno = id JOIN nation ON n_name = country JOIN region ON r_regionkey = n_regionkey
 GROUP BY ALL""")
-for _name, _when in (("customer_friction", "true"),
-                     ("customer_friction_since", "placed >= DATE '2001-01-01'")):
-    ORACLE[_name] = _q(f"""
-, f AS (
-  SELECT cno, note, no, CASE WHEN regexp_matches(note, '(?i)license') THEN 0
-                  WHEN regexp_matches(note, '(?i)mail|token|ertion') THEN 1 ELSE 0 END AS flag
-  FROM ord WHERE {_when})
+ORACLE["customer_friction"] = _q("""
+, f AS (SELECT cno, lower(rtrim(note, ' ')) AS note, no, {flag} AS flag FROM ord)
 SELECT country, cust.id AS customer_number, cust.name AS customer_name,
        coalesce(emp.name, 'No Rep Assigned') AS sales_representative,
        count(DISTINCT no) AS total_orders,
@@ -258,10 +282,10 @@ SELECT country, cust.id AS customer_number, cust.name AS customer_name,
        CAST(coalesce(sum(flag), 0) AS BIGINT) || ' of ' || count(DISTINCT no) AS friction_ratio,
        count(DISTINCT note) AS distinct_comments
 FROM cust LEFT JOIN f ON cno = cust.id LEFT JOIN emp ON emp.id = rep
-GROUP BY country, cust.id, cust.name, emp.name""")
+GROUP BY country, cust.id, cust.name, emp.name""", flag=_FRICTION)
 ORACLE["customer_comments"] = _q("""
-SELECT cno AS customer_number, note AS comments, count(*) AS n_orders
-FROM ord WHERE note IS NOT NULL GROUP BY cno, note""")
+SELECT cno AS customer_number, min(rtrim(note, ' ')) AS comments, count(*) AS n_orders
+FROM ord WHERE note IS NOT NULL GROUP BY cno, lower(rtrim(note, ' '))""")
 ORACLE["order_status_share"] = _q("""
 SELECT status AS order_status, count(*) AS total_orders,
        {share} AS pct_of_total FROM ord GROUP BY status""",
@@ -274,48 +298,24 @@ SELECT no AS order_number, cno AS customer_number, country,
        CAST(CASE WHEN status = 'Cancelled' THEN coalesce(sum(qty), 0) ELSE 0 END AS BIGINT)
          AS total_items_cancelled,
        status, {reason} AS reason
-FROM ord LEFT JOIN lin ON ono = no LEFT JOIN place ON pcode = code LEFT JOIN cust ON cust.id = cno
+FROM ord LEFT JOIN lin ON ono = no LEFT JOIN spot ON pcode = code LEFT JOIN cust ON cust.id = cno
 WHERE status IN ('Disputed', 'Cancelled', 'Resolved')
-GROUP BY no, cno, country, status, note""", reason=_REASON)
+GROUP BY no, cno, country, status, note""", reason=_EXCEPTION)
 ORACLE["disputed_products"] = _q("""
-, big AS (
-  SELECT no FROM ord JOIN lin ON ono = no WHERE status = 'Disputed'
-  GROUP BY no ORDER BY sum(rev) DESC, no LIMIT 5)
-SELECT name AS product_name, count(*) AS times_disputed,
-       string_agg(DISTINCT ono, ',' ORDER BY ono) AS orders_involved
-FROM lin JOIN prod ON code = pcode WHERE ono IN (SELECT no FROM big) GROUP BY name""")
-ORACLE["disputed_products_all"] = _q("""
 SELECT name AS product_name, count(*) AS times_disputed, count(DISTINCT ono) AS orders_involved
 FROM lin JOIN prod ON code = pcode JOIN ord ON no = ono WHERE status = 'Disputed' GROUP BY name""")
-ORACLE["keyword_classify"] = _q(
-    "SELECT no AS \"orderNumber\", {reason} AS keyword_class FROM ord", reason=_REASON)
-
-
-def _ladder(rules: list[tuple[str, str]], blank: str, other: str) -> str:
-    arms = " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for p, n in rules)
-    return (f"SELECT doc_id, CASE {arms} WHEN text IS NULL OR trim(text) = '' THEN '{blank}' "
-            f"ELSE '{other}' END AS keyword_class FROM documents")
-
-
-# The keyword rules, as in wareflow.functions.rules.
-ORACLE["keyword_classify_exceptions"] = _ladder(
-    [("sales|budget|credit|offer", "Budgeting Issues"),
-     ("wrong|defect|complaint|color|scale|dispute", "Product Quality Issue"),
-     ("damag|missing", "Shipping issues"),
-     ("mistake", "Mistaken order")],
-    "No Reason Provided", "Other Reasons")
-ORACLE["keyword_classify_delays"] = _ladder(
-    [("budget|credit|offer|hold", "Previously on hold"),
-     ("complaint|color|scale|dispute", "Previously disputed"),
-     ("damag|missing", "Shipping issues"),
-     ("mistake", "Mistaken order"),
-     ("on hold", "Previously on hold")],
-    "No comment", "Irrelevant comments")
-ORACLE["keyword_friction_flags"] = """
-SELECT doc_id, CASE
-  WHEN regexp_matches(text, '(?i)cautious optimism|budget approved|credit cleared') THEN 0
-  WHEN regexp_matches(text, '(?i)sales|budget|credit|cautions|damag|missing|mistake|cancel|don') THEN 1
-  ELSE 0 END AS flag FROM documents"""
+ORACLE["disputed_product_orders"] = _q("""
+SELECT name AS product_name, ono AS order_number, count(*) AS times_disputed
+FROM lin JOIN prod ON code = pcode JOIN ord ON no = ono WHERE status = 'Disputed' GROUP BY name, ono""")
+ORACLE["keyword_classify"] = """
+SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)license') THEN 'Reason A'
+  WHEN regexp_matches(text, '(?i)mail|token') THEN 'Reason B'
+  WHEN regexp_matches(text, '(?i)ertion|onre') THEN 'Reason C'
+  WHEN text IS NULL OR trim(text) = '' THEN 'No reason' ELSE 'Other reason' END AS keyword_class FROM documents"""
+for _name, _label in (("exceptions", _EXCEPTION), ("delays", _DELAY)):
+    ORACLE[f"keyword_classify_{_name}"] = _q(
+        'SELECT no AS "orderNumber", {label} AS keyword_class FROM ord', label=_label)
+ORACLE["keyword_friction_flags"] = _q('SELECT no AS "orderNumber", {flag} AS flag FROM ord', flag=_FRICTION)
 
 # --- delivery -------------------------------------------------------------------------
 
@@ -324,14 +324,14 @@ SELECT CASE WHEN shipped IS NULL THEN 'Not shipped' WHEN due - shipped >= 5 THEN
             WHEN due < shipped THEN 'Late' ELSE 'On time' END AS delivery_performance,
        count(*) AS total_orders,
        coalesce(CAST(CAST({days} AS BIGINT) AS VARCHAR), 'NA') AS avg_days_to_ship
-FROM ord GROUP BY 1""", days=_r("avg(shipped - placed)", 0))
+FROM ord GROUP BY 1""", days=_quot("sum(shipped - placed)", "count(shipped)", 0))
 
 _BY_COUNTRY = """
 SELECT {count} AS number_of_orders, CAST({days} AS BIGINT) AS avg_days_to_ship, country,
        string_agg(DISTINCT wname, ',' ORDER BY wname) AS warehouses_affected
 FROM ord JOIN cust ON cust.id = cno JOIN lin ON ono = no JOIN place ON pcode = code
 WHERE shipped IS NOT NULL AND {extra} GROUP BY country"""
-_LINE_DAYS = _r("avg(shipped - placed)", 0)
+_LINE_DAYS = _quot("sum(shipped - placed)", "count(*)", 0)
 ORACLE["shipping_by_country"] = _q(_BY_COUNTRY, count="count(*)", days=_LINE_DAYS, extra="true")
 ORACLE["shipping_by_country_excl"] = _q(
     _BY_COUNTRY, count="count(*)", days=_LINE_DAYS,
@@ -346,13 +346,13 @@ SELECT n AS number_of_orders, CAST(d AS BIGINT) AS avg_days_to_ship, country, wa
 FROM a JOIN (
   SELECT country, string_agg(DISTINCT wname, ',' ORDER BY wname) AS warehouses_affected
   FROM ord JOIN cust ON cust.id = cno JOIN lin ON ono = no JOIN place ON pcode = code
-  WHERE shipped IS NOT NULL GROUP BY country) USING (country)""", days=_r("avg(days)", 0))
+  WHERE shipped IS NOT NULL GROUP BY country) USING (country)""", days=_quot("sum(days)", "count(*)", 0))
 ORACLE["slowest_orders"] = _q("""
 SELECT no AS order_number, CAST(placed AS VARCHAR) AS order_date, CAST(shipped AS VARCHAR) AS shipped_date,
        country, CAST(shipped - placed AS INTEGER) AS ship_days,
        string_agg(DISTINCT wname, ', ' ORDER BY wname) AS affected_warehouses, {reason} AS reason
 FROM ord JOIN lin ON ono = no JOIN cust ON cust.id = cno JOIN place ON pcode = code
-WHERE shipped IS NOT NULL GROUP BY no, placed, shipped, country, note""", reason=_REASON)
+WHERE shipped IS NOT NULL GROUP BY no, placed, shipped, country, note""", reason=_DELAY)
 
 # --- inventory and stock --------------------------------------------------------------
 
@@ -371,7 +371,7 @@ SELECT wname AS warehouse_name, line AS product_line, CAST(stock AS BIGINT) AS u
        coalesce({err}, 0) AS std_error
 FROM s JOIN h USING (wcode, line)""",
     share=_pct("units", "sum(units) OVER ()"), sold=_pct("units", "(stock + units)", 1),
-    unit=_r("CAST(rev AS DOUBLE) / nullif(CAST(units AS DOUBLE), 0)"), dev=_r("dev"),
+    unit=_quot("rev", "units"), dev=_r("dev"),
     err=_r("dev / nullif(sqrt(n), 0)"))
 
 
@@ -384,12 +384,11 @@ SELECT code AS product_code, name AS product_name, wname AS warehouse_name,
        coalesce({unit}, 0) AS average_revenue_per_unit
 FROM place LEFT JOIN {lines} ON pcode = code
 GROUP BY code, name, wname, stock""", lines=lines,
-        unit=_r("CAST(sum(rev) AS DOUBLE) / nullif(CAST(sum(qty) AS DOUBLE), 0)"))
+        unit=_quot("sum(rev)", "sum(qty)"))
 
 
 _KEPT_LINES = "(SELECT lin.* FROM lin JOIN ord ON no = ono WHERE status <> 'Cancelled') AS kept"
 ORACLE["product_revenue"] = _product_revenue("lin")
-ORACLE["product_revenue_since"] = _product_revenue("recent")
 ORACLE["product_revenue_corrected"] = _product_revenue(_KEPT_LINES)
 
 
@@ -398,7 +397,7 @@ def _top_bottom(lines: str) -> str:
 , s AS (
   SELECT wname, code, name, line, stock, min(price) AS lo, max(price) AS hi,
          coalesce(sum(qty), 0) AS units, coalesce(sum(rev), 0) AS rev
-  FROM place LEFT JOIN {lines} ON pcode = code GROUP BY wname, code, name, line, stock),
+  FROM spot LEFT JOIN {lines} ON pcode = code GROUP BY wname, code, name, line, stock),
 r AS (
   SELECT *, row_number() OVER (ORDER BY units, code) AS up,
          row_number() OVER (ORDER BY units DESC, code) AS down FROM s)
@@ -433,12 +432,11 @@ h AS (
 _SOLD = "status NOT IN ('Cancelled', 'On Hold', 'In progress')"
 _SOLD_OR_NONE = f"({_SOLD} OR status IS NULL)"
 
-for _name, _lines, _keep in (("stock_health", "lin", _SOLD), ("stock_health_since", "recent", _SOLD),
-                             ("stock_health_corrected", "recent", _SOLD_OR_NONE)):
+for _name, _lines, _keep in (("stock_health", "lin", _SOLD), ("stock_health_corrected", "lin", _SOLD_OR_NONE)):
     ORACLE[_name] = _q("{items} SELECT {cols}, CAST(stock * cost AS DOUBLE) AS capital_tied_up FROM h",
                        items=_items(_lines, _keep), cols=_ITEM)
 
-for _name, _lines in (("warehouse_health_pct", "lin"), ("warehouse_health_pct_since", "recent")):
+for _name, _lines in (("warehouse_health_pct", "lin"),):
     ORACLE[_name] = _q(f"""
 , s AS (
   SELECT wcode, wname, code, stock, coalesce(sum(qty), 0) AS units
@@ -472,7 +470,7 @@ ORACLE["warehouse_movement_rank_corrected"] = _movement(
     "(SELECT sum(prod.stock) FROM prod WHERE prod.wcode = place.wcode)")
 
 _CUT = "CASE WHEN units = 0 THEN stock ELSE floor(stock * 0.20) END"
-for _suffix, _lines in (("", "lin"), ("_since", "recent")):
+for _suffix, _lines in (("", "lin"),):
     _base = _items(_lines, f"(wname LIKE '%East%' OR wname LIKE '%West%') AND {_SOLD_OR_NONE}")
     _pick = "FROM h WHERE health IN ('Severely Overstock', 'Absolute Dead (0 Sales)')"
     ORACLE[f"stock_reduction_plan{_suffix}"] = _q(
@@ -496,7 +494,7 @@ SELECT wcode AS warehouse_code, wname AS warehouse_name, pct AS occupied_pct,
        CAST(stock AS BIGINT) AS current_item_count, {cap} AS theoretical_capacity,
        {free} AS remaining_empty_slots,
        dense_rank() OVER (ORDER BY stock / (pct / 100) DESC) AS capacity_rank
-FROM s""", cap=_r("stock / (pct / 100)", 0), free=_r("stock / (pct / 100) - stock", 0))
+FROM s""", cap=_quot("stock * 100", "pct", 0), free=_quot("stock * 100 - stock * pct", "pct", 0))
 ORACLE["warehouse_diversity"] = _q("""
 SELECT wh.code AS warehouse_code, wh.name AS warehouse_name, count(DISTINCT prod.code) AS unique_items_sold,
        string_agg(DISTINCT line, ', ' ORDER BY line) AS product_lines_sold,
@@ -526,10 +524,12 @@ ORACLE["warehouse_baseline_shown"] = _q(
 
 
 def _closure(moves: dict[str, str], closed: str = "", kept: dict[str, str] | None = None) -> str:
-    """One subselect per figure, as sums over the products a warehouse ends up with."""
+    """One subselect per figure, as sums over the products a warehouse ends up with; what ends up
+    in no open warehouse is unassigned."""
     to = " ".join(f"WHEN line = '{line}' THEN '{w}'" for line, w in moves.items())
     keep = " ".join(f"WHEN '{w}' THEN {x}" for w, x in (kept or {"-": "1.0"}).items())
     receivers = ", ".join(f"'{w}'" for w in sorted(set(moves.values())))
+    scaled = _quot("g.stock * pct", "(SELECT sum(prod.stock) FROM prod WHERE wcode = wh.code)", 4)
     return _q(f"""
 , sold AS (
   SELECT pcode, sum(rev) AS rev FROM lin JOIN ord ON no = ono WHERE status = 'Shipped' GROUP BY pcode),
@@ -542,10 +542,13 @@ g AS (
          string_agg(DISTINCT line, ', ' ORDER BY line) AS lines FROM n GROUP BY target)
 SELECT code AS warehouse_code,
        name || CASE WHEN code IN ({receivers}) THEN ' (Consolidated)' ELSE '' END AS simulated_warehouse,
-       lines AS product_lines, CAST(stock AS DOUBLE) AS simulated_stock,
-       CAST(cap AS DOUBLE) AS simulated_capital, CAST(rev AS DOUBLE) AS simulated_revenue,
-       {_r(f"CASE WHEN code IN ({receivers}) THEN CAST(stock AS DOUBLE) / (SELECT CAST(sum(prod.stock) AS DOUBLE) FROM prod WHERE wcode = wh.code) * pct ELSE pct END", 4)} AS simulated_capacity_pct
-FROM wh LEFT JOIN g ON target = code WHERE code <> '{closed}'""")
+       lines AS product_lines, CAST(coalesce(stock, 0) AS DOUBLE) AS simulated_stock,
+       CAST(coalesce(cap, 0) AS DOUBLE) AS simulated_capital, CAST(coalesce(rev, 0) AS DOUBLE) AS simulated_revenue,
+       CASE WHEN code IN ({receivers}) THEN {scaled} ELSE pct END AS simulated_capacity_pct
+FROM wh LEFT JOIN g ON target = code WHERE code <> '{closed}'
+UNION ALL
+SELECT target, 'Unassigned', lines, CAST(stock AS DOUBLE), CAST(cap AS DOUBLE), CAST(coalesce(rev, 0) AS DOUBLE), NULL
+FROM g WHERE (target IS NULL OR target = '{closed}' OR target NOT IN (SELECT code FROM wh)) AND (stock > 0 OR rev > 0)""")
 
 
 ORACLE["whatif_close_south"] = _closure({"SMALL": "a", "LARGE": "c"}, "d")

@@ -10,7 +10,8 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from wareflow.session import local_session, prepare  # noqa: E402
-from wareflow.sources.schemas import schema_of  # noqa: E402
+from wareflow.operators.clean import fold_text  # noqa: E402
+from wareflow.sources.schemas import CANONICAL, schema_of  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -36,9 +37,10 @@ def d(text):
 
 
 def frame(spark, table, rows):
-    """Rows of a model table given as dicts; columns left out are NULL."""
+    """Rows of a model table given as dicts, read as `load` reads them; columns left out are NULL."""
     schema = schema_of(table)
-    return spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
+    raw = spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
+    return fold_text(raw, CANONICAL.get(table))
 
 
 @pytest.fixture(scope="session")

@@ -88,5 +88,5 @@ def test_status_filters_treat_null_as_unknown(tables):
     rows, df, _ = tables
     kept = with_status(df["orders"], drop=["Cancelled"]).count()
     assert kept == sum(o["status"] not in (None, "Cancelled") for o in rows["orders"])
-    assert df["orders"].filter(text_in("status", ["SHIPPED"])).count() == sum(
+    assert df["orders"].filter(text_in("status", ["Shipped"])).count() == sum(
         (o["status"] or "").strip().lower() == "shipped" for o in rows["orders"])

@@ -30,6 +30,18 @@ def test_dates_by_row_lose_the_iso_value_beside_a_day_first_one(spark):
     assert got[4] == {"k": 4, "a": date(2004, 1, 31), "b": None}
 
 
+def test_dates_of_one_digit_and_with_blanks(spark):
+    df = spark.createDataFrame([("1-2-2004",), (" 2004-02-01 ",), ("2004-2-1",), ("1-2-04",)], "a STRING")
+    got = [r.a for r in clean.normalize_dates(df, ["a"]).collect()]
+    assert got == [date(2004, 2, 1)] * 3 + [None]
+
+
+def test_null_parts_of_a_key_keep_their_place(spark):
+    df = spark.createDataFrame([("a", None), ("a", None), (None, "a"), (None, "a")], "x STRING, y STRING")
+    got = {r.identifier for r in quality.duplicate_keys({"K": (df, ["x", "y"])}).collect()}
+    assert got == {"a|", "|a"}
+
+
 def test_fold_text_trims_and_unifies_spelling(spark):
     df = spark.createDataFrame([(1, "On hold ", "Norway  "), (2, "ON HOLD", None), (3, "new", " x")], "k INT, s STRING, c STRING")
     got = by(clean.fold_text(df, {"s": ["On Hold", "Shipped"]}), "k")
@@ -38,7 +50,7 @@ def test_fold_text_trims_and_unifies_spelling(spark):
 
 
 def test_override_changes_matches_only(model):
-    got = by(clean.override(model["offices"], "territory", [("country", "japan", "APAC")]), "officeCode")
+    got = by(clean.override(model["offices"], "territory", [("country", "Japan", "APAC")]), "officeCode")
     assert {k: v["territory"] for k, v in got.items()} == {"1": "EMEA", "2": "APAC", "3": "NA"}
 
 

@@ -11,11 +11,13 @@ def one(spark, col, **values):
     return row.select(col.alias("x")).first().x
 
 
-def test_text_comparison_ignores_case_and_trailing_blanks(spark):
-    wanted = text.text_in("s", ["On Hold"])
-    assert one(spark, wanted, s="on hold  ") is True
-    assert one(spark, wanted, s=" on hold") is False
-    assert one(spark, ~wanted, s=None) is None
+def test_canonical_text_ignores_case_and_trailing_blanks(spark):
+    wanted = text.canonical(F.col("s"), ["On Hold", "Shipped"])
+    assert one(spark, wanted, s="on hold  ") == "On Hold"
+    assert one(spark, wanted, s=" on hold") == " on hold"
+    assert one(spark, wanted, s="Other ") == "Other"
+    assert one(spark, ~text.text_in("s", ["On Hold"]), s=None) is None
+    assert one(spark, text.contains_any("s", ["100%", "a_b"]), s="100 a-b") is False
     assert one(spark, text.contains_any("s", ["East", "West"]), s="NORTHWEST") is True
 
 
@@ -27,10 +29,30 @@ def test_distinct_list_is_sorted_and_null_when_empty(spark):
 
 @pytest.mark.parametrize("value, digits, want", [("0.125", 2, "0.13"), ("2.5", 0, "3"), ("-2.5", 0, "-3")])
 def test_rounding_is_half_away_from_zero(spark, value, digits, want):
-    got = one(spark, numbers.rounded(F.col("v").cast("double"), digits), v=value)
+    got = one(spark, numbers.rounded(F.col("v").cast("decimal(10,4)"), digits), v=value)
     assert got == Decimal(want)
 
 
+def test_quotients_are_rounded_once(spark):
+    """49,996 of ten million is 0.0049996: two steps would make it 0.01."""
+    share = numbers.rounded(numbers.ratio(F.col("a"), F.col("b")), 2)
+    assert one(spark, share, a=49_996, b=10_000_000) == Decimal("0.00")
+    assert one(spark, numbers.percent(F.col("a"), F.col("b")), a=1, b=20_000) == Decimal("0.01")
+
+
+def test_sample_deviation_from_moments(spark):
+    values = [Decimal("1.10"), Decimal("2.25"), Decimal("9.99")]
+    df = spark.createDataFrame([(v,) for v in values], "v DECIMAL(10,2)")
+    v = F.col("v")
+    row = df.select(
+        numbers.sample_deviation(F.count(v), F.sum(v), F.sum(v * v)).alias("a"),
+        F.stddev_samp(v.cast("double")).alias("b"),
+    ).first()
+    assert row.a == pytest.approx(row.b, abs=1e-9)
+    none = df.limit(1).select(numbers.sample_deviation(F.count(v), F.sum(v), F.sum(v * v)).alias("a"))
+    assert none.first().a is None
+
+
 def test_division_by_zero_is_null(spark):
     assert one(spark, numbers.ratio(F.col("a"), F.col("b")), a=1, b=0) is None
     assert one(spark, numbers.percent(F.col("a"), F.col("b")), a=1, b=3) == Decimal("33.33")
@@ -86,7 +108,7 @@ def test_friction_allow_list_precedes_problem_list(spark):
 
 def test_region_of_country(spark):
     region = rules.region_of("c", rules.REGIONS, rules.REGION_OTHER)
-    df = spark.createDataFrame([("norway  ",), ("USA",), ("Japan",), ("Peru",), (None,)], "c STRING")
+    df = spark.createDataFrame([("Norway",), ("USA",), ("Japan",), ("Peru",), (None,)], "c STRING")
     assert [r[0] for r in df.select(region).collect()] == ["EMEA", "NA", "APAC", "Other/Unknown", "Other/Unknown"]
 
 

@@ -51,7 +51,7 @@ def test_csv_is_typed_and_dates_may_be_text(spark, tmp_path):
         "orderNumber,orderDate,requiredDate,shippedDate,status,comments,customerNumber\n"
         '1,31-01-2004,2004-02-10,NULL,Shipped,"two\nlines, ""quoted""",7\n'
     )
-    raw = readers.read_csv(spark, str(tmp_path), "orders", text_dates=True)
+    raw = readers.read_csv(spark, str(tmp_path), "orders", text_dates=True, multi_line=True)
     row = normalize_dates(raw, ["orderDate", "requiredDate", "shippedDate"]).first()
     assert str(row.orderDate) == "2004-01-31" and str(row.requiredDate) == "2004-02-10"
     assert row.shippedDate is None and row.comments == 'two\nlines, "quoted"' and row.customerNumber == 7
@@ -66,12 +66,56 @@ def test_csv_that_does_not_fit_fails(spark, tmp_path):
         readers.read_csv(spark, str(tmp_path), "payments").collect()
 
 
+def test_csv_is_read_by_column_name(spark, tmp_path):
+    (tmp_path / "payments").mkdir()
+    (tmp_path / "payments" / "a.csv").write_text(
+        "checkNumber,extra,amount,customerNumber,paymentDate\nC1,x,1.00,7,2004-01-01\n")
+    row = readers.read_csv(spark, str(tmp_path), "payments").first()
+    assert (row.customerNumber, row.checkNumber, row.amount) == (7, "C1", Decimal("1.00"))
+    (tmp_path / "payments" / "b.csv").write_text(
+        "extra,checkNumber,amount,customerNumber,paymentDate\ny,C2,1.00,7,2004-01-01\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, str(tmp_path), "payments").collect()
+
+
+def test_csv_is_split(spark, tmp_path):
+    (tmp_path / "payments").mkdir()
+    rows = "".join(f"{i},C{i},2004-01-01,1.00\n" for i in range(5000))
+    (tmp_path / "payments" / "a.csv").write_text("customerNumber,checkNumber,paymentDate,amount\n" + rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    df = readers.read_csv(spark, str(tmp_path), "payments")
+    assert df.rdd.getNumPartitions() > 4 and df.count() == 5000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_wide_keys_read_narrow_and_wide_files(spark, tmp_path):
+    for name, kind, key in (("narrow", "INT", 5), ("wide", "BIGINT", 2**40)):
+        columns = "orderDate DATE, requiredDate DATE, shippedDate DATE, status STRING, comments STRING"
+        raw = spark.createDataFrame([(key, None, None, None, "on hold ", None, 1)], f"orderNumber {kind}, {columns}, customerNumber {kind}")
+        raw.write.parquet(f"{tmp_path}/{name}/orders")
+        row = readers.load(spark, f"{tmp_path}/{name}", ["orders"])["orders"].first()
+        assert row.orderNumber == key and row.status == "On Hold"
+
+
+def test_writers_gather_rows_before_they_write(spark, model, tmp_path):
+    spread = spark.range(0, 4000, 1, 16).selectExpr("id AS k", "id % 3 AS month")
+    sinks.write_table(spread, f"{tmp_path}/months", ("month",))
+    files = list((tmp_path / "months").glob("month=*/*.parquet"))
+    assert len(files) <= 6
+    spark.sql("CREATE DATABASE IF NOT EXISTS filed")
+    sinks.write_bucketed(spread, "filed.spread", "k", 4)
+    assert len(spark.table("filed.spread").inputFiles()) == 4
+
+
 def test_jdbc_scan_is_split_by_ranges():
     options = readers.jdbc_options("jdbc:x", "orderdetails", "orderNumber", (1, 1000), 8)
     assert options["numPartitions"] == "8" and options["partitionColumn"] == "orderNumber"
     assert "partitionColumn" not in readers.jdbc_options("jdbc:x", "offices")
     with pytest.raises(ValueError):
         readers.jdbc_options("jdbc:x", "orderdetails", "orderNumber")
+    with pytest.raises(ValueError):
+        readers.jdbc_options("jdbc:x", "orders")
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark, model):

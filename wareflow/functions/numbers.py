@@ -8,22 +8,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Counts, units and money: exact to the cent, and their quotient to 18 digits.
+EXACT = "decimal(20,2)"
+
+
 def ratio(num: Column, den: Column) -> Column:
-    """``num / den`` as double, NULL when the divisor is zero."""
-    return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))
+    """``num / den`` of counts, units or money as a decimal, NULL when the divisor is zero."""
+    return num.cast(EXACT) / F.nullif(den.cast(EXACT), F.lit(0).cast(EXACT))
 
 
 def rounded(col: Column, digits: int) -> Column:
-    """Round half away from zero.
+    """Round a decimal half away from zero, once."""
+    return F.round(col, digits)
+
 
-    The value passes through DECIMAL(24,6) first: a double that differs in its last bit,
-    because partial sums met in another order, then still rounds to the same figure.
-    """
-    return F.round(col.cast("decimal(24,6)"), digits)
+def steady(col: Column) -> Column:
+    """A double as DECIMAL(24,6): one that differs in its last bit, because partial sums met in
+    another order, still rounds to the same figure. For roots only; quotients are exact."""
+    return col.cast("decimal(24,6)")
 
 
 def percent(num: Column, den: Column, digits: int = 2) -> Column:
-    return rounded(ratio(num, den) * 100, digits)
+    return rounded(ratio(num * 100, den), digits)
 
 
 def exact(value: float | str | Decimal) -> Column:
@@ -32,5 +38,12 @@ def exact(value: float | str | Decimal) -> Column:
 
 
 def std_error(deviation: Column, count: Column) -> Column:
-    """Standard error of a mean; NULL for an empty group."""
-    return ratio(deviation, F.sqrt(count))
+    """Standard error of a mean as a double; NULL for an empty group."""
+    return deviation / F.nullif(F.sqrt(count), F.lit(0.0))
+
+
+def sample_deviation(n: Column, total: Column, squares: Column) -> Column:
+    """Sample deviation from exact moments: count, sum and sum of squares. NULL below two values."""
+    whole = total.cast("decimal(19,2)")
+    spread = (n.cast("decimal(14,0)") * squares.cast("decimal(24,4)")).cast("decimal(38,4)") - whole * whole
+    return F.when(n > 1, F.sqrt(spread.cast("double") / n / (n - 1)))

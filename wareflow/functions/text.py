@@ -1,7 +1,9 @@
-"""Text comparison that ignores case and trailing blanks, and lists of distinct values.
+"""Canonical text, tests on free text, and lists of distinct values.
 
 The source database compares text without regard to case or trailing blanks; Spark
-compares bytes. Every operator that tests a status or a name does so through here.
+compares bytes. Text columns therefore get one spelling per value when a table is read
+(``operators.clean.fold_text``); operators then compare plain columns, so that their filters reach
+the scan of a stored table. Only free text, such as comments, is folded where it is used.
 """
 
 from __future__ import annotations
@@ -22,14 +24,20 @@ def fold(col: str | Column) -> Column:
     return F.lower(F.rtrim(col))
 
 
-def label(col: str | Column) -> Column:
-    """Grouping form of a text column: trailing blanks do not make a new group."""
-    return F.rtrim(col)
+def canonical(col: Column, values: Iterable[str]) -> Column:
+    """The spelling in ``values`` that a text has but for case and trailing blanks; any other text
+    only loses its trailing blanks."""
+    spelling = {value.rstrip(" ").lower(): value for value in values}
+    if not spelling:
+        return F.rtrim(col)
+    pairs = F.create_map(*[F.lit(x) for pair in spelling.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, fold(col)), F.rtrim(col))
 
 
 def text_in(col: str | Column, values: Iterable[str]) -> Column:
-    """Folded IN list. NULL stays unknown, so ``~text_in`` drops NULL rows as SQL does."""
-    return fold(col).isin(*[v.rstrip(" ").lower() for v in values])
+    """IN list on a canonical column. NULL stays unknown: ``~text_in`` drops NULL rows as SQL does."""
+    col = F.col(col) if isinstance(col, str) else col
+    return col.isin(*values)
 
 
 def contains_any(col: str | Column, parts: Iterable[str]) -> Column:
@@ -37,7 +45,7 @@ def contains_any(col: str | Column, parts: Iterable[str]) -> Column:
     col = F.col(col) if isinstance(col, str) else col
     found = F.lit(False)
     for part in parts:
-        found = found | col.ilike(f"%{part}%")
+        found = found | F.contains(F.lower(col), F.lit(part.lower()))
     return found
 
 
@@ -54,6 +62,12 @@ def matches(col: str | Column, pattern: str) -> Column:
     return reduce(or_, found)
 
 
+def name_list(col: str | Column, sep: str = ", ") -> Column:
+    """Aggregate: like ``distinct_list``, for rows that a roll-up has made few. Collects a list, so the
+    optimiser keeps that roll-up, which it drops below a set."""
+    return F.nullif(F.array_join(F.sort_array(F.array_distinct(F.collect_list(col))), sep), F.lit(""))
+
+
 def distinct_list(col: str | Column, sep: str = ", ") -> Column:
     """Aggregate: sorted distinct values joined by ``sep``; NULL when there are none.
 

@@ -10,19 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from wareflow.functions.text import fold
+from wareflow.functions.text import canonical as spelled
 
-ISO = "yyyy-MM-dd"
-DAY_FIRST = "dd-MM-yyyy"
+ISO = "yyyy-M-d"
+DAY_FIRST = "d-M-yyyy"
+
+# What the numbers of a format match; a day or month may have one digit.
+_DIGITS = {"yyyy": "[0-9]{4}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}", "MM": "[0-9]{2}", "dd": "[0-9]{2}"}
+
+
+def _shape(fmt: str) -> str | None:
+    """The regular expression of all texts in a format of numbers, NULL for other formats."""
+    tokens = re.findall(r"([A-Za-z])(\1*)|([^A-Za-z]+)", fmt)
+    parts = [_DIGITS.get(a + b) if a else re.escape(other) for a, b, other in tokens]
+    return None if None in parts else f"^{''.join(parts)}$"
 
 
 def _date(col: str, fmt: str) -> Column:
-    """NULL unless the text is a date in the format. A format of fixed-width numbers is
-    tried only on text of its shape, since a parse that fails is slow."""
-    parsed = F.try_to_date(col, fmt)
-    if not re.fullmatch(r"((yyyy|MM|dd)[^A-Za-z%_]*)+", fmt):
-        return parsed
-    return F.when(F.col(col).like(re.sub("[A-Za-z]", "_", fmt)), parsed)
+    """NULL unless the text, but for blanks around it, is a date in the format. Text of another
+    shape is not parsed, since a parse that fails is slow."""
+    text = F.trim(F.col(col))
+    parsed, shape = F.try_to_date(text, fmt), _shape(fmt)
+    return F.when(text.rlike(shape), parsed) if shape else parsed
 
 
 def normalize_dates(
@@ -43,8 +52,10 @@ def normalize_dates(
     parsed = {c: parse(c, formats) for c in cols}
     if whole_row:
         # a NULL date neither triggers nor prevents the rewrite
-        iso = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-        off_format = [F.col(c).isNotNull() & ~F.col(c).rlike(iso) for c in cols]
+        first = _shape(formats[0])
+        if first is None:
+            raise ValueError("whole_row needs numbers only in the first format")
+        off_format = [F.col(c).isNotNull() & ~F.trim(F.col(c)).rlike(first) for c in cols]
         touched = reduce(lambda a, b: a | b, off_format)
         parsed = {
             c: F.when(touched, parse(c, formats[1:])).otherwise(parse(c, formats[:1])) for c in cols
@@ -57,21 +68,20 @@ def fold_text(
 ) -> DataFrame:
     """Trim trailing blanks of every text column, and give the columns named in
     ``canonical`` one spelling per value whatever the case ('On hold' -> 'On Hold')."""
-    folded = {
-        f.name: F.rtrim(f.name) for f in df.schema.fields if isinstance(f.dataType, StringType)
-    }
-    for name, values in (canonical or {}).items():
-        chain = folded[name]
-        for value in reversed(values):
-            chain = F.when(fold(name) == value.lower(), value).otherwise(chain)
-        folded[name] = chain
-    return df.withColumns(folded)
+    known = canonical or {}
+    return df.withColumns(
+        {
+            f.name: spelled(F.col(f.name), known.get(f.name, ()))
+            for f in df.schema.fields
+            if isinstance(f.dataType, StringType)
+        }
+    )
 
 
 def override(df: DataFrame, column: str, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Replace ``column`` where a rule (match column, match value, new value) holds; the
-    first matching rule wins."""
+    first matching rule wins. Match columns are canonical."""
     chain = F.col(column)
     for match, value, new in reversed(rules):
-        chain = F.when(fold(match) == value.rstrip(" ").lower(), new).otherwise(chain)
+        chain = F.when(F.col(match) == value, new).otherwise(chain)
     return df.withColumn(column, chain)

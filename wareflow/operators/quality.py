@@ -14,7 +14,8 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def _key_text(keys: Sequence[str]) -> Column:
-    return F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    """Parts joined by bars; a NULL part is empty but keeps its place."""
+    return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
 
 
 def duplicate_keys(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:

@@ -80,14 +80,32 @@ def located_products(products: DataFrame, warehouses: DataFrame, how: str = "inn
     )
 
 
-def order_footprint(
-    lines: DataFrame, products: DataFrame, warehouses: DataFrame, *aggs: Column, how: str = "inner"
+def order_places(
+    lines: DataFrame,
+    products: DataFrame,
+    warehouses: DataFrame,
+    *by: str,
+    how: str = "inner",
 ) -> DataFrame:
-    """Aggregates per order over its lines, their product line and warehouse name."""
-    place = located_products(products, warehouses, how).select(
-        "productCode", "productLine", "warehouseName"
+    """Lines and units of each order by some of productLine and warehouseName.
+
+    Sums of numbers only, so each task hashes its lines whatever their number; names are
+    collected later, from what is left.
+    """
+    place = located_products(products, warehouses, how).select("productCode", *by)
+    return (
+        lines.join(place, "productCode", how)
+        .groupBy("orderNumber", *by)
+        .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("quantityOrdered").alias("units"))
     )
-    return lines.join(place, "productCode", how).groupBy("orderNumber").agg(*aggs)
+
+
+def order_units(
+    lines: DataFrame, products: DataFrame, warehouses: DataFrame, *sums: Column
+) -> DataFrame:
+    """Sums over the lines of each order, which may use the name of their warehouse."""
+    place = located_products(products, warehouses).select("productCode", "warehouseName")
+    return lines.join(place, "productCode").groupBy("orderNumber").agg(*sums)
 
 
 def stock_by(products: DataFrame, *by: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wareflow.functions.numbers import percent, rounded, std_error
+from wareflow.functions.numbers import percent, ratio, rounded, sample_deviation, std_error
 
 
 def share_of_total(df: DataFrame, by: Sequence[str | Column], digits: int = 2) -> DataFrame:
@@ -40,19 +40,22 @@ def pivot_stats(
     df: DataFrame, key: Sequence[str], pivot_col: str, values: Sequence[str], measure: str
 ) -> DataFrame:
     """Average, sample deviation and standard error of ``measure`` for each key and each of
-    the given pivot values, in one pass of conditional aggregates. Columns are
-    ``avg_<value>``, ``std_<value>`` and ``err_<value>`` in lower case, unrounded."""
-    aggs, errors = [], {}
+    the given pivot values, in one pass of conditional sums. Columns are ``avg_<value>`` (an exact
+    quotient), ``std_<value>`` and ``err_<value>`` (doubles) in lower case, unrounded."""
+    aggs, means, deviations, errors = [], {}, {}, {}
     for value in values:
         name = value.lower()
-        only = F.when(F.col(pivot_col) == value, F.col(measure).cast("double"))
+        only = F.when(F.col(pivot_col) == value, F.col(measure))
         aggs += [
-            F.avg(only).alias(f"avg_{name}"),
-            F.stddev_samp(only).alias(f"std_{name}"),
             F.count(only).alias(f"n_{name}"),
+            F.sum(only).alias(f"sum_{name}"),
+            F.sum(only * only).alias(f"squares_{name}"),
         ]
-        errors[f"err_{name}"] = std_error(F.col(f"std_{name}"), F.col(f"n_{name}"))
-    return df.groupBy(*key).agg(*aggs).withColumns(errors)
+        n, total, squares = (F.col(f"{c}_{name}") for c in ("n", "sum", "squares"))
+        means[f"avg_{name}"] = ratio(total, n)
+        deviations[f"std_{name}"] = sample_deviation(n, total, squares)
+        errors[f"err_{name}"] = std_error(F.col(f"std_{name}"), n)
+    return df.groupBy(*key).agg(*aggs).withColumns(means | deviations).withColumns(errors)
 
 
 def spread_of(cols: Sequence[str], as_written: bool = True) -> Column:
@@ -62,8 +65,8 @@ def spread_of(cols: Sequence[str], as_written: bool = True) -> Column:
     otherwise the result is NULL unless two columns have a value.
     """
     if as_written:
-        high = F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) for c in cols])
-        low = F.least(*[F.coalesce(F.col(c), F.lit(999999.0)) for c in cols])
+        high = F.greatest(*[F.coalesce(F.col(c), F.lit(0)) for c in cols])
+        low = F.least(*[F.coalesce(F.col(c), F.lit(999999)) for c in cols])
         return high - low
     present = sum(F.col(c).isNotNull().cast("int") for c in cols)
     return F.when(present >= 2, F.greatest(*cols) - F.least(*cols))

@@ -27,6 +27,7 @@ def reallocate(
     closed: Iterable[str] = (),
     retention: Mapping[str, float] | None = None,
     receiver_tag: str = " (Consolidated)",
+    unassigned: str = "Unassigned",
 ) -> DataFrame:
     """Warehouses after the product lines in ``moves`` (line -> warehouse code) have moved.
 
@@ -34,6 +35,10 @@ def reallocate(
     from -> fraction kept) cuts stock and capital, not revenue. Capacity scales a receiver's
     own percentage by new over old stock; other warehouses keep theirs. The products are
     read once, whatever the number of moves.
+
+    No stock is lost: what stays in a closed warehouse, or lies in one that ``warehouses`` doesn't
+    have, is in a row of its own code named ``unassigned``, without a capacity. A move to an unknown
+    warehouse fails.
     """
     old = F.col("warehouseCode")
     kept = _choose(old, retention or {}, exact(1), exact)
@@ -62,24 +67,38 @@ def reallocate(
         F.sum("revenue").alias("revenue"),
         distinct_list("productLine").alias("product_lines"),
     )
-    pct = F.col("warehousePctCap").cast("double")
-    receiver = F.col("warehouseCode").isin(*set(moves.values()))
-    scaled = ratio(F.col("stock"), F.col("old_stock"))
-    return (
-        warehouses.filter(~F.col("warehouseCode").isin(*closed))
-        .join(after, "warehouseCode", "left")
-        .join(before, "warehouseCode", "left")
+    pct = F.col("warehousePctCap").cast("decimal(10,4)")
+    receiver = F.col("warehouse_code").isin(*set(moves.values()))
+    scaled = ratio(F.col("stock"), F.col("old_stock")) * pct
+    open_now = ~F.col("w.warehouseCode").isin(*closed)
+    known = F.col("w.warehouseCode").isNotNull()
+    rows = (
+        warehouses.alias("w")
+        .join(after.alias("a"), F.col("w.warehouseCode") == F.col("a.warehouseCode"), "full")
         .select(
-            F.col("warehouseCode").alias("warehouse_code"),
-            F.concat("warehouseName", F.when(receiver, receiver_tag).otherwise("")).alias(
-                "simulated_warehouse"
-            ),
+            F.coalesce("w.warehouseCode", "a.warehouseCode").alias("warehouse_code"),
+            F.when(known & open_now, F.col("warehouseName")).alias("name"),
+            F.when(known & open_now, pct).alias("warehousePctCap"),
+            known.alias("known"),
+            (known & open_now).alias("open"),
+            "stock",
+            "capital",
+            "revenue",
             "product_lines",
-            F.coalesce("stock", F.lit(0)).alias("simulated_stock"),
-            F.coalesce("capital", F.lit(0)).alias("simulated_capital"),
-            F.coalesce("revenue", F.lit(0)).alias("simulated_revenue"),
-            rounded(F.when(receiver, scaled * pct).otherwise(pct), 4).alias(
-                "simulated_capacity_pct"
-            ),
         )
+        .filter(F.col("open") | (F.col("stock") > 0) | (F.col("revenue") > 0))
+        .join(before.withColumnRenamed("warehouseCode", "warehouse_code"), "warehouse_code", "left")
+    )
+    unknown = F.raise_error(F.concat(F.lit("moves name an unknown warehouse: "), F.col("warehouse_code")))
+    named = F.when(receiver & ~F.col("known"), unknown.cast("string")).when(
+        F.col("open"), F.concat("name", F.when(receiver, receiver_tag).otherwise(""))
+    )
+    return rows.select(
+        "warehouse_code",
+        F.coalesce(named, F.lit(unassigned)).alias("simulated_warehouse"),
+        "product_lines",
+        F.coalesce("stock", F.lit(0)).alias("simulated_stock"),
+        F.coalesce("capital", F.lit(0)).alias("simulated_capital"),
+        F.coalesce("revenue", F.lit(0)).alias("simulated_revenue"),
+        rounded(F.when(receiver, scaled).otherwise(pct), 4).alias("simulated_capacity_pct"),
     )

@@ -6,6 +6,7 @@ order grain come unordered, since whoever writes them out needs no total order.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +17,12 @@ from wareflow.functions import present, rules
 from wareflow.operators import clean, quality
 from wareflow.operators.rollups import lines_of, product_sales, with_status
 from wareflow.operators.whatif import reallocate
-from wareflow.session import prepare
+from wareflow.session import missing_settings
 from wareflow.plans import customers, delivery, inventory, stock, territory, warehouse
 from wareflow.sources import supplied
-from wareflow.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, TABLES
+from wareflow.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, STATUSES, TABLES
 from wareflow.sources.supplied import Supplied
 
-UNSOLD_SINCE = "2001-06-01"  # few enough orders that many products have none
-INACTIVE_SINCE = "2001-01-01"
-
 CLOSE_SOUTH = {"moves": {"SMALL": "a", "LARGE": "c"}, "closed": ["d"]}
 CLOSE_WEST = {"moves": {"MEDIUM": "b"}, "closed": ["c"]}
 KEPT = {"b": 0.81, "c": 0.81}
@@ -35,10 +33,6 @@ COUNTRY_REGIONS = {
     "APAC": [f"NATION_{i}" for i in range(25) if i % 5 == 2],
     "EMEA": [f"NATION_{i}" for i in range(1, 25) if i % 5 in (0, 3, 4)],
 }
-# The order statuses in their canonical spelling.
-STATUSES = ("Shipped", "Cancelled", "In Process", "Resolved", "On Hold", "Disputed")
-SUPPLIED_REASONS = (supplied.REASONS, supplied.REASON_BLANK, supplied.REASON_OTHER)
-
 
 def model_tables(t: Supplied) -> dict[str, DataFrame]:
     """All tables of the data model by their names in the schema."""
@@ -49,16 +43,10 @@ def model_tables(t: Supplied) -> dict[str, DataFrame]:
 
 def normalize_dates(t: Supplied, whole_row: bool = False) -> DataFrame:
     return clean.normalize_dates(
-        t.orders_with_text_dates(), ["orderDate", "requiredDate"], whole_row=whole_row
+        t.orders_with_text_dates(), ["orderDate", "requiredDate", "shippedDate"], whole_row=whole_row
     )
 
 
-def folded_status_share(t: Supplied) -> DataFrame:
-    """Statuses typed in any case, with trailing blanks, counted under one spelling each."""
-    folded = clean.fold_text(t.orders_with_typed_status(), {"status": STATUSES})
-    return customers.order_status_share(folded)
-
-
 def duplicate_keys(t: Supplied) -> DataFrame:
     return quality.duplicate_keys(
         {
@@ -89,13 +77,12 @@ def sales_chain(t: Supplied) -> tuple[DataFrame, ...]:
     return t.lines(), t.orders(), t.customers(), t.employees(), t.offices()
 
 
-def goods(t: Supplied, since: str | None = None) -> tuple[DataFrame, ...]:
-    lines = t.lines_since(since) if since else t.lines()
-    return t.products(), t.warehouses(), lines
+def goods(t: Supplied) -> tuple[DataFrame, ...]:
+    return t.products(), t.warehouses(), t.lines()
 
 
-def goods_and_orders(t: Supplied, since: str | None = None) -> tuple[DataFrame, ...]:
-    return *goods(t, since), t.orders()
+def goods_and_orders(t: Supplied) -> tuple[DataFrame, ...]:
+    return *goods(t), t.orders()
 
 
 def shipping(t: Supplied, comments: bool = False) -> tuple[DataFrame, ...]:
@@ -104,8 +91,7 @@ def shipping(t: Supplied, comments: bool = False) -> tuple[DataFrame, ...]:
 
 def shipping_by_country_excl(t: Supplied) -> DataFrame:
     orders, *others = shipping(t)
-    slowest = delivery.slowest_order_number(orders).scalar()
-    return delivery.shipping_by_country(orders.filter(F.col("orderNumber") != slowest), *others)
+    return delivery.shipping_by_country(orders, *others, exclude=delivery.slowest_order_number(orders))
 
 
 def disputed(t: Supplied) -> DataFrame:
@@ -141,7 +127,6 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
     # cleaning and quality
     "normalize_dates": normalize_dates,
     "normalize_dates_whole_row": lambda t: normalize_dates(t, whole_row=True),
-    "folded_status_share": folded_status_share,
     "duplicate_keys": duplicate_keys,
     "null_audit_payments": lambda t: quality.null_audit(
         t.payments(),
@@ -156,7 +141,6 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
         {
             "orderDate": "missing_order_date",
             "requiredDate": "missing_required_date",
-            "shippedDate": "missing_shipped_date",
         },
     ),
     "null_audit_customers": lambda t: quality.null_audit(
@@ -186,57 +170,45 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
     ),
     # customers, status, comments
     "inactive_customers": lambda t: customers.inactive_customers(t.customers(), t.orders()),
-    "inactive_customers_since": lambda t: customers.inactive_customers(
-        t.customers(), t.orders_since(INACTIVE_SINCE)
-    ),
     "active_countries": lambda t: customers.active_countries(
         t.customers(), t.orders(), COUNTRY_REGIONS
     ),
     "customer_friction": lambda t: customers.customer_friction(
-        t.customers(), t.orders(comments=True), t.employees(), supplied.ALLOW, supplied.PROBLEM,
-        ordered=False,
-    ),
-    "customer_friction_since": lambda t: customers.customer_friction(
-        t.customers(),
-        t.orders(comments=True).filter(f"orderDate >= DATE'{INACTIVE_SINCE}'"),
-        t.employees(),
-        supplied.ALLOW,
-        supplied.PROBLEM,
-        ordered=False,
+        t.customers(), t.orders(comments=True), t.employees(), ordered=False
     ),
     "customer_comments": lambda t: customers.customer_comments(t.orders(comments=True)),
     "order_status_share": lambda t: customers.order_status_share(t.orders()),
+    "folded_status_share": lambda t: customers.order_status_share(
+        clean.fold_text(t.orders_as_typed(), {"status": STATUSES})
+    ),
     "order_exceptions": lambda t: customers.order_exceptions(
         t.orders(comments=True),
         t.lines(),
         t.products(),
         t.warehouses(),
         t.customers(),
-        rules=supplied.REASONS,
-        blank=supplied.REASON_BLANK,
-        other=supplied.REASON_OTHER,
         ordered=False,
     ),
     "disputed_products": lambda t: customers.products_in_orders(
-        t.lines(), t.products(), customers.largest_orders(t.lines(), disputed(t), 5)
+        t.lines(), t.products(), disputed(t)
     ),
-    "disputed_products_all": lambda t: customers.products_in_orders(
-        t.lines(), t.products(), disputed(t), listed=False
+    "disputed_product_orders": lambda t: customers.products_and_orders(
+        t.lines(), t.products(), disputed(t)
     ),
     "keyword_classify": lambda t: customers.keyword_classes(
-        t.orders(comments=True), "orderNumber", "comments", *SUPPLIED_REASONS
+        t.scan("documents"), "doc_id", "text", *supplied.REASONS
     ),
     "keyword_classify_exceptions": lambda t: customers.keyword_classes(
-        t.scan("documents"), "doc_id", "text",
+        t.orders(comments=True), "orderNumber", "comments",
         rules.EXCEPTION_RULES, rules.EXCEPTION_BLANK, rules.EXCEPTION_OTHER,
     ),
     "keyword_classify_delays": lambda t: customers.keyword_classes(
-        t.scan("documents"), "doc_id", "text",
+        t.orders(comments=True), "orderNumber", "comments",
         rules.DELAY_RULES, rules.DELAY_BLANK, rules.DELAY_OTHER,
     ),
-    "keyword_friction_flags": lambda t: t.scan("documents").select(
-        "doc_id",
-        rules.friction_flag("text", rules.FRICTION_ALLOW, rules.FRICTION_PROBLEM).alias("flag"),
+    "keyword_friction_flags": lambda t: t.orders(comments=True).select(
+        "orderNumber",
+        rules.friction_flag("comments", rules.FRICTION_ALLOW, rules.FRICTION_PROBLEM).alias("flag"),
     ),
     # delivery
     "delivery_performance": lambda t: delivery.delivery_performance(t.orders()),
@@ -246,20 +218,13 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
     ),
     "shipping_by_country_excl": shipping_by_country_excl,
     "slowest_orders": lambda t: delivery.slowest_orders(
-        *shipping(t, comments=True),
-        rules=supplied.REASONS,
-        blank=supplied.REASON_BLANK,
-        other=supplied.REASON_OTHER,
-        ordered=False,
+        *shipping(t, comments=True), ordered=False
     ),
     # inventory and stock
     "line_stock_vs_sales": lambda t: inventory.line_stock_vs_sales(
         t.lines(), t.orders(), t.products(), t.warehouses()
     ),
     "product_revenue": lambda t: inventory.product_revenue(*goods(t), ordered=False),
-    "product_revenue_since": lambda t: inventory.product_revenue(
-        *goods(t, UNSOLD_SINCE), ordered=False
-    ),
     "product_revenue_corrected": lambda t: inventory.product_revenue(
         *goods_and_orders(t), corrected=True, ordered=False
     ),
@@ -268,27 +233,19 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
         *goods_and_orders(t), drop=["Cancelled"]
     ),
     "stock_health": lambda t: stock.stock_health(*goods_and_orders(t), ordered=False),
-    "stock_health_since": lambda t: stock.stock_health(
-        *goods_and_orders(t, UNSOLD_SINCE), ordered=False
-    ),
     "stock_health_corrected": lambda t: stock.stock_health(
-        *goods_and_orders(t, UNSOLD_SINCE), corrected=True, ordered=False
+        *goods_and_orders(t), corrected=True, ordered=False
     ),
     "warehouse_health_pct": lambda t: stock.warehouse_health_pct(*goods(t)),
-    "warehouse_health_pct_since": lambda t: stock.warehouse_health_pct(*goods(t, UNSOLD_SINCE)),
     "warehouse_movement_rank": lambda t: stock.warehouse_movement_rank(*goods_and_orders(t)),
     "warehouse_movement_rank_corrected": lambda t: stock.warehouse_movement_rank(
         *goods_and_orders(t), corrected=True
     ),
     "stock_reduction_plan": lambda t: stock.stock_reduction_plan(*goods_and_orders(t), ordered=False),
-    "stock_reduction_plan_since": lambda t: stock.stock_reduction_plan(
-        *goods_and_orders(t, UNSOLD_SINCE), ordered=False
+    "overstock_candidates": lambda t: stock.overstock_candidates(
+        *goods_and_orders(t), ordered=False
     ),
     "restock_plan": lambda t: stock.restock_plan(*goods_and_orders(t), ordered=False),
-    "overstock_candidates": lambda t: stock.overstock_candidates(*goods_and_orders(t), ordered=False),
-    "overstock_candidates_since": lambda t: stock.overstock_candidates(
-        *goods_and_orders(t, UNSOLD_SINCE), ordered=False
-    ),
     # warehouses
     "warehouse_capacity_rank": lambda t: warehouse.warehouse_capacity_rank(
         t.products(), t.warehouses()
@@ -320,4 +277,7 @@ def plain_types(df: DataFrame) -> DataFrame:
 
 
 def run(name: str, spark: SparkSession, base: str) -> DataFrame:
-    return plain_types(REPORTS[name](Supplied(prepare(spark), base)))
+    """A report in the caller's session, which stays as it is; see wareflow.session."""
+    if missing := missing_settings(spark):
+        warnings.warn(f"hot keys are split only with {', '.join(missing)}", stacklevel=2)
+    return plain_types(REPORTS[name](Supplied(spark, base)))

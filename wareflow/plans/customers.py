@@ -26,8 +26,8 @@ from wareflow.functions.rules import (
     keyword_label,
     region_of,
 )
-from wareflow.functions.text import distinct_list, label, text_in
-from wareflow.operators.rollups import left_join_spread, order_footprint, order_revenue
+from wareflow.functions.text import fold, name_list, text_in
+from wareflow.operators.rollups import left_join_spread, order_places
 from wareflow.operators.shares import share_of_total
 
 
@@ -56,7 +56,7 @@ def active_countries(
 ) -> DataFrame:
     """Customers with orders, and their orders, per country and its region."""
     return (
-        customers.select("customerNumber", label("country").alias("country"))
+        customers.select("customerNumber", "country")
         .join(orders_per_customer(orders), "customerNumber")
         .groupBy(region_of("country", regions, other).alias("region"), "country")
         .agg(
@@ -85,7 +85,7 @@ def customer_friction(
         orders.select(
             "customerNumber",
             friction_flag("comments", allow, problem).alias("flag"),
-            F.sha2("comments", 256).alias("digest"),
+            F.sha2(fold("comments"), 256).alias("digest"),
         )
         .groupBy("customerNumber")
         .agg(
@@ -95,7 +95,7 @@ def customer_friction(
         )
     )
     reps = employees.select(
-        "employeeNumber", F.concat_ws(" ", "firstName", "lastName").alias("rep_name")
+        "employeeNumber", F.concat("firstName", F.lit(" "), "lastName").alias("rep_name")
     )
     rolled = customers.select(
         "customerNumber", "customerName", "country", "salesRepEmployeeNumber"
@@ -106,7 +106,7 @@ def customer_friction(
             rolled, reps, "salesRepEmployeeNumber", "employeeNumber", ["customerNumber"]
         )
         .select(
-            label("country").alias("country"),
+            "country",
             F.col("customerNumber").alias("customer_number"),
             F.col("customerName").alias("customer_name"),
             F.coalesce("rep_name", F.lit(NO_REP)).alias("sales_representative"),
@@ -125,16 +125,18 @@ def customer_friction(
 
 
 def customer_comments(orders: DataFrame) -> DataFrame:
-    """Every distinct comment of every customer, whole, with the orders that carry it."""
+    """Every distinct comment of every customer, whole, with the orders that carry it. Comments
+    that differ in case or trailing blanks are one, shown in its least spelling."""
     return (
         orders.filter(F.col("comments").isNotNull())
-        .groupBy(F.col("customerNumber").alias("customer_number"), "comments")
-        .agg(F.count(F.lit(1)).alias("n_orders"))
+        .groupBy(F.col("customerNumber").alias("customer_number"), fold("comments"))
+        .agg(F.min(F.rtrim("comments")).alias("comments"), F.count(F.lit(1)).alias("n_orders"))
+        .select("customer_number", "comments", "n_orders")
     )
 
 
 def order_status_share(orders: DataFrame) -> DataFrame:
-    shares = share_of_total(orders, [label("status").alias("order_status")])
+    shares = share_of_total(orders, [F.col("status").alias("order_status")])
     return shares.select(
         "order_status", F.col("n").alias("total_orders"), F.col("pct").alias("pct_of_total")
     ).orderBy(F.desc("total_orders"), "order_status")
@@ -155,18 +157,19 @@ def order_exceptions(
 ) -> DataFrame:
     """Each order in one of ``statuses``: its product lines and warehouses, the units lost to
     cancellation, and the reason its comment gives. Orders without lines stay."""
-    footprint = order_footprint(
-        lines,
-        products,
-        warehouses,
-        distinct_list("productLine").alias("affected_product_lines"),
-        distinct_list("warehouseName").alias("affected_warehouses"),
-        F.sum("quantityOrdered").alias("units"),
-        how="left",
+    chosen = orders.filter(text_in("status", statuses))
+    wanted = lines.join(chosen.select("orderNumber"), "orderNumber", "left_semi")
+    footprint = (
+        order_places(wanted, products, warehouses, "productLine", "warehouseName", how="left")
+        .groupBy("orderNumber")
+        .agg(
+            name_list("productLine").alias("affected_product_lines"),
+            name_list("warehouseName").alias("affected_warehouses"),
+            F.sum("units").alias("units"),
+        )
     )
     rows = (
-        orders.filter(text_in("status", statuses))
-        .select(
+        chosen.select(
             "orderNumber",
             "customerNumber",
             "status",
@@ -190,43 +193,46 @@ def order_exceptions(
     return in_order(rows, ordered, "reason", "order_number")
 
 
-def products_in_orders(
-    lines: DataFrame,
-    products: DataFrame,
-    wanted: DataFrame,
-    listed: bool = True,
+def _products_of(
+    lines: DataFrame, products: DataFrame, wanted: DataFrame | Sequence[int]
 ) -> DataFrame:
-    """Products on the ``wanted`` orders (a column of unique order numbers): on how many
-    lines, and on which of the orders.
-
-    ``listed`` names the orders of each product, which suits a short list of orders;
-    otherwise they are counted. Lines shrink to (product, order) before they meet the
-    products.
-    """
-    pairs = (
-        lines.join(wanted.select("orderNumber"), "orderNumber")
-        .groupBy("productCode", "orderNumber")
+    """(product, order) pairs of the wanted orders, with the number of lines."""
+    if isinstance(wanted, DataFrame):
+        kept = lines.join(wanted.select("orderNumber"), "orderNumber", "left_semi")
+    else:
+        kept = lines.filter(F.col("orderNumber").isin(*wanted))
+    return (
+        kept.groupBy("productCode", "orderNumber")
         .agg(F.count(F.lit(1)).alias("n"))
         .join(products.select("productCode", "productName"), "productCode")
+    )
+
+
+def products_in_orders(
+    lines: DataFrame, products: DataFrame, wanted: DataFrame | Sequence[int]
+) -> DataFrame:
+    """Products on the ``wanted`` orders (a list or a table of order numbers): on how many lines,
+    and on how many of the orders. Which ones is in ``products_and_orders``: a list of the orders of
+    one product has no bound."""
+    return (
+        _products_of(lines, products, wanted)
         .groupBy(F.col("productName").alias("product_name"))
+        .agg(
+            F.sum("n").alias("times_disputed"),
+            F.count_distinct("orderNumber").alias("orders_involved"),
+        )
+        .orderBy(F.desc("times_disputed"), "product_name")
     )
-    if listed:
-        numbers = F.sort_array(F.collect_set("orderNumber"))
-        orders_involved = F.array_join(numbers.cast("array<string>"), ",")
-    else:
-        orders_involved = F.count_distinct("orderNumber")
-    return pairs.agg(
-        F.sum("n").alias("times_disputed"), orders_involved.alias("orders_involved")
-    ).orderBy(F.desc("times_disputed"), "product_name")
 
 
-def largest_orders(lines: DataFrame, orders: DataFrame, n: int) -> DataFrame:
-    """The ``n`` of the given orders with the highest revenue; ties to the smaller number."""
+def products_and_orders(
+    lines: DataFrame, products: DataFrame, wanted: DataFrame | Sequence[int]
+) -> DataFrame:
+    """Each product with each of the ``wanted`` orders that has it, and on how many lines."""
     return (
-        order_revenue(lines)
-        .join(orders.select("orderNumber"), "orderNumber")
-        .orderBy(F.desc("revenue"), "orderNumber")
-        .limit(n)
+        _products_of(lines, products, wanted)
+        .groupBy(F.col("productName").alias("product_name"), F.col("orderNumber").alias("order_number"))
+        .agg(F.sum("n").alias("times_disputed"))
     )
 
 

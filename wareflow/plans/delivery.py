@@ -20,8 +20,8 @@ from wareflow.functions.rules import (
     Rules,
     keyword_label,
 )
-from wareflow.functions.text import distinct_list, label
-from wareflow.operators.rollups import order_footprint
+from wareflow.functions.text import distinct_list, name_list
+from wareflow.operators.rollups import order_places
 
 DAYS_TO_SHIP = "datediff(shippedDate, orderDate)"
 
@@ -35,15 +35,18 @@ def delivery_performance(orders: DataFrame, early_days: int = 5) -> DataFrame:
         .when(spare < 0, LATE)
         .otherwise(ON_TIME)
     )
-    days = rounded(F.avg(F.expr(DAYS_TO_SHIP)), 0).cast("bigint")
+    spent = F.expr(DAYS_TO_SHIP)
+    days = rounded(ratio(F.sum(spent), F.count(spent)), 0).cast("bigint")
     return orders.groupBy(bucket.alias("delivery_performance")).agg(
         F.count(F.lit(1)).alias("total_orders"),
         text_or(days, "NA").alias("avg_days_to_ship"),
     )
 
 
-def _shipped(orders: DataFrame, exclude: Sequence[int] = ()) -> DataFrame:
+def _shipped(orders: DataFrame, exclude: DataFrame | Sequence[int] = ()) -> DataFrame:
     shipped = orders.filter(F.col("shippedDate").isNotNull())
+    if isinstance(exclude, DataFrame):
+        return shipped.join(exclude.select("orderNumber"), "orderNumber", "left_anti")
     return shipped.filter(~F.col("orderNumber").isin(*exclude)) if exclude else shipped
 
 
@@ -53,37 +56,37 @@ def shipping_by_country(
     lines: DataFrame,
     products: DataFrame,
     warehouses: DataFrame,
-    exclude: Sequence[int] = (),
+    exclude: DataFrame | Sequence[int] = (),
     corrected: bool = False,
 ) -> DataFrame:
     """Per country: shipped order lines, average days to ship and the warehouses involved.
 
-    As written the count and the average are over lines, so a long order weighs more;
-    ``corrected`` counts every order once. Either way lines shrink to one row per order
-    first, and the weight is that row's line count.
+    As written the count and the average are over lines, so a long order weighs more: line
+    counts and days add up over (country, warehouse). ``corrected`` counts every order once, so
+    an order's rows meet before they are counted. Either way lines shrink to (order, warehouse)
+    first. ``exclude`` is a list or a table of order numbers.
     """
-    footprint = order_footprint(
-        lines,
-        products,
-        warehouses,
-        F.count(F.lit(1)).alias("n_lines"),
-        F.collect_set("warehouseName").alias("places"),
-    )
-    weight = F.lit(1) if corrected else F.col("n_lines")
-    per_order = (
+    placed = (
         _shipped(orders, exclude)
-        .select("orderNumber", "customerNumber", F.expr(DAYS_TO_SHIP).alias("days"))
-        .join(footprint, "orderNumber")
-        .join(customers.select("customerNumber", label("country").alias("country")), "customerNumber")
-        .select("country", "days", weight.cast("bigint").alias("weight"), F.posexplode("places"))
+        .select("orderNumber", "customerNumber", F.expr(DAYS_TO_SHIP).cast("bigint").alias("days"))
+        .join(order_places(lines, products, warehouses, "warehouseName"), "orderNumber")
+        .join(customers.select("customerNumber", "country"), "customerNumber")
     )
-    once = F.col("pos") == 0  # an order's own figures count at its first warehouse only
+    if corrected:
+        places = placed.groupBy("orderNumber", "country", "days").agg(F.array_distinct(F.collect_list("warehouseName")).alias("places"))
+        placed = places.select("country", "days", F.posexplode("places").alias("pos", "warehouseName"))
+        # an order's own figures count at its first warehouse only
+        weight = F.when(F.col("pos") == 0, 1).otherwise(0).cast("bigint")
+    else:
+        weight = F.col("n_lines")
     return (
-        per_order.groupBy("country")
+        placed.groupBy("country", "warehouseName")
+        .agg(F.sum(weight).alias("n"), F.sum(weight * F.col("days")).alias("days"))
+        .groupBy("country")
         .agg(
-            F.sum(F.when(once, F.col("weight"))).alias("number_of_orders"),
-            F.sum(F.when(once, F.col("weight") * F.col("days"))).alias("days"),
-            distinct_list("col", ",").alias("warehouses_affected"),
+            F.sum("n").alias("number_of_orders"),
+            F.sum("days").alias("days"),
+            distinct_list("warehouseName", ",").alias("warehouses_affected"),
         )
         .select(
             "number_of_orders",
@@ -109,8 +112,10 @@ def slowest_orders(
     ordered: bool = True,
 ) -> DataFrame:
     """Shipped orders, slowest first: days to ship, warehouses and what the comment says."""
-    footprint = order_footprint(
-        lines, products, warehouses, distinct_list("warehouseName").alias("affected_warehouses")
+    footprint = (
+        order_places(lines, products, warehouses, "warehouseName")
+        .groupBy("orderNumber")
+        .agg(name_list("warehouseName").alias("affected_warehouses"))
     )
     rows = (
         _shipped(orders)
@@ -138,7 +143,6 @@ def slowest_orders(
 
 
 def slowest_order_number(orders: DataFrame) -> DataFrame:
-    """One row, one column: the number of the order that took longest; ties to the smaller."""
-    return _shipped(orders).agg(
-        F.max_by("orderNumber", F.struct(F.expr(DAYS_TO_SHIP), -F.col("orderNumber"))).alias("n")
-    )
+    """One row: the number of the order that took longest; ties to the smaller."""
+    latest = F.desc(F.expr(DAYS_TO_SHIP))
+    return _shipped(orders).orderBy(latest, "orderNumber").limit(1).select("orderNumber")

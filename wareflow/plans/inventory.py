@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wareflow.functions.numbers import percent, ratio, rounded, std_error
+from wareflow.functions.numbers import percent, ratio, rounded, sample_deviation, std_error, steady
 from wareflow.functions.present import in_order, text_or
 from wareflow.operators.rollups import (
     lines_of,
@@ -30,19 +30,26 @@ def line_stock_vs_sales(
     spread of the orders in ``statuses``."""
     group = ["warehouseCode", "warehouseName", "productLine"]
     place = located_products(products, warehouses).select("productCode", *group)
-    price = F.col("priceEach").cast("double")
-    sold = (
+    price = F.col("priceEach")
+    by_product = (
         lines_of(lines, with_status(orders, keep=statuses))
-        .join(place, "productCode")
-        .groupBy(*group)
+        .groupBy("productCode")
         .agg(
             F.sum("quantityOrdered").alias("units"),
-            F.count_distinct("productCode").alias("unique_products"),
             F.sum(revenue()).alias("revenue"),
-            F.stddev_samp(price).alias("deviation"),
             F.count(price).alias("n"),
+            F.sum(price).alias("prices"),
+            F.sum(price * price).alias("squares"),
         )
     )
+    # The deviation of a group follows from the exact sums of its products.
+    sums = [F.sum(c).alias(c) for c in ("units", "revenue", "n", "prices", "squares")]
+    sold = (
+        by_product.join(place, "productCode")
+        .groupBy(*group)
+        .agg(*sums, F.count(F.lit(1)).alias("unique_products"))
+        .withColumn("deviation", sample_deviation(F.col("n"), F.col("prices"), F.col("squares")))
+    )
     held = stock_by(products, "warehouseCode", "productLine").drop("n_products")
     every = Window.partitionBy()  # over (warehouse, product line) groups only
     units, stock = F.col("units"), F.col("stock")
@@ -61,8 +68,8 @@ def line_stock_vs_sales(
             F.coalesce(rounded(ratio(F.col("revenue"), units), 2), F.lit(0)).alias(
                 "average_revenue_per_unit"
             ),
-            F.coalesce(rounded(F.col("deviation"), 2), F.lit(0)).alias("price_stddev"),
-            F.coalesce(rounded(std_error(F.col("deviation"), F.col("n")), 2), F.lit(0)).alias(
+            F.coalesce(rounded(steady(F.col("deviation")), 2), F.lit(0)).alias("price_stddev"),
+            F.coalesce(rounded(steady(std_error(F.col("deviation"), F.col("n"))), 2), F.lit(0)).alias(
                 "std_error"
             ),
         )

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wareflow.functions.numbers import percent, rounded
+from wareflow.functions.numbers import percent, rounded, steady
 from wareflow.functions.present import in_order
 from wareflow.operators.rollups import (
     customer_territory,
     lines_of,
-    order_footprint,
     order_revenue,
     order_territory,
+    order_units,
     revenue,
 )
 from wareflow.operators.shares import (
@@ -123,8 +123,8 @@ def regional_price_gap(
             F.col("productName").alias("product_name"),
             F.col("productLine").alias("product_line"),
             *rounded_cols({f"avg_price_{t}": f"avg_{t}" for t in names}),
-            *rounded_cols({f"std_dev_{t}": f"std_{t}" for t in names}),
-            *rounded_cols({f"std_error_{t}": f"err_{t}" for t in names}),
+            *[rounded(steady(F.col(f"std_{t}")), 2).alias(f"std_dev_{t}") for t in names],
+            *[rounded(steady(F.col(f"err_{t}")), 2).alias(f"std_error_{t}") for t in names],
             rounded(gap, 2).alias("max_price_difference"),
         )
     )
@@ -147,7 +147,7 @@ def warehouse_to_territory(
     orders is then counting rows, without a distinct.
     """
     columns = {f"from_{n.lower()}": n for n in names}
-    units = order_footprint(
+    units = order_units(
         lines,
         products,
         warehouses,

@@ -17,15 +17,15 @@ from wareflow.operators.whatif import reallocate
 def warehouse_capacity_rank(products: DataFrame, warehouses: DataFrame) -> DataFrame:
     """Capacity that the stock and the occupied percentage imply, and the slots still free."""
     stock = F.col("stock")
-    occupied = F.col("warehousePctCap").cast("double")
-    capacity = ratio(stock, occupied / 100)
-    order = F.when(occupied > 0, capacity).otherwise(0).cast("decimal(24,6)")
+    occupied = F.col("warehousePctCap").cast("decimal(10,2)")
+    capacity = ratio(stock * 100, occupied)
+    order = F.when(occupied > 0, capacity).otherwise(0)
     return (
         warehouses.join(stock_by(products, "warehouseCode"), "warehouseCode")
         .select(
             F.col("warehouseCode").alias("warehouse_code"),
             F.col("warehouseName").alias("warehouse_name"),
-            occupied.alias("occupied_pct"),
+            occupied.cast("double").alias("occupied_pct"),
             stock.alias("current_item_count"),
             rounded(capacity, 0).alias("theoretical_capacity"),
             rounded(capacity - stock, 0).alias("remaining_empty_slots"),

@@ -7,15 +7,28 @@ import os
 from pyspark.sql import SparkSession
 
 
+#: Settings that `prepare` turns on.
+NEEDED = (
+    "spark.sql.adaptive.enabled",
+    "spark.sql.adaptive.skewJoin.enabled",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin",
+)
+
+
+def missing_settings(spark: SparkSession) -> list[str]:
+    """The settings the plans rely on that a session doesn't have."""
+    return [key for key in NEEDED if spark.conf.get(key) != "true"]
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """The adaptive settings the plans rely on, for any session.
 
     A key that holds a large part of the rows is split at run time, also where the next
     step could have used the join's partitioning and needs one more shuffle for it.
     """
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    for key in NEEDED:
+        if spark.conf.get(key) != "true":
+            spark.conf.set(key, "true")
     return spark
 
 

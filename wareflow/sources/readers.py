@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
-from wareflow.sources.schemas import TABLES, schema_of
+from wareflow.operators.clean import fold_text
+from wareflow.sources.schemas import CANONICAL, FACTS, TABLES, schema_of
 
 
 def read_parquet(spark: SparkSession, base: str, table: str) -> DataFrame:
@@ -15,20 +17,35 @@ def read_parquet(spark: SparkSession, base: str, table: str) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, base: str, table: str, text_dates: bool = False, null: str = "NULL"
+    spark: SparkSession,
+    base: str,
+    table: str,
+    text_dates: bool = False,
+    null: str = "NULL",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Header CSV with declared types; a row that does not fit fails the job instead of
-    turning into NULLs."""
-    return (
-        spark.read.schema(schema_of(table, text_dates))
-        .option("header", True)
+    """Header CSV with declared types, read by column name; a row that does not fit fails the job
+    instead of turning into NULLs.
+
+    ``multi_line`` allows line ends in quoted text, at the price of one task for each file.
+    """
+    schema = schema_of(table, text_dates)
+    read = (
+        spark.read.option("header", True)
         .option("nullValue", null)
         .option("mode", "FAILFAST")
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
-        .csv(f"{base}/{table}")
+        .option("multiLine", multi_line)
     )
+    # The first file's header tells the order of the columns; a file that has another one fails.
+    header = read.csv(f"{base}/{table}").columns
+    missing = set(schema.fieldNames()) - set(header)
+    if missing:
+        raise ValueError(f"{table} has no columns {sorted(missing)}")
+    types = {f.name: f.dataType for f in schema}
+    found = StructType([StructField(name, types.get(name, StringType())) for name in header])
+    return read.schema(found).option("enforceSchema", False).csv(f"{base}/{table}").select(*schema.fieldNames())
 
 
 def jdbc_options(
@@ -40,7 +57,9 @@ def jdbc_options(
     fetch: int = 10_000,
 ) -> dict[str, str]:
     """Options of a database scan. With ``split_on`` the table is read by ``splits`` parallel
-    range queries; without it one task reads everything, which suits dimensions only."""
+    range queries; without it one task reads everything, so facts need it."""
+    if table in FACTS and not split_on:
+        raise ValueError(f"{table} is read in parallel: give split_on, bounds and splits")
     options = {"url": url, "dbtable": table, "fetchsize": str(fetch)}
     if split_on:
         if bounds is None:
@@ -61,8 +80,17 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **split) -> DataFrame:
 
 
 def load(
-    spark: SparkSession, base: str, tables: Iterable[str] = tuple(TABLES), fmt: str = "parquet"
+    spark: SparkSession,
+    base: str,
+    tables: Iterable[str] = tuple(TABLES),
+    fmt: str = "parquet",
+    options: Mapping[str, Mapping] | None = None,
 ) -> dict[str, DataFrame]:
-    """All (or the named) tables of a model directory, lazily."""
-    reader = {"parquet": read_parquet, "csv": read_csv}[fmt]
-    return {table: reader(spark, base, table) for table in tables}
+    """All (or the named) tables of a model directory or database, lazily, their text in canonical
+    form. ``base`` is the database's address for ``fmt="jdbc"``; ``options`` has further arguments of
+    the reader by table."""
+    reader = {"parquet": read_parquet, "csv": read_csv, "jdbc": read_jdbc}[fmt]
+    return {
+        table: fold_text(reader(spark, base, table, **(options or {}).get(table, {})), CANONICAL.get(table))
+        for table in tables
+    }

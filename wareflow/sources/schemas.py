@@ -4,34 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
+from wareflow.functions.rules import REGIONS
+
 # Column names and types of the nine tables.
 TABLES: dict[str, str] = {
     "customers": (
-        "customerNumber INT, customerName STRING, contactLastName STRING, contactFirstName STRING, "
+        "customerNumber BIGINT, customerName STRING, contactLastName STRING, contactFirstName STRING, "
         "phone STRING, addressLine1 STRING, addressLine2 STRING, city STRING, state STRING, "
-        "postalCode STRING, country STRING, salesRepEmployeeNumber INT, creditLimit DECIMAL(10,2)"
+        "postalCode STRING, country STRING, salesRepEmployeeNumber BIGINT, creditLimit DECIMAL(10,2)"
     ),
     "employees": (
-        "employeeNumber INT, lastName STRING, firstName STRING, extension STRING, email STRING, "
-        "officeCode STRING, reportsTo INT, jobTitle STRING"
+        "employeeNumber BIGINT, lastName STRING, firstName STRING, extension STRING, email STRING, "
+        "officeCode STRING, reportsTo BIGINT, jobTitle STRING"
     ),
     "offices": (
         "officeCode STRING, city STRING, phone STRING, addressLine1 STRING, addressLine2 STRING, "
         "state STRING, country STRING, postalCode STRING, territory STRING"
     ),
     "orderdetails": (
-        "orderNumber INT, productCode STRING, quantityOrdered INT, priceEach DECIMAL(10,2), "
-        "orderLineNumber SMALLINT"
+        "orderNumber BIGINT, productCode STRING, quantityOrdered INT, priceEach DECIMAL(10,2), "
+        "orderLineNumber INT"
     ),
     "orders": (
-        "orderNumber INT, orderDate DATE, requiredDate DATE, shippedDate DATE, status STRING, "
-        "comments STRING, customerNumber INT"
+        "orderNumber BIGINT, orderDate DATE, requiredDate DATE, shippedDate DATE, status STRING, "
+        "comments STRING, customerNumber BIGINT"
     ),
-    "payments": "customerNumber INT, checkNumber STRING, paymentDate DATE, amount DECIMAL(10,2)",
+    "payments": "customerNumber BIGINT, checkNumber STRING, paymentDate DATE, amount DECIMAL(10,2)",
     "productlines": "productLine STRING, textDescription STRING",
     "products": (
         "productCode STRING, productName STRING, productLine STRING, productScale STRING, "
-        "productVendor STRING, productDescription STRING, quantityInStock SMALLINT, "
+        "productVendor STRING, productDescription STRING, quantityInStock INT, "
         "warehouseCode STRING, buyPrice DECIMAL(10,2), MSRP DECIMAL(10,2)"
     ),
     "warehouses": "warehouseCode STRING, warehouseName STRING, warehousePctCap STRING",
@@ -62,6 +64,29 @@ FOREIGN_KEYS: tuple[tuple[str, str, str, str], ...] = (
     ("products", "warehouseCode", "warehouses", "warehouseCode"),
 )
 
+# Tables that grow with the business; the others are dimensions.
+FACTS = ("orderdetails", "orders", "payments")
+
+# The spelling of known values; other text only loses its trailing blanks.
+STATUSES = ("Shipped", "Cancelled", "In Process", "Resolved", "On Hold", "Disputed")
+COUNTRIES = tuple(country for countries in REGIONS.values() for country in countries)
+LINES = (
+    "Classic Cars", "Motorcycles", "Planes", "Ships", "Trains", "Trucks and Buses", "Vintage Cars",
+)
+TERRITORIES = ("NA", "EMEA", "APAC", "Japan")
+CODES = ("a", "b", "c", "d")
+NAMES = ("North", "East", "West", "South")
+
+# Text columns that are compared, by table.
+CANONICAL: dict[str, dict[str, tuple[str, ...]]] = {
+    "customers": {"country": COUNTRIES},
+    "offices": {"country": COUNTRIES, "territory": TERRITORIES},
+    "orders": {"status": STATUSES},
+    "productlines": {"productLine": LINES},
+    "products": {"productLine": LINES, "warehouseCode": CODES},
+    "warehouses": {"warehouseCode": CODES, "warehouseName": NAMES},
+}
+
 # The imported variant of orders, before its dates are normalised.
 TEXT_DATES = ("orderDate", "requiredDate", "shippedDate")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -12,7 +13,13 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """A new version of a table, at a path that does not exist yet: Spark reads lazily, so
-    a table must not be written over the files it is being read from."""
+    a table must not be written over the files it is being read from.
+
+    Rows are gathered by the partition columns first, or each task would leave a file in each
+    folder; adaptive execution cuts a large folder's rows to several files.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
 
 
@@ -22,10 +29,11 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     Orders and order lines written with the same key and bucket count join without a
     shuffle, which saves moving the lines for every report. A key that holds a large part
     of the rows makes one large bucket that adaptive execution cannot split, so keep such
-    tables unbucketed.
+    tables unbucketed. Rows are dealt to the buckets before they are written: one file each.
     """
     (
-        df.write.bucketBy(buckets, key)
+        df.repartition(buckets, key)
+        .write.bucketBy(buckets, key)
         .sortBy(key)
         .mode("errorifexists")
         .format("parquet")
