@@ -39,4 +39,86 @@ SELECT page_id, payload_bytes,
 FROM firsts
 """
 
-ORACLE = {"op9_warc": WARC, "op10_line_dedup": LINE_DEDUP}
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
+), shingles AS MATERIALIZED (
+  SELECT doc_id, unnest(s) AS shingle FROM sets
+), sizes AS (
+  SELECT doc_id, len(s) AS n FROM sets
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), both_ways AS MATERIALIZED (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.doc_id, b FROM reach JOIN both_ways ON other = a
+)
+SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+DECONTAMINATE = f"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), cut AS (
+  SELECT item, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: w[i:i + least(13, len(w)) - 1])) AS words
+  FROM items WHERE len(w) > 0
+), windows AS MATERIALIZED (
+  SELECT words, array_to_string(words, ' ') AS key, list(DISTINCT item) AS items FROM cut GROUP BY words
+), sizes AS (
+  SELECT DISTINCT len(words) AS n FROM windows
+), places AS MATERIALIZED (
+  SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs)
+), starts AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM docs, sizes WHERE len(w) >= n
+), hits AS MATERIALIZED (
+  SELECT doc_id, i, n, items FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS key FROM starts) JOIN windows USING (key)
+), covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM (SELECT doc_id, unnest(items) AS item FROM hits) GROUP BY doc_id
+), frequency AS MATERIALIZED (
+  SELECT word, count(*) AS f FROM places GROUP BY word
+), spread AS (
+  SELECT key, word, k, f FROM (SELECT key, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM windows) LEFT JOIN frequency USING (word)
+), anchors AS (
+  SELECT key, arg_min(word, (f, k)) AS anchor FROM spread GROUP BY key HAVING count(*) = count(f)
+), anchored AS MATERIALIZED (
+  SELECT key, doc_id, i FROM anchors JOIN places ON word = anchor
+), wanted AS (
+  SELECT DISTINCT key, word FROM spread
+), around AS (
+  SELECT anchored.key, anchored.doc_id, anchored.i, count(DISTINCT wanted.word) AS found
+  FROM anchored JOIN wanted ON wanted.key = anchored.key
+  JOIN places ON places.doc_id = anchored.doc_id AND places.word = wanted.word AND places.i BETWEEN anchored.i - 26 AND anchored.i + 26
+  GROUP BY ALL
+), close AS (
+  SELECT DISTINCT around.doc_id, around.key FROM around
+  JOIN (SELECT key, count(*) AS need FROM wanted GROUP BY key) AS n ON n.key = around.key AND need = found
+), near AS (
+  SELECT doc_id, count(DISTINCT item) AS n_near FROM (SELECT doc_id, unnest(items) AS item FROM close JOIN windows USING (key)) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near, 0) AS n_near_items
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
+"""
+
+ORACLE = {
+    "op6_near_duplicates": NEAR_DUPLICATES,
+    "op8_decontaminate": DECONTAMINATE,
+    "op9_warc": WARC,
+    "op10_line_dedup": LINE_DEDUP,
+}
