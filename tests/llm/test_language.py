@@ -1,0 +1,118 @@
+"""Languages of pages: the fusion against plain formulas, planted pages, and held-out texts."""
+
+import numpy as np
+import pytest
+
+from wareflow.llm import language
+
+BASE = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return language.train(spark.read.parquet(f"{BASE}/documents.parquet"))
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1.0) for r in rows], "page_id LONG, url STRING, html STRING, lang STRING, confidence DOUBLE").repartition(2)
+
+
+@pytest.mark.parametrize(
+    "url, want",
+    [
+        ("http://www.Example.de:80/fr/8?x#y", ("www.example.de", "example.de", "de/fr")),
+        ("https://u@a.b.example.com", ("a.b.example.com", "example.com", "com/")),
+        ("https://example.org/about/x", ("example.org", "example.org", "org/")),
+        (None, ("", "", "")), ("nonsense", ("", "", "")), ("http:///x", ("", "", "")),
+    ],
+)
+def test_addresses(url, want):
+    assert language.address(url) == want
+
+
+def test_markup():
+    html = b'<!DOCTYPE html><HTML class=x lang="en-US"><script>var t="</p>";</script><style>p{}</style><!-- ad > --><p>Text &amp; more</p>'
+    assert language.declared(html) == "en"
+    assert language.visible(html).split() == [b"Text", b"more"]
+    assert language.declared(b"<html><p lang=de>") is None and language.declared(b"<html lang=fr>") == "fr"
+
+
+def test_trigram_counts_are_those_of_all_documents(spark, documents):
+    rows = [(1, "abc abd"), (2, None), (3, "É!!x " * 1000), (4, "abc")]
+    docs = documents(rows).drop("lang").selectExpr("*", "IF(doc_id < 3, 'l1', 'l2') AS lang")
+    got = language.train(docs)
+    plain = np.zeros((2, language.BUCKETS))
+    for doc_id, text in rows:
+        np.add.at(plain[int(doc_id >= 3)], language.trigrams((text or "").encode()), 1)
+    logs = np.log((plain + 0.5) / (plain.sum(axis=1, keepdims=True) + 0.5 * language.BUCKETS))
+    assert got.names == ["l1", "l2"] and np.allclose(got.logs, logs.T)
+
+
+def plain_fusion(evidence, keys, strength):
+    """Posteriors by loops, without any aggregation."""
+    own = language._posterior(evidence)
+    n, size = own.shape
+    out = np.empty_like(own)
+    for i in range(n):
+        others = [j for j in range(n) if j != i]
+        rest = own[others].sum(axis=0) if others else np.zeros(size)
+        of = lambda key: sum((own[j] for j in others if keys[j][key] == keys[i][key]), np.zeros(size))  # noqa: E731, B023
+        base = (rest + 1 / size) / (rest.sum() + 1)
+        prior = base
+        for key in (1, 0):
+            counts = of(key)
+            prior = (counts + strength * prior) / (counts.sum() + strength)
+        score = evidence[i] + np.log(prior)
+        for key in (2, 3):
+            counts = of(key)
+            share = (counts.sum() + 1) / (rest.sum() + len({k[key] for k in keys}))
+            score += np.log((counts + strength * share) / (rest + strength))
+        out[i] = language._posterior(score)
+    return out
+
+
+ROWS = [
+    (1, "http://a.one.de/de/1", '<html lang="de"><p>der und die das nicht ein ist schen ung keit auch</p>'),
+    (2, "http://a.one.de/de/2", '<html lang="de"><p>chen schaft lich nicht der die</p>'),
+    (3, "http://b.one.de/fr/3", '<html lang="fr"><p>les des et une que dans pour par le la eau tre</p>'),
+    (4, "http://c.two.com/en/4", '<html lang="en"><p>the and of that this with from thing</p>'),
+    (5, "http://a.one.de/de/5", '<html lang="de"></html>'), (6, None, None), (7, "bad", ""), (None, "http://c.two.com/en/4", '<html lang="xx"><p>the and of</p>'),
+    (4, "http://c.two.com/en/4", '<html lang="en"><p>the and of that this with from thing</p>'), (8, "http://c.two.com/en/9", "<p>" + "the thing " * 50_000),
+]
+
+
+def test_fusion_equals_plain_loops(spark, scratch, model, monkeypatch):
+    evidence = np.stack([model.evidence(language.visible((h or "").encode()), 60) for _, _, h in ROWS])
+    keys = []
+    for _, url, html in ROWS:
+        said = language.declared((html or "").encode())
+        keys.append((*language.address(url), said if said is None or said in model.names else "other"))
+    want = plain_fusion(evidence, keys, 5.0)
+    for most_sent in (100_000, 0):
+        monkeypatch.setattr(language, "MOST_SENT", most_sent)
+        got = language.identify(pages(spark, ROWS), model, scratch).collect()
+        found = sorted(((r.page_id, r.lang, round(r.confidence, 9)) for r in got), key=repr)
+        plain = [(p[0], model.names[w.argmax()], round(float(w.max()), 9)) for p, w in zip(ROWS, want)]
+        assert found == sorted(plain, key=repr)
+
+
+def test_context_decides_where_the_text_is_silent(spark, scratch, model):
+    rows = [(k, f"http://h.site.de/de/{k}", '<html lang="de"><p>der und die das nicht ein ist schen ung keit auch einer</p>') for k in range(30)]
+    rows += [(100 + k, f"http://e.site.com/en/{k}", '<html lang="en"><p>the and of that this with from thing have are</p>') for k in range(60)]
+    rows += [(200, "http://h.site.de/de/x", '<html lang="de"><p>42</p>'), (201, "http://e.site.com/en/x", "<html lang=en>")]
+    got = {r.page_id: r.lang for r in language.identify(pages(spark, rows), model, scratch).collect()}
+    assert got[200] == "de" and got[201] == "en"
+
+
+def test_held_out_documents(spark):
+    docs = spark.read.parquet(f"{BASE}/documents.parquet")
+    learned = language.train(docs.where("doc_id % 2 = 0"))
+    rows = docs.where("doc_id % 2 = 1 AND length(text) > 40").select("lang", "text").collect()
+    right = [learned.names[int(learned.evidence(r.text.encode(), 60).argmax())] == r.lang for r in rows]
+    assert np.mean(right) > 0.97
+
+
+def test_empty_tables(spark, documents, scratch, model):
+    assert language.identify(pages(spark, []), model, scratch).count() == 0
+    with pytest.raises(ValueError, match="languages"):
+        language.train(documents([(1, "x")]))
