@@ -17,10 +17,11 @@ KEY = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder."""
-    folder = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
+    context = spark.sparkContext
+    folder = spark.conf.get(KEY, None) or context.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="wareflow-")
-        spark.conf.set(KEY, folder)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wareflow-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
