@@ -39,7 +39,7 @@ from wareflow.llm.words import LETTERS, U, chunks, hashed_windows, hashed_words
 #: Terms and windows that are sent to every task at once.
 MOST_TERMS, MOST_WINDOWS = 2_000_000, 500_000
 #: Documents and bytes of a shard, and candidates that are intersected at once.
-SHARD_DOCS, SHARD_BYTES, CANDIDATES = 8_192, 16 << 20, 2_000_000
+SHARD_DOCS, SHARD_BYTES, CANDIDATES = 4_096, 6 << 20, 400_000
 #: Words between two documents in a shard's positions.
 GAP = 1 << 10
 SHIFT = U(40)

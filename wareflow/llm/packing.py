@@ -35,7 +35,7 @@ from wareflow.llm.store import Scratch
 from wareflow.llm.words import NOT_BLANK, chunks, word_spans
 
 #: Words that a worker remembers with their ids (about 40 bytes each), and parts of words.
-MOST_WORDS, MOST_PARTS, LONGEST_PART = 2_000_000, 400_000, 48
+MOST_WORDS, MOST_PARTS, LONGEST_PART = 600_000, 150_000, 48
 #: Stands between words; no id has these bytes.
 LINE = b"\xff\xff\xff\xff"
 
@@ -148,7 +148,7 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts."""
         out: list[bytes] = []
-        for begin, end in chunks(texts, 2 << 20):
+        for begin, end in chunks(texts):
             own = texts[begin:end]
             odd = [k for k, t in enumerate(own) if b"<|" in t]
             found = self._cached([b"" if b"<|" in t else t for t in own])
