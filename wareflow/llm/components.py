@@ -28,27 +28,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where("a > b").union(least.select("a", F.col("m").alias("b")))
 
 
+def _settled(links: DataFrame) -> bool:
+    """Every node has one link, and none to a node that has a link itself."""
+    again = links.select(F.col("a").alias("b")).distinct()
+    if links.join(again, "b", "left_semi").limit(1).count():
+        return False
+    return not links.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(a, b): each node that is not the least of its component, with that least node.
 
     edges: columns a and b of one ordered type, in any order, with repeats, loops allowed and
     ignored, rows with a null ignored. Nodes without a link do not appear. Each round is written
-    to the shared folder; it ends when a round changes nothing.
+    to the shared folder; the rounds end when only stars are left.
     """
     links = edges.select("a", "b").where("a <> b")
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = scratch.keep(links, "links")
-    before = None
     for _ in range(rounds):
-        large = scratch.keep(_large_star(links).distinct(), "large")
-        small = scratch.keep(_small_star(large).distinct(), "small")
-        scratch.drop(links, large)
-        links = small
-        sums = links.agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"),
-        ).first()
-        if before == (sums.n, sums.h):
+        if _settled(links):
             return links
-        before = (sums.n, sums.h)
+        stars = scratch.keep(_small_star(_large_star(links).distinct()).distinct(), "stars")
+        scratch.drop(links)
+        links = stars
     raise RuntimeError(f"links did not settle in {rounds} rounds")

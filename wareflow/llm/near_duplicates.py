@@ -95,21 +95,21 @@ def signatures(docs: DataFrame, text: str, shingle: int, side: int, width: int)
 
 def table_stars(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): classes that met in a table with the least class there."""
-    keys = classes.select("digest", F.explode(F.concat(
+    keys = classes.select("id", F.explode(F.concat(
         F.transform("left", lambda k: F.struct(F.lit(0).alias("side"), k.alias("key"))),
         F.transform("right", lambda k: F.struct(F.lit(1).alias("side"), k.alias("key"))),
-    )).alias("k")).select("digest", "k.side", "k.key")
+    )).alias("k")).select("id", "k.side", "k.key")
     shared = keys.groupBy("side", "key").agg(F.count("*").alias("n")).where("n > 1").select("side", "key")
-    both = keys.join(shared, ["side", "key"]).groupBy("digest").agg(
+    both = keys.join(shared, ["side", "key"]).groupBy("id").agg(
         F.collect_list(F.expr("CASE WHEN side = 0 THEN key END")).alias("left"),
         F.collect_list(F.expr("CASE WHEN side = 1 THEN key END")).alias("right"),
     )
-    tables = both.select("digest", F.explode("left").alias("l"), "right")
-    tables = tables.select("digest", "l", F.explode("right").alias("r"))
+    tables = both.select("id", F.explode("left").alias("l"), "right")
+    tables = tables.select("id", "l", F.explode("right").alias("r"))
     tables = scratch.keep(tables, "tables")
-    least = tables.groupBy("l", "r").agg(F.min("digest").alias("b"), F.count("*").alias("n")).where("n > 1")
-    met = tables.join(least.drop("n"), ["l", "r"]).where("digest <> b")
-    return met.select(F.col("digest").alias("a"), "b").distinct()
+    least = tables.groupBy("l", "r").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    met = tables.join(least.drop("n"), ["l", "r"]).where("id <> b")
+    return met.select(F.col("id").alias("a"), "b").distinct()
 
 
 def forest_of_links(sets: list[np.ndarray], block: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -136,13 +136,12 @@ def forest_of_links(sets: list[np.ndarray], block: np.ndarray, percent: int) ->
             continue
         mark[flat[first[u] : first[u] + sizes[u]]] = True
         if 4 * sizes[near].sum() > len(flat):
-            common = np.add.reduceat(mark[flat], first)[near]
+            common = np.add.reduceat(mark[flat], first, dtype=np.int64)[near]
         else:
             begin = np.cumsum(sizes[near]) - sizes[near]
             take = np.repeat(first[near] - begin, sizes[near]) + np.arange(sizes[near].sum())
             common = np.add.reduceat(mark[flat[take]], begin, dtype=np.int64)
         mark[flat[first[u] : first[u] + sizes[u]]] = False
-        common = common.astype(np.int64)
         for v in near[100 * common >= percent * (sizes[near] + sizes[u] - common)]:
             if label[v] != label[u]:
                 label[label == label[v]] = label[u]
@@ -152,19 +151,19 @@ def forest_of_links(sets: list[np.ndarray], block: np.ndarray, percent: int) ->
 
 def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row of each class in a task: rows that are repeated as a whole don't travel."""
-    seen: set[bytes] = set()
+    seen: set[int] = set()
     for batch in batches:
         new = []
-        for digest in batch.column("digest").to_pylist():
-            new.append(digest not in seen)
-            seen.add(digest)
+        for name in batch.column("id").to_pylist():
+            new.append(name not in seen)
+            seen.add(name)
         yield batch.filter(pa.array(new))
 
 
 def verified_links(docs: DataFrame, text: str, shingle: int, percent: int, members: DataFrame) -> DataFrame:
     """(a, b): a spanning forest of the true links in each candidate group.
 
-    members: digest, n_shingles and group of the classes in a group, with `row` = (doc_id, row_) of
+    members: id, n_shingles and group of the classes in a group, with `row` = (doc_id, row_) of
     a row that has the class's set. Small groups share a bin of about one block, larger ones are
     cut into blocks.
     """
@@ -173,10 +172,10 @@ def verified_links(docs: DataFrame, text: str, shingle: int, percent: int, membe
     total = size.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     bins = 1 + (total.s or 0) // BLOCK_SHINGLES + (total.n or 0) // BLOCK_CLASSES
     placed = members.join(size.select("group", cut.alias("blocks")), "group").select(
-        "digest",
+        "id",
         "group",
         "blocks",
-        F.pmod(F.xxhash64("digest"), F.col("blocks")).alias("block"),
+        F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"),
         F.col("row.doc_id").alias("id_"),
         F.col("row.row_").alias("key_"),
     )
@@ -184,7 +183,7 @@ def verified_links(docs: DataFrame, text: str, shingle: int, percent: int, membe
         placed = F.broadcast(placed)
     rows = docs.select("doc_id", text_key(F.col(text)).alias("row_"), F.col(text).cast("binary").alias("text"))
     held = rows.join(placed, rows["doc_id"].eqNullSafe(placed["id_"]) & (rows["row_"] == placed["key_"]))
-    held = held.select("digest", "group", "blocks", "block", "text")
+    held = held.select("id", "group", "blocks", "block", "text")
     held = held.mapInArrow(_first_rows, held.schema)
     pairs = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     alone = F.col("blocks") == 1
@@ -195,23 +194,23 @@ def verified_links(docs: DataFrame, text: str, shingle: int, percent: int, membe
         F.greatest("block", "other").alias("y"),
         "group",
         "block",
-        "digest",
+        "id",
         "text",
     )
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("digest").sort_values("group", ignore_index=True)
+        part = part.drop_duplicates("id").sort_values("group", ignore_index=True)
         sets = shingle_sets(part["text"].tolist(), shingle)
-        names, block = part["digest"].tolist(), part["block"].to_numpy()
+        names, block = part["id"].tolist(), part["block"].to_numpy()
         across = part["x"].iloc[0] != part["y"].iloc[0]
         edges = [0, *(np.flatnonzero((part["group"] != part["group"].shift()).to_numpy()[1:]) + 1).tolist(), len(part)]
-        found: list[tuple[bytes, bytes]] = []
+        found: list[tuple[int, int]] = []
         for a, b in zip(edges, edges[1:]):
             if b - a > 1 and (not across or len(set(block[a:b])) > 1):
                 found += [(names[a + u], names[a + v]) for u, v in forest_of_links(sets[a:b], block[a:b], percent)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return pairs.groupBy("bin", "large", "x", "y").applyInPandas(links, "a binary, b binary")
+    return pairs.groupBy("bin", "large", "x", "y").applyInPandas(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", shingle: int = 5, percent: int = 80, side: int = 20, width: int = 3) -> DataFrame:
@@ -228,13 +227,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", shing
         F.any_value("left").alias("left"),
         F.any_value("right").alias("right"),
     )
-    classes = scratch.keep(classes, "classes")
+    # A written number is a shorter name of a class than its digest, and one that hashes well.
+    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     groups = components(table_stars(classes, scratch), scratch)
-    groups = groups.union(groups.select("b", "b").distinct()).toDF("digest", "group")
-    members = scratch.keep(classes.select("digest", "n_shingles", "row").join(groups, "digest"), "members")
+    groups = groups.union(groups.select("b", "b").distinct()).toDF("id", "group")
+    members = scratch.keep(classes.select("id", "n_shingles", "row").join(groups, "id"), "members")
     linked = components(verified_links(docs, text, shingle, percent, members), scratch)
-    named = classes.select("digest", "row", "copies").join(linked.toDF("digest", "root"), "digest", "left")
-    named = named.withColumn("root", F.coalesce("root", "digest"))
+    named = classes.select("id", "digest", "row", "copies").join(linked.toDF("id", "root"), "id", "left")
+    named = named.withColumn("root", F.coalesce("root", "id"))
     first = named.groupBy("root").agg(F.min("row").alias("first"), F.sum("copies").alias("rows"))
     # Only rows with a relative look up their component; hot classes are split by adaptive execution.
     named = named.join(first.where("rows > 1").drop("rows"), "root").select("digest", "first")
