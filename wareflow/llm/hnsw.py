@@ -251,12 +251,19 @@ def _search(queries: pd.DataFrame, index: pd.DataFrame, k: int, ef: int) -> pd.D
         begins, ids = np.asarray(row["begins"]), np.asarray(row["ids"])
         for query, nodes, squares in zip(queries["vec_id"], found, d):
             rows: list[tuple[float, int]] = []
+            seen = {query}
             for node, square in zip(nodes.tolist(), squares.tolist()):
                 if node < 0 or (len(rows) >= k and square > rows[k - 1][0]):
                     break
-                # A node's members come by id: of equal vectors only the first k can be among the k best.
-                own = ids[begins[node] : begins[node + 1]][: k + 1]
-                rows = sorted(rows + [(square, x) for x in own.tolist() if x != query])
+                # A node's members come by id: of equal vectors only the first k new ones can be among the k best.
+                new = []
+                for x in ids[begins[node] : begins[node + 1]].tolist():
+                    if len(new) == k:
+                        break
+                    if x not in seen:
+                        seen.add(x)
+                        new.append((square, x))
+                rows = sorted(rows + new)
             for square, vec_id in rows[:k]:
                 out["query_id"].append(query)
                 out["vec_id"].append(vec_id)
@@ -273,11 +280,15 @@ def usable(embeddings: DataFrame, vector: str, key: str) -> DataFrame:
 
 
 def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS, m: int = 16, ef: int = 64) -> DataFrame:
-    """One row for each shard. rows: vec_id, vector, dim."""
+    """One row for each shard. rows: vec_id, vector, dim; repeated rows are one."""
+    rows = rows.distinct()
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") / shard_rows).alias("shards"))
-    number = rows.withColumn("row_", F.monotonically_increasing_id())
-    dealt = number.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("row_"), F.col("shards")))
-    return dealt.select("dim", "shard", "vec_id", "vector").groupBy("dim", "shard").applyInPandas(lambda part: _build(part, m, ef), INDEX)
+    # The shard follows from the row itself, so a task that runs again deals its rows as before.
+    dealt = rows.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.col("shards")))
+    # A graph takes a task long for the few bytes it reads: adaptive execution would put many in one task.
+    shards = sizes.agg(F.sum("shards").alias("n")).first()["n"] or 1
+    dealt = dealt.select("dim", "shard", "vec_id", "vector").repartition(2 * shards, "dim", "shard")
+    return dealt.groupBy("dim", "shard").applyInPandas(lambda part: _build(part, m, ef), INDEX)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = 128, block: int = BLOCK_QUERIES) -> DataFrame:
