@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 #: Row keys up to this many go to every task that drops them; more are joined.
 MOST_SENT = 1_000_000
 #: Rows and bytes of text that a function sees at once.
-ROWS, BYTES = 4096, 4 << 20
+ROWS, BYTES = 4096, 2 << 20
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -44,7 +44,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
         while done < size:
             table[done : 2 * done] = table[:done] * U(pow(base, done, 1 << 64))
             done *= 2
-        if size <= 1 << 22:
+        if size <= 1 << 19:  # what a range of `chunks` needs
             _powers[base] = table
     return table
 
@@ -58,11 +58,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` bytes; a longer text is a range of its own."""
+def chunks(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of `most` bytes with a blank after each; a longer text is a range of its own."""
     begin, held = 0, 0
     for k, text in enumerate(texts):
-        if k > begin and held + len(text) > most:
+        if k > begin and held + len(text) + 1 > most:
             yield begin, k
             begin, held = k, 0
         held += len(text) + 1
