@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wareflow.llm import decontaminate, line_dedup, near_duplicates, packing, quality
 from wareflow.llm.queries import VOCABULARY, table
-from wareflow.llm.rows import without_rows
+from wareflow.llm.rows import rows_once, without_rows
 from wareflow.llm.store import Scratch
 
 
@@ -33,10 +33,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One row of each group of near copies stays, also where rows repeat with their id and text.
+
+    Rows without shingles, such as empty texts, are in no group and stay.
+    """
     scratch = Scratch(spark)
     found = near_duplicates.near_duplicates(docs, scratch, shingle=5, percent=80)
-    return without_rows(docs, scratch.keep(found.where(~F.col("chosen")).select("doc_id", "row_"), "copies"))
+    found = found.where("NOT chosen OR n_shingles > 0").groupBy("doc_id", "row_").agg(F.bool_and("chosen").alias("chosen"), F.count("*").alias("n"))
+    found = scratch.keep(found.where("NOT chosen OR n > 1"), "copies")
+    stay = without_rows(docs, found.select("doc_id", "row_"))
+    return stay.unionByName(rows_once(docs, found.where("chosen").select("doc_id", "row_")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

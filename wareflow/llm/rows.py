@@ -58,13 +58,26 @@ def text_key(column: Column) -> Column:
     return F.xxhash64(F.coalesce(column, F.lit("")), column.isNull())
 
 
+def _meeting(docs: DataFrame, keys: DataFrame, text: str, how: str) -> DataFrame:
+    keys = keys.select(F.col("doc_id").alias("gone_id_"), F.col("row_").alias("gone_key_")).distinct()
+    if keys.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        keys = F.broadcast(keys)
+    same = docs["doc_id"].eqNullSafe(keys["gone_id_"]) & (text_key(docs[text]) == keys["gone_key_"])
+    return docs.join(keys, same, how)
+
+
 def without_rows(docs: DataFrame, gone: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose id and text key are not in `gone`.
 
     gone: doc_id and row_ = text_key(text); read twice, so it should be cheap or written.
     """
-    gone = gone.select(F.col("doc_id").alias("gone_id_"), F.col("row_").alias("gone_key_")).distinct()
-    if gone.limit(MOST_SENT + 1).count() <= MOST_SENT:
-        gone = F.broadcast(gone)
-    same = docs["doc_id"].eqNullSafe(gone["gone_id_"]) & (text_key(docs[text]) == gone["gone_key_"])
-    return docs.join(gone, same, "left_anti")
+    return _meeting(docs, gone, text, "left_anti")
+
+
+def rows_once(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """One row, with all its columns, of each id and text of docs whose keys are in `wanted`.
+
+    wanted: as `gone` of without_rows. Rows that differ in other columns only count as repeats; any
+    one of them stays. A task sends at most one row of an id and text.
+    """
+    return _meeting(docs, wanted, text, "left_semi").dropDuplicates(["doc_id", text])
