@@ -28,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents share go."""
     others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    cut = line_dedup.dedup_lines(docs, Scratch(spark), threshold=10, least=1, keep=others)
+    cut = line_dedup.dedup_lines(docs, Scratch(spark), threshold=10, least=1, keep=others, counts=False)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

@@ -11,8 +11,9 @@ Defined results
 * A row is a document. A line repeated within one document counts once. Rows repeated as a whole
   count each, and each loses its lines.
 * Keys are compared by 128-bit hashes. Ties don't arise: a key is common or it isn't.
-* An empty table gives an empty result. Other columns are not read; results carry them only where
-  the caller joins them, so clashing names do no harm.
+* An empty table gives an empty result. Other columns are not read. The caller's columns in `keep`
+  travel under names of their own, so names that are used inside do no harm; only where the counts
+  are asked for must `keep` not have their names.
 * Texts of any length: a document is read whole, in the task that holds its row.
 """
 
@@ -157,8 +158,8 @@ def _cut(part: pa.RecordBatch, text: str, least: int, drop: Iterator[set[int]] |
     return {"n_lines": n_lines, "n_dropped": n_dropped, "kept": kept}
 
 
-def drop_common_lines(docs: DataFrame, common: DataFrame, text: str = "text", least: int = 1, most_sent: int = MOST_SENT, keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
-    """`keep` columns, n_lines, n_dropped and the remaining text (or its SHA-256) of each row.
+def drop_common_lines(docs: DataFrame, common: DataFrame, text: str = "text", least: int = 1, most_sent: int = MOST_SENT, keep: tuple[str, ...] = ("doc_id",), digest: bool = False, counts: bool = True) -> DataFrame:
+    """`keep` columns, n_lines and n_dropped (if `counts`) and the remaining text (or its SHA-256) of each row.
 
     Up to `most_sent` common lines, counted first, are sent to every task. Beyond that, each
     document's line keys meet the common lines in a join, which adaptive execution splits where a
@@ -166,39 +167,48 @@ def drop_common_lines(docs: DataFrame, common: DataFrame, text: str = "text", le
     """
     spark = docs.sparkSession
     few = common.limit(most_sent + 1).count() <= most_sent
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"{kinds}, n_lines long, n_dropped long, {'kept_sha256 string' if digest else f'`{text}` string'}"
+    left = "kept_sha256" if digest else text
+    results = {"n_lines": "n_lines", "n_dropped": "n_dropped", "left": left} if counts else {"left": left}
+    twice = set(keep) & set(results.values())
+    if twice:
+        raise ValueError(f"columns to keep have names of results: {sorted(twice)}")
+    own = {f"own_{k}": c for k, c in enumerate(keep)}
+    kinds = [f"{name} {docs.schema[c].dataType.simpleString()}" for name, c in own.items()]
+    schema = ", ".join([*kinds, "n_lines long", "n_dropped long", "left string"])
+    docs = docs.select(*(F.col(f"`{c}`").alias(name) for name, c in own.items()), F.col(f"`{text}`").alias("text"))
 
     def finish(part: pa.RecordBatch, found: dict) -> dict:
-        out = {c: part.column(c) for c in keep} | found
-        if digest:
-            return out | {"kept_sha256": [hashlib.sha256(x).hexdigest() for x in found["kept"]]}
-        return out | {text: pa.array(found["kept"], pa.binary()).cast(pa.string())}
+        kept = found["kept"]
+        rest = [hashlib.sha256(x).hexdigest() for x in kept] if digest else pa.array(kept, pa.binary()).cast(pa.string())
+        return {name: part.column(name) for name in own} | {"n_lines": found["n_lines"], "n_dropped": found["n_dropped"], "left": rest}
+
+    def named_back(out: DataFrame) -> DataFrame:
+        return out.select(*(F.col(a).alias(b) for a, b in (own | results).items()))
 
     if few:
         rows = common.select("h1", "h2").toPandas().to_numpy(np.int64).reshape(-1, 2)
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         sent = spark.sparkContext.broadcast((rows[:, 0].copy(), rows[:, 1].copy()))
-        return map_texts(docs.select(*dict.fromkeys((*keep, text))), text, lambda p: finish(p, _cut(p, text, least, None, sent.value)), schema)
+        return named_back(map_texts(docs, "text", lambda p: finish(p, _cut(p, "text", least, None, sent.value)), schema))
 
     def row_keys(part: pa.RecordBatch) -> dict:
         found, key = [], []
-        for k, t in zip(part.column("k_").to_pylist(), texts_of(part.column(text))):
-            own = {x for x in line_keys(t, least)[1] if x is not None}
-            found += own
-            key += [k] * len(own)
+        for k, t in zip(part.column("k_").to_pylist(), texts_of(part.column("text"))):
+            lines = {x for x in line_keys(t, least)[1] if x is not None}
+            found += lines
+            key += [k] * len(lines)
         pairs = _halves(found) if found else np.empty((0, 2), np.int64)
         return {"k_": key, "h1": pairs[:, 0], "h2": pairs[:, 1]}
 
-    named = docs.select(*dict.fromkeys((*keep, text))).withColumn("k_", text_key(F.col(text)))
-    hits = map_texts(named.select("k_", text), text, row_keys, "k_ long, h1 long, h2 long").join(common, ["h1", "h2"])
+    named = docs.withColumn("k_", text_key(F.col("text")))
+    hits = map_texts(named.select("k_", "text"), "text", row_keys, "k_ long, h1 long, h2 long").join(common, ["h1", "h2"])
     hits = hits.groupBy("k_").agg(F.collect_set(F.struct("h1", "h2")).alias("hits_"))
 
     def cut(part: pa.RecordBatch) -> dict:
         drop = (set(_halves_to_keys(x)) for x in part.column("hits_").to_pylist())
-        return finish(part, _cut(part, text, least, drop, None))
+        return finish(part, _cut(part, "text", least, drop, None))
 
-    return map_texts(named.join(hits, "k_", "left"), text, cut, schema)
+    return named_back(map_texts(named.join(hits, "k_", "left"), "text", cut, schema))
 
 
 def _halves_to_keys(pairs: list[dict] | None) -> list[bytes]:
