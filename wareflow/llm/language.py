@@ -3,7 +3,7 @@
 Method. Four kinds of evidence are combined as independent given the language:
 * the text's likelihood, from byte trigrams of the visible text (markup, scripts, styles and comments
   left out), under counts over all documents with a known language;
-* the language that the markup declares;
+* the language that the markup declares: that of the html tag, else of a content-language meta tag;
 * the address suffix: top-level domain, and a language directory at the head of the path;
 * the host's prior, smoothed hierarchically: host towards registered domain towards all pages.
 
@@ -39,8 +39,20 @@ BUCKETS, MOST_LANGUAGES, MOST_SENT = 1 << 15, 256, 100_000
 
 _HIDDEN = re.compile(rb"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|&#?\w{1,12};")
 _DECLARED = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})(?=[\s\"'>_-])")
+_META = re.compile(rb"(?is)<meta\b(?=[^>]*?\bhttp-equiv\s*=\s*[\"']?\s*content-language\b)[^>]*?\bcontent\s*=\s*[\"']?\s*([a-z]{2,3})(?=[\s\"'>_,;/-])")
 _ADDRESS = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::\d+)?(?:/([a-z]{2,3})(?=[/?#]|$))?")
 
+#: Second labels under which countries register names, and other suffixes of two labels.
+_SECOND = frozenset("ac co com edu gob gouv gov gub ltd mil ne net nom or org plc sch".split())
+_SUFFIXES = frozenset(
+    "github.io gitlab.io blogspot.com wordpress.com tumblr.com herokuapp.com netlify.app vercel.app pages.dev web.app firebaseapp.com azurewebsites.net"
+    " appspot.com readthedocs.io weebly.com wixsite.com livejournal.com substack.com neocities.org altervista.org go.jp gr.jp lg.jp ad.jp"
+    " go.kr re.kr pe.kr go.th in.th go.id my.id web.id me.uk nhs.uk police.uk id.au asn.au geek.nz maori.nz govt.nz gen.in firm.in ind.in"
+    " gov.in nic.in res.in web.za law.za gen.tr web.tr info.tr bel.tr k12.tr org.il muni.il idf.il k12.il art.br blog.br eco.br eng.br ind.br"
+    " inf.br jus.br leg.br tv.br asso.fr tm.fr gv.at priv.at waw.pl info.pl edu.pl in.ua kiev.ua lviv.ua msk.ru spb.ru uk.com us.com eu.com de.com".split()
+)
+_IP = re.compile(r"[0-9.]+|\[.*")
+
 _LETTER = np.where(LETTERS, np.arange(256), 0x20).astype(np.uint8)
 
 
@@ -51,18 +63,28 @@ def visible(html: bytes) -> bytes:
 
 def declared(html: bytes) -> str | None:
     """The primary language that the markup declares."""
-    found = _DECLARED.search(html)
+    found = _DECLARED.search(html) or _META.search(html)
     return found[1].decode().lower() if found else None
 
 
+def registered(host: str) -> str:
+    """The registered domain: two labels, or three where the last two are a common suffix; an address of numbers is its own."""
+    labels = host.split(".")
+    if _IP.fullmatch(host):
+        return host
+    two = ".".join(labels[-2:])
+    shared = two in _SUFFIXES or (len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in _SECOND)
+    return ".".join(labels[-3:]) if shared else two
+
+
 def address(url: str | None) -> tuple[str, str, str]:
-    """Host, registered domain (its last two labels) and suffix of an address; empty if it has none."""
+    """Host, registered domain and suffix of an address; empty if it has none."""
     found = _ADDRESS.match(url or "")
     if not found:
         return "", "", ""
     host = found[1].lower().strip(".")
     labels = host.split(".")
-    return host, ".".join(labels[-2:]), f"{labels[-1][:24]}/{(found[2] or '').lower()}"
+    return host, registered(host), f"{labels[-1][:24]}/{(found[2] or '').lower()}"
 
 
 def trigrams(text: bytes) -> np.ndarray:
