@@ -4,9 +4,10 @@ Method: best-fit decreasing. Overlong documents are first cut into full windows
 pieces, longest first, each go to the open window with the least capacity that still holds them; a
 segment tree indexed by remaining capacity finds it, or tells that a new window has to be opened.
 
-Pieces are dealt evenly, by a hash of their row, to groups of about `group` pieces, and each group is
-packed by itself; a group wastes a window or two at its end, so padding stays small at every
-size while no task sees more than its group. Only lengths travel, not ids, unless ids are asked for.
+Pieces are dealt evenly, by a hash of their row, to groups of about `group` pieces, or of more where these
+would fill under WINDOWS windows, and each group is packed by itself; a group wastes a window or two at
+its end, so padding stays small at every size and for documents of any length, while no task sees more
+than its group. Only lengths travel, not ids, unless ids are asked for.
 
 Defined results
 * null or empty text: a document of the end id alone.
@@ -36,6 +37,8 @@ from wareflow.llm.words import NOT_BLANK, chunks, word_spans
 
 #: Words that a worker remembers with their ids (about 40 bytes each), and parts of words.
 MOST_WORDS, MOST_PARTS, LONGEST_PART = 600_000, 150_000, 48
+#: Windows that a group fills at least, and pieces that it holds at most for that.
+WINDOWS, MOST_PIECES = 200, 262_144
 #: Stands between words; no id has these bytes.
 LINE = b"\xff\xff\xff\xff"
 
@@ -252,7 +255,8 @@ def pack_pieces(pieces: DataFrame, window: int = 4096, group: int = 4096) -> Dat
 
     sequence_id is the group's number times 2^32 plus the window's number in the group.
     """
-    groups = max(1, -(-pieces.count() // group))
+    n, tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    groups = max(1, -(-n // max(group, MOST_PIECES)), min(-(-n // group), tokens // (WINDOWS * window)))
     dealt = pieces.withColumn("group_", F.pmod(F.xxhash64("row_", "start"), F.lit(groups)))
     schema = StructType(pieces.schema.fields).add("sequence_id", "long").add("offset", "long")
 
