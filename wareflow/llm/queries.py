@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareflow.llm import decontaminate, hnsw, language, licenses, line_dedup, near_duplicates, packing, quality, sharding, warc
+from wareflow.llm import decontaminate, hnsw, language, licenses, line_dedup, near_duplicates, packing, quality, resampling, sharding, warc
 from wareflow.llm.store import Scratch
 
 #: The tokenizer's vocabulary file.
@@ -73,6 +73,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), Scratch(spark), threshold=10, least=1, digest=True)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the longer documents drawn by their likeness to the benchmark."""
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resampling.resample(docs, target, Scratch(spark), widths=(1, 1), buckets=10_000, least_words=20, percent=10, seed=2024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -84,4 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op11_resampling": op11_resampling,
 }

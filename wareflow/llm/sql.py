@@ -116,9 +116,53 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(item
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
+#: CRC-32 of the bytes of a text, bit by bit.
+CRC32 = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(octet_length(encode({0}))), lambda i: "
+    "('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS INT), 2))::BIGINT)), lambda c, b: "
+    "list_reduce([xor(c, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+)
+
+RESAMPLING = f"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), items AS MATERIALIZED (
+  SELECT regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), own AS MATERIALIZED (
+  SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM docs) GROUP BY ALL
+), asked AS MATERIALIZED (
+  SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM items) GROUP BY ALL
+), names AS MATERIALIZED (
+  SELECT word, {CRC32.format("word")} % 10000 AS bucket FROM (SELECT word FROM own UNION SELECT word FROM asked)
+), corpus AS (
+  SELECT bucket, sum(n) AS s FROM own JOIN names USING (word) GROUP BY bucket
+), target AS (
+  SELECT bucket, sum(n) AS t FROM asked JOIN names USING (word) GROUP BY bucket
+), totals AS (
+  SELECT coalesce((SELECT sum(n) FROM own), 0) AS all_s, coalesce((SELECT sum(n) FROM asked), 0) AS all_t
+), gains AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN corpus USING (bucket) LEFT JOIN target USING (bucket), totals
+), weighed AS (
+  SELECT doc_id, sum(n * gain) AS total FROM own JOIN names USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(w) AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE CAST(floor(total::DOUBLE / len(w)) AS BIGINT) END AS weight,
+         ('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS h
+  FROM docs LEFT JOIN weighed USING (doc_id)
+), scores AS (
+  SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scores WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN rank <= 10 * (SELECT count(*) FROM ranked) // 100 THEN rank END AS rank
+FROM scores LEFT JOIN ranked USING (doc_id)
+"""
+
 ORACLE = {
     "op6_near_duplicates": NEAR_DUPLICATES,
     "op8_decontaminate": DECONTAMINATE,
     "op9_warc": WARC,
     "op10_line_dedup": LINE_DEDUP,
+    "op11_resampling": RESAMPLING,
 }
