@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareflow.llm import decontaminate, hnsw, language, licenses, line_dedup, near_duplicates, packing, quality, resampling, sharding, warc
+from wareflow.llm import decontaminate, hnsw, language, licenses, line_dedup, near_duplicates, packing, quality, resampling, sharding, trie, warc
 from wareflow.llm.store import Scratch
 
 #: The tokenizer's vocabulary file.
@@ -79,6 +79,13 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(docs, target, Scratch(spark), widths=(1, 1), buckets=10_000, least_words=20, percent=10, seed=2024)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of conversations that share heads."""
+    scratch = Scratch(spark)
+    turns, lengths = trie.with_shared_heads(trie.ordered_turns(table(spark, sf_dir, "conversations"), scratch), scratch, every=20, most=4)
+    return trie.prefix_trie(turns, lengths, scratch).drop("x", "y")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -91,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
     "op11_resampling": op11_resampling,
+    "op13_prefix_trie": op13_prefix_trie,
 }

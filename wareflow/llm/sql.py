@@ -159,10 +159,50 @@ SELECT doc_id, n_features, weight, score,
 FROM scores LEFT JOIN ranked USING (doc_id)
 """
 
+PREFIX_TRIE = f"""
+WITH own AS MATERIALIZED (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS rn
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS MATERIALIZED (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32.format("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, rn, role, text FROM convs AS c JOIN own ON own.conv_id = base AND rn <= h
+  UNION ALL
+  SELECT conv_id, 1, rn, role, text FROM convs JOIN own USING (conv_id) WHERE rn > h
+), placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, rn) AS depth, md5(length(role) || ':' || role || text) AS turn,
+         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM rebuilt
+), paths AS MATERIALIZED (
+  SELECT conv_id, depth, words, string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM placed
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM convs
+), lengths AS (
+  SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id
+), nodes AS MATERIALIZED (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         string_agg(CASE WHEN lengths.conv_id IS NOT NULL THEN CAST(paths.conv_id AS VARCHAR) END, ',' ORDER BY paths.conv_id) AS ends
+  FROM paths LEFT JOIN lengths USING (conv_id, depth) GROUP BY path, depth
+), families AS MATERIALIZED (
+  SELECT above.path, count(*) AS n_children FROM nodes AS above JOIN nodes AS below
+  ON below.depth = above.depth + 1 AND above.path = substr(below.path, 1, 32 * above.depth::INT) GROUP BY above.path
+), pairs AS (
+  SELECT DISTINCT a.path, b.path AS below FROM paths AS a JOIN paths AS b ON a.conv_id = b.conv_id AND a.depth <= b.depth
+), subtrees AS (
+  SELECT pairs.path, sum((n_convs - 1) * words) AS saved, count(*) FILTER (WHERE n_children IS NULL) AS leaves
+  FROM pairs JOIN nodes ON nodes.path = below LEFT JOIN families ON families.path = below GROUP BY pairs.path
+)
+SELECT nodes.conv_id, nodes.depth, above.conv_id AS parent_conv_id, nodes.n_convs, coalesce(n_children, 0) AS n_children,
+       leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(nodes.ends, '')) AS ends_sha256
+FROM nodes JOIN subtrees ON subtrees.path = nodes.path LEFT JOIN families ON families.path = nodes.path
+LEFT JOIN nodes AS above ON nodes.depth > 0 AND above.path = substr(nodes.path, 1, 32 * (nodes.depth::INT - 1))
+"""
+
 ORACLE = {
     "op6_near_duplicates": NEAR_DUPLICATES,
     "op8_decontaminate": DECONTAMINATE,
     "op9_warc": WARC,
     "op10_line_dedup": LINE_DEDUP,
     "op11_resampling": RESAMPLING,
+    "op13_prefix_trie": PREFIX_TRIE,
 }
