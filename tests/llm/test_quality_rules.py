@@ -1,0 +1,133 @@
+"""Base rules against plain Python, the model's parts on made numbers, and held-out accuracy."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import rows_of
+from wareflow.llm import quality_rules
+from wareflow.llm.quality_rules import COUNTS, KINDS, SLOTS, Model, evidence, fit, judge, measured, platt, regression, shares, training_rows
+
+BASE = "/root/testdata/sf0.1"
+NONE = Model(None, constant=1.0)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def expected(doc_id, text):
+    own = words(text)
+    seen, lines = set(), 0
+    for line in (text or "").split("\n"):
+        if words(line):
+            lines += line in seen
+            seen.add(line)
+    times = Counter(zip(own, own[1:], own[2:]))
+    covered = {j for k in range(len(own) - 2) if times[tuple(own[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
+    counts = (len(own), sum(map(len, own)), len(re.findall(r"[#*$%&|<>]", text or "")), lines, len(covered))
+    return doc_id, *counts, counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+
+
+def made(n, seed):
+    draw = random.Random(seed)
+    some = ["a", "A", "b", "日本", "é#", "x|y", "ß<>", "c.", "\x1f", " ", "d", "d"]
+    return ["".join(draw.choice(some) + draw.choice([" ", " ", "\n", "\t", " \n", "\x0b", "\n\n"]) for _ in range(draw.choice([0, 1, 3, 40, 49, 50, 51, 120]))) for _ in range(n)]
+
+
+def test_counts_equal_plain_python(spark, documents):
+    docs = [*enumerate(made(150, 1)), (500, None), (501, ""), (502, "\n \n"), (None, "a b c\n" * 30), (3, "x"), (3, "x"), (503, "w " * 49 + "w"), (504, " ".join(map(str, range(50))))]
+    got = judge(documents(docs), NONE)
+    assert rows_of(got, "doc_id", *COUNTS, "base_failed") == sorted((expected(*d) for d in docs), key=repr)
+    assert got.where("kept = base_failed").count() == 0
+
+
+@pytest.mark.parametrize("name", ["documents"])
+def test_counts_of_the_whole_table(spark, name):
+    docs = spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    want = sorted((expected(r.doc_id, r.text) for r in docs.collect()), key=repr)
+    assert rows_of(judge(docs, NONE), "doc_id", *COUNTS, "base_failed") == want
+
+
+def test_spans_lose_no_ngram(monkeypatch):
+    texts = [t.encode() for t in made(30, 2)] + [b"", b"ab", b"abcdefgh"]
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=KINDS * SLOTS + 1)
+    whole = [(evidence(weights, g, n), c) for n, c, g in measured(texts)]
+    both = [shares(g, n) for n, _, g in measured(texts)]
+    monkeypatch.setattr(quality_rules, "SPAN", 7)
+    cut = [(evidence(weights, g, n), c) for n, c, g in measured(texts)]
+    parts = [shares(g, n) for n, _, g in measured(texts)]
+    for (a, c), (b, d), (slots, values), (other, _) in zip(whole, cut, both, parts):
+        assert np.allclose(a, b) and (c == d).all()
+        assert np.allclose(a, [weights[-1] + weights[s] @ v for s, v in zip(slots, values)])
+        assert all((x == y).all() for x, y in zip(slots, other))
+
+
+def test_byte_ngrams_equal_plain_python():
+    texts = ["aé b".encode(), b"", b"abc abc"]
+    (n, _, ngrams), = measured(texts)
+    got = Counter((kind, d) for kind, doc, _ in ngrams for d in doc.tolist())
+    padded = [len(t) + 1 for t in texts]  # a blank follows each text
+    want = {(kind, k): max(0, size - width + 1) for kind, width in ((2, 3), (3, 5)) for k, size in enumerate(padded)}
+    assert {k: v for k, v in got.items() if k[0] > 1} == {k: v for k, v in want.items() if v}
+    assert n == 3 and got[0, 0] == 2 and got[1, 0] == 1 and got[0, 2] == 2
+
+
+def test_regression_ends_where_its_gradient_does():
+    rng = np.random.default_rng(4)
+    x, ridge = rng.normal(size=(200, 5)), 1e-3
+    label = (x[:, 0] + rng.normal(size=200) > 0.5).astype(int)
+    w = regression(np.tile(np.arange(5), 200), x.ravel(), np.repeat(np.arange(200), 5), label, ridge, 200)
+    z = x @ w[:5] + w[-1]
+    each = 0.5 / np.array([(label == c).mean() for c in (0, 1)])[label] / 200
+    gap = each * (1 / (1 + np.exp(-z)) - label)
+    assert np.abs(x.T @ gap + ridge * w[:5]).max() < 1e-5 and abs(gap.sum() + ridge * w[-1]) < 1e-5 and not w[5:-1].any()
+
+
+def test_link_is_calibrated():
+    rng = np.random.default_rng(5)
+    x = rng.normal(3, 10, 40_000)
+    label = (rng.random(40_000) < 1 / (1 + np.exp(-(0.3 * x - 2)))).astype(int)
+    slope, offset = platt(x, label)
+    assert abs(slope - 0.3) < 0.02 and abs(offset + 2) < 0.1
+
+
+def test_held_out_rows_are_judged_well_and_with_honest_probabilities(spark, scratch):
+    docs, labels = (spark.read.parquet(f"{BASE}/{t}.parquet") for t in ("documents", "labels"))
+    mine = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    model = fit(docs, labels.where(~mine), scratch)
+    found = judge(docs.join(labels.where(mine).select("doc_id"), "doc_id", "left_semi"), model).toPandas()
+    found = found.merge(labels.toPandas(), on="doc_id")
+    rest = found[~found.base_failed]
+    assert len(rest) > 900 and ((rest.probability >= 0.3) == (rest.quality == 1)).mean() >= 0.97
+    assert (rest[rest.quality == 1].kept).mean() >= 0.98
+    assert abs(rest.probability.mean() - rest.quality.mean()) < 0.03
+
+
+def test_sample_is_bounded_and_repeats_train_once(spark, documents, scratch):
+    docs = [(k % 400, f"text {k}") for k in range(1200)] + [(5, "hot")] * 3000 + [(None, "x")] * 50
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)] * 2 + [(7, 0), (None, 1), (8, None)], "doc_id long, quality int")
+    rows = training_rows(documents(docs), labels, scratch, "text", "quality", 10_000, 100_000)
+    assert rows.count() == 1200 + 1 + 3  # id 7 has both labels and three texts
+    few = training_rows(documents(docs), labels, scratch, "text", "quality", 100, 100_000)
+    assert 60 * 3 <= few.count() <= 145 * 3
+    fewer = training_rows(documents(docs), labels, scratch, "text", "quality", 10_000, 420)
+    assert fewer.count() <= 180
+
+
+@pytest.mark.parametrize(("labelled", "chance"), [([], 0.5), ([(1, 1), (2, 1), (3, 1)], 1.0), ([(1, 0), (2, None)], 0.0)])
+def test_without_one_class(spark, documents, scratch, labelled, chance):
+    docs = documents([(k, f"{k} " * 60 if k != 3 else " ".join(map(str, range(60)))) for k in range(5)])
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int")
+    found = judge(docs, fit(docs, labels, scratch))
+    assert {r.probability for r in found.collect()} == {chance} and [r.doc_id for r in found.where("kept").collect()] == ([3] if chance >= 0.3 else [])
+
+
+def test_empty_table(spark, documents, scratch):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert judge(documents([]), fit(documents([]), labels, scratch)).count() == 0

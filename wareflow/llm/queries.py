@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareflow.llm import decontaminate, hnsw, language, licenses, line_dedup, near_duplicates, packing, quality, resampling, sharding, trie, warc
+from wareflow.llm import decontaminate, hnsw, language, licenses, line_dedup, near_duplicates, packing, quality, quality_rules, resampling, sharding, trie, warc
 from wareflow.llm.store import Scratch
 
 #: The tokenizer's vocabulary file.
@@ -79,6 +79,13 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(docs, target, Scratch(spark), widths=(1, 1), buckets=10_000, least_words=20, percent=10, seed=2024)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by rules on words and lines, and by the learned quality of those that pass them."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"), Scratch(spark))
+    return quality_rules.judge(docs, model, least=0.3, least_words=50, most_repeated=50)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes of the prefix trie of conversations that share heads."""
     scratch = Scratch(spark)
@@ -98,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
     "op11_resampling": op11_resampling,
+    "op12_quality_rules": op12_quality_rules,
     "op13_prefix_trie": op13_prefix_trie,
 }

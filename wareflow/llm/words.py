@@ -70,12 +70,12 @@ def chunks(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]
         yield begin, len(texts)
 
 
-def word_spans(texts: list[bytes], table: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The lower-cased texts in one, each word's begin, end and hash, and each text's first word.
+def word_spans(texts: list[bytes], table: np.ndarray, fold: bool = True) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in one, lower-cased if `fold`, each word's begin, end and hash, and each text's first word.
 
     The last array has one entry more than there are texts.
     """
-    joined = b" ".join(t.lower() for t in texts) + b" "
+    joined = b" ".join(t.lower() if fold else t for t in texts) + b" "
     data = np.frombuffer(joined, np.uint8)
     inside = table[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
