@@ -10,7 +10,7 @@ _BINDING = """
 wh(code, name, pct) AS (
   VALUES ('a', 'North', 72.0::DOUBLE), ('b', 'East', 67.0), ('c', 'West', 50.0), ('d', 'South', 75.0)),
 prod AS (
-  SELECT p_partkey AS code, p_name AS name, CASE WHEN p_partkey % 43 = 5 THEN 'Unlisted' ELSE p_type END AS line,
+  SELECT p_partkey AS code, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN lower(p_name) ELSE p_name END AS name, CASE WHEN p_partkey % 43 = 5 THEN 'Unlisted' ELSE p_type END AS line,
          p_size * 80 AS stock,
          CASE WHEN p_partkey % 41 = 3 THEN 'z' WHEN p_partkey % 41 = 4 THEN NULL
               WHEN p_type IN ('STANDARD', 'PROMO') THEN 'a' WHEN p_type = 'ECONOMY' THEN 'b'
@@ -31,7 +31,9 @@ emp AS (
          CASE WHEN s_suppkey % 31 = 9 THEN s_suppkey + 1000000000 WHEN s_suppkey > 0 THEN s_suppkey // 10 END AS boss
   FROM supplier),
 cust AS (
-  SELECT c_custkey AS id, c_name AS name, n_name AS country,
+  SELECT c_custkey AS id, c_name AS name,
+         CASE WHEN c_custkey % 29 <> 11 THEN n_name WHEN c_custkey % 3 = 0 THEN 'FREEPORT'
+              WHEN c_custkey % 3 = 1 THEN 'freeport' ELSE 'Freeport' END AS country,
          CASE WHEN c_custkey % 37 = 5 THEN c_custkey + 1000000000
               WHEN c_acctbal >= 0 THEN c_custkey % (SELECT count(*) FROM supplier) END AS rep
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
@@ -267,11 +269,11 @@ SELECT count(*) FILTER (WHERE no IS NULL) AS inactive_customers,
        {_pct("count(*) FILTER (WHERE no IS NULL)", "count(DISTINCT id)")} AS inactive_pct
 FROM cust LEFT JOIN ord ON cno = id""")
 ORACLE["active_countries"] = _q("""
-SELECT CASE WHEN country = 'NATION_0' THEN 'Other/Unknown' WHEN r_name = 'AMERICA' THEN 'NA'
+SELECT CASE WHEN country = 'NATION_0' OR r_name IS NULL THEN 'Other/Unknown' WHEN r_name = 'AMERICA' THEN 'NA'
             WHEN r_name = 'ASIA' THEN 'APAC' ELSE 'EMEA' END AS region,
-       country, count(DISTINCT id) AS active_customers, count(DISTINCT no) AS total_orders
-FROM cust JOIN ord ON cno = id JOIN nation ON n_name = country JOIN region ON r_regionkey = n_regionkey
-GROUP BY ALL""")
+       min(country) AS country, count(DISTINCT id) AS active_customers, count(DISTINCT no) AS total_orders
+FROM cust JOIN ord ON cno = id LEFT JOIN nation ON n_name = country LEFT JOIN region ON r_regionkey = n_regionkey
+GROUP BY 1, lower(country)""")
 ORACLE["customer_friction"] = _q("""
 , f AS (SELECT cno, lower(rtrim(note, ' ')) AS note, no, {flag} AS flag FROM ord)
 SELECT country, cust.id AS customer_number, cust.name AS customer_name,
@@ -302,11 +304,11 @@ FROM ord LEFT JOIN lin ON ono = no LEFT JOIN spot ON pcode = code LEFT JOIN cust
 WHERE status IN ('Disputed', 'Cancelled', 'Resolved')
 GROUP BY no, cno, country, status, note""", reason=_EXCEPTION)
 ORACLE["disputed_products"] = _q("""
-SELECT name AS product_name, count(*) AS times_disputed, count(DISTINCT ono) AS orders_involved
-FROM lin JOIN prod ON code = pcode JOIN ord ON no = ono WHERE status = 'Disputed' GROUP BY name""")
+SELECT min(name) AS product_name, count(*) AS times_disputed, count(DISTINCT ono) AS orders_involved
+FROM lin JOIN prod ON code = pcode JOIN ord ON no = ono WHERE status = 'Disputed' GROUP BY lower(name)""")
 ORACLE["disputed_product_orders"] = _q("""
-SELECT name AS product_name, ono AS order_number, count(*) AS times_disputed
-FROM lin JOIN prod ON code = pcode JOIN ord ON no = ono WHERE status = 'Disputed' GROUP BY name, ono""")
+SELECT min(name) AS product_name, ono AS order_number, count(*) AS times_disputed
+FROM lin JOIN prod ON code = pcode JOIN ord ON no = ono WHERE status = 'Disputed' GROUP BY lower(name), ono""")
 ORACLE["keyword_classify"] = """
 SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)license') THEN 'Reason A'
   WHEN regexp_matches(text, '(?i)mail|token') THEN 'Reason B'
@@ -327,10 +329,10 @@ SELECT CASE WHEN shipped IS NULL THEN 'Not shipped' WHEN due - shipped >= 5 THEN
 FROM ord GROUP BY 1""", days=_quot("sum(shipped - placed)", "count(shipped)", 0))
 
 _BY_COUNTRY = """
-SELECT {count} AS number_of_orders, CAST({days} AS BIGINT) AS avg_days_to_ship, country,
+SELECT {count} AS number_of_orders, CAST({days} AS BIGINT) AS avg_days_to_ship, min(country) AS country,
        string_agg(DISTINCT wname, ',' ORDER BY wname) AS warehouses_affected
 FROM ord JOIN cust ON cust.id = cno JOIN lin ON ono = no JOIN place ON pcode = code
-WHERE shipped IS NOT NULL AND {extra} GROUP BY country"""
+WHERE shipped IS NOT NULL AND {extra} GROUP BY lower(country)"""
 _LINE_DAYS = _quot("sum(shipped - placed)", "count(*)", 0)
 ORACLE["shipping_by_country"] = _q(_BY_COUNTRY, count="count(*)", days=_LINE_DAYS, extra="true")
 ORACLE["shipping_by_country_excl"] = _q(
@@ -341,12 +343,12 @@ ORACLE["shipping_by_country_corrected"] = _q("""
   SELECT DISTINCT no, country, shipped - placed AS days
   FROM ord JOIN cust ON cust.id = cno JOIN lin ON ono = no JOIN place ON pcode = code
   WHERE shipped IS NOT NULL),
-a AS (SELECT country, count(*) AS n, {days} AS d FROM o GROUP BY country)
+a AS (SELECT min(country) AS country, count(*) AS n, {days} AS d FROM o GROUP BY lower(country))
 SELECT n AS number_of_orders, CAST(d AS BIGINT) AS avg_days_to_ship, country, warehouses_affected
 FROM a JOIN (
-  SELECT country, string_agg(DISTINCT wname, ',' ORDER BY wname) AS warehouses_affected
+  SELECT min(country) AS country, string_agg(DISTINCT wname, ',' ORDER BY wname) AS warehouses_affected
   FROM ord JOIN cust ON cust.id = cno JOIN lin ON ono = no JOIN place ON pcode = code
-  WHERE shipped IS NOT NULL GROUP BY country) USING (country)""", days=_quot("sum(days)", "count(*)", 0))
+  WHERE shipped IS NOT NULL GROUP BY lower(country)) USING (country)""", days=_quot("sum(days)", "count(*)", 0))
 ORACLE["slowest_orders"] = _q("""
 SELECT no AS order_number, CAST(placed AS VARCHAR) AS order_date, CAST(shipped AS VARCHAR) AS shipped_date,
        country, CAST(shipped - placed AS INTEGER) AS ship_days,

@@ -1,9 +1,13 @@
 """The supplied rows reach every case that a report tells apart."""
 
+import time
+
 import pytest
+from py4j.clientserver import ClientServerConnection
 
 from tests.conftest import SMALL
 from wareflow.functions import rules
+from wareflow.functions.text import plain
 from wareflow.operators.stock import ITEM_SCALE, WAREHOUSE_SCALE
 from wareflow.plans.catalog import REPORTS
 from wareflow.sources.supplied import Supplied
@@ -53,6 +57,29 @@ def test_spellings_are_folded(spark):
     assert t.products().select("productLine").distinct().count() == 7  # six lines and the unlisted one
 
 
+def test_texts_without_a_list_are_collated(spark):
+    t = Supplied(spark, SMALL)
+    free = t.customers().filter("country = 'FREEport '")
+    assert {r[0] for r in free.select(plain("country")).distinct().collect()} == {"Freeport", "FREEPORT", "freeport"}
+    names = t.products().groupBy("productName").count().count()
+    spelled = t.products().select(plain("productName")).distinct().count()
+    assert names < spelled
+    shown = {r.country for r in REPORTS["active_countries"](t).collect()}
+    assert "FREEPORT" in shown and not {"Freeport", "freeport"} & shown
+
+
+@pytest.mark.parametrize("name", ["territory_line_rank", "regional_price_gap", "orphan_audit", "customer_friction"])
+def test_a_report_is_described_in_few_calls(spark, monkeypatch, name):
+    """Each call to the JVM costs some tenths of a millisecond; tables are described as SQL text."""
+    REPORTS[name](Supplied(spark, SMALL))
+    calls = []
+    send = ClientServerConnection.send_command
+    monkeypatch.setattr(ClientServerConnection, "send_command", lambda self, *a: calls.append(a) or send(self, *a))
+    t = time.process_time()
+    REPORTS[name](Supplied(spark, SMALL))
+    assert 100 < len(calls) < 4500 and time.process_time() - t < 5
+
+
 def test_lines_of_some_products_are_cancelled_throughout(spark):
     written = REPORTS["stock_health"](Supplied(spark, BASE)).count()
     corrected = REPORTS["stock_health_corrected"](Supplied(spark, BASE)).count()

@@ -12,7 +12,7 @@ def one(spark, col, **values):
 
 
 def test_canonical_text_ignores_case_and_trailing_blanks(spark):
-    wanted = text.canonical(F.col("s"), ["On Hold", "Shipped"])
+    wanted = F.expr(text.canonical_sql("s", ["On Hold", "Shipped"]))
     assert one(spark, wanted, s="on hold  ") == "On Hold"
     assert one(spark, wanted, s=" on hold") == " on hold"
     assert one(spark, wanted, s="Other ") == "Other"
@@ -40,6 +40,47 @@ def test_quotients_are_rounded_once(spark):
     assert one(spark, numbers.percent(F.col("a"), F.col("b")), a=1, b=20_000) == Decimal("0.01")
 
 
+@pytest.mark.parametrize("size", [10**k for k in (0, 6, 14, 16, 20, 24)])
+def test_shares_of_totals_of_any_size(spark, size):
+    total = Decimal(size) * 3
+    df = spark.createDataFrame([(Decimal(size), total, -Decimal(size))], "a DECIMAL(38,2), b DECIMAL(38,2), c DECIMAL(38,2)")
+    a, b, c = (F.col(x) for x in "abc")
+    row = df.select(
+        numbers.percent(a, b).alias("third"),
+        numbers.percent(c, b, 0).alias("minus"),
+        numbers.percent(b, a, 1).alias("over"),
+        numbers.percent(a - a, b).alias("none"),
+        numbers.percent(a, a - a).alias("undefined"),
+        numbers.quotient(a + a, b, 3).alias("plain"),
+    ).first()
+    assert list(row) == [Decimal("33.33"), Decimal(-33), Decimal("300.0"), 0, None, Decimal("0.667")]
+
+
+@pytest.mark.parametrize("size", [1, 10**16, 10**24])
+def test_shares_next_to_a_half_are_rounded_once(spark, size):
+    """5 of 100,000 is 0.005 %: half a hundredth goes up, a cent less goes down."""
+    row = spark.createDataFrame([(Decimal(5 * size), Decimal(100_000 * size))], "a DECIMAL(38,2), b DECIMAL(38,2)")
+    a, b, cent = F.col("a"), F.col("b"), F.lit(Decimal("0.01"))
+    got = row.select(numbers.percent(a, b), numbers.percent(a - cent, b), numbers.percent(-a, b)).first()
+    assert list(got) == [Decimal("0.01"), Decimal("0.00"), Decimal("-0.01")]
+
+
+def test_collated_text_groups_joins_and_compares_without_a_list(spark):
+    rows = [("Peru", 1), ("PERU  ", 2), ("peru", 3), ("Perú", 4), (None, 5), (" Peru", 6)]
+    df = spark.createDataFrame(rows, "s STRING, n INT").withColumn("s", F.expr(text.canonical_sql("s", ["Chile"], collate=True)))
+    groups = df.groupBy("s").agg(text.least_spelling("s").alias("shown"), F.sum("n").alias("n")).select("shown", "n")
+    assert {tuple(r) for r in groups.collect()} == {("PERU", 6), ("Perú", 4), (None, 5), (" Peru", 6)}
+    assert df.filter("s = 'pErU '").count() == 3 and df.filter(text.text_in("s", ["PERU"])).count() == 3
+    other = spark.createDataFrame([("PERu",)], "t STRING").withColumn("t", F.expr(text.canonical_sql("t", collate=True)))
+    assert df.join(other, df["s"] == other["t"]).count() == 3
+    assert df.select(text.plain("s").alias("s")).filter("s = 'Peru'").count() == 1
+
+
+def test_quotes_in_listed_values(spark):
+    wanted = F.expr(text.canonical_sql("s", ["Côte d'Ivoire", "a\\b"]))
+    assert one(spark, wanted, s="CÔTE D'IVOIRE ") == "Côte d'Ivoire" and one(spark, wanted, s="A\\B") == "a\\b"
+
+
 def test_sample_deviation_from_moments(spark):
     values = [Decimal("1.10"), Decimal("2.25"), Decimal("9.99")]
     df = spark.createDataFrame([(v,) for v in values], "v DECIMAL(10,2)")

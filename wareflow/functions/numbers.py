@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Counts, units and money: exact to the cent, and their quotient to 18 digits.
 EXACT = "decimal(20,2)"
+#: The same, of totals of any size.
+WIDE = "decimal(38,2)"
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -28,8 +30,22 @@ def steady(col: Column) -> Column:
     return col.cast("decimal(24,6)")
 
 
+def quotient(num: Column, den: Column, digits: int = 2, times: int = 1) -> Column:
+    """``num * times / den`` of counts, units or money, rounded once, half away from zero.
+
+    Whole cents are divided as whole numbers, so the result is exact whatever the size of the total, as long as
+    ``num * times`` has no more than 35 digits before and behind the rounded place together; larger ones
+    raise an error. NULL when the divisor is zero.
+    """
+    a, b = ((x.cast(WIDE) * 100).cast("decimal(38,0)") for x in (num, den))
+    twice = F.abs(a) * (2 * times * 10**digits) + F.abs(b)
+    unit = F.nullif(F.abs(b) * 2, F.lit(0))
+    whole = ((twice - twice % unit) / unit).cast("decimal(34,0)") * F.lit(Decimal(1).scaleb(-digits))
+    return F.when((num < 0) != (den < 0), -whole).otherwise(whole)
+
+
 def percent(num: Column, den: Column, digits: int = 2) -> Column:
-    return rounded(ratio(num * 100, den), digits)
+    return quotient(num, den, digits, 100)
 
 
 def exact(value: float | str | Decimal) -> Column:

@@ -1,9 +1,11 @@
 """Canonical text, tests on free text, and lists of distinct values.
 
 The source database compares text without regard to case or trailing blanks; Spark
-compares bytes. Text columns therefore get one spelling per value when a table is read
+compares bytes. Text columns whose values are listed therefore get one spelling per value when a table is read
 (``operators.clean.fold_text``); operators then compare plain columns, so that their filters reach
-the scan of a stored table. Only free text, such as comments, is folded where it is used.
+the scan of a stored table. Columns that also hold other values, such as countries and product names, are collated,
+so that comparing, joining and grouping them ignores case and trailing blanks without a list.
+Only free text, such as comments, is folded where it is used.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Compares without regard to case and trailing blanks.
+COLLATION = "UTF8_LCASE_RTRIM"
+
 _WORDS = re.compile(r"[A-Za-z0-9 ]+(\|[A-Za-z0-9 ]+)*")
 
 
@@ -24,14 +29,32 @@ def fold(col: str | Column) -> Column:
     return F.lower(F.rtrim(col))
 
 
-def canonical(col: Column, values: Iterable[str]) -> Column:
-    """The spelling in ``values`` that a text has but for case and trailing blanks; any other text
-    only loses its trailing blanks."""
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def canonical_sql(expression: str, values: Iterable[str] = (), collate: bool = False) -> str:
+    """SQL text of the spelling in ``values`` that a text has but for case and trailing blanks; any other
+    text only loses its trailing blanks. ``collate`` makes the result compare without regard to case.
+
+    As text it reaches Spark in one call, however many values there are.
+    """
+    found = f"rtrim({expression})"
     spelling = {value.rstrip(" ").lower(): value for value in values}
-    if not spelling:
-        return F.rtrim(col)
-    pairs = F.create_map(*[F.lit(x) for pair in spelling.items() for x in pair])
-    return F.coalesce(F.try_element_at(pairs, fold(col)), F.rtrim(col))
+    if spelling:
+        pairs = ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in spelling.items())
+        found = f"coalesce(try_element_at(map({pairs}), lower({found})), {found})"
+    return f"collate({found}, '{COLLATION}')" if collate else found
+
+
+def least_spelling(col: str | Column) -> Column:
+    """Aggregate: of the spellings in a group of a collated column, the least by its bytes."""
+    return F.min(plain(col))
+
+
+def plain(col: str | Column) -> Column:
+    """A text that compares by its bytes again."""
+    return F.collate(col, "UTF8_BINARY")
 
 
 def text_in(col: str | Column, values: Iterable[str]) -> Column:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from wareflow.functions.text import canonical as spelled
+from wareflow.functions.text import canonical_sql
 
 ISO = "yyyy-M-d"
 DAY_FIRST = "d-M-yyyy"
@@ -64,18 +64,19 @@ def normalize_dates(
 
 
 def fold_text(
-    df: DataFrame, canonical: Mapping[str, Sequence[str]] | None = None
+    df: DataFrame,
+    canonical: Mapping[str, Sequence[str]] | None = None,
+    collated: Collection[str] = (),
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Trim trailing blanks of every text column, and give the columns named in
-    ``canonical`` one spelling per value whatever the case ('On hold' -> 'On Hold')."""
+    """Trim trailing blanks of every text column, give the columns named in ``canonical`` one
+    spelling per value whatever the case ('On hold' -> 'On Hold'), and make those named in ``collated``
+    compare without regard to case also where their values are not listed. ``columns`` names
+    the text columns where they are known; else the schema tells them."""
     known = canonical or {}
-    return df.withColumns(
-        {
-            f.name: spelled(F.col(f.name), known.get(f.name, ()))
-            for f in df.schema.fields
-            if isinstance(f.dataType, StringType)
-        }
-    )
+    if columns is None:
+        columns = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    return df.withColumns({c: F.expr(canonical_sql(f"`{c}`", known.get(c, ()), c in collated)) for c in columns})
 
 
 def override(df: DataFrame, column: str, rules: Sequence[tuple[str, str, str]]) -> DataFrame:

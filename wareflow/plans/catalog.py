@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType
+from pyspark.sql.types import DateType, DecimalType, StringType
 
 from wareflow.functions import present, rules
 from wareflow.operators import clean, quality
@@ -264,12 +264,12 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
 
 
 def plain_types(df: DataFrame) -> DataFrame:
-    """Decimals as doubles and dates as ISO text, for comparison with another engine."""
-    kinds = {DecimalType: "double", DateType: "string"}
+    """Decimals as doubles, dates as ISO text and texts without a collation, for comparison with another engine."""
+    kinds = {DecimalType: "double", DateType: "string", StringType: "string"}
     return df.select(
         *[
             F.col(f.name).cast(kinds[type(f.dataType)]).alias(f.name)
-            if type(f.dataType) in kinds
+            if type(f.dataType) in kinds and f.dataType != StringType()
             else F.col(f.name)
             for f in df.schema.fields
         ]

@@ -26,7 +26,7 @@ from wareflow.functions.rules import (
     keyword_label,
     region_of,
 )
-from wareflow.functions.text import fold, name_list, text_in
+from wareflow.functions.text import fold, least_spelling, name_list, text_in
 from wareflow.operators.rollups import left_join_spread, order_places
 from wareflow.operators.shares import share_of_total
 
@@ -60,9 +60,11 @@ def active_countries(
         .join(orders_per_customer(orders), "customerNumber")
         .groupBy(region_of("country", regions, other).alias("region"), "country")
         .agg(
+            least_spelling("country").alias("shown"),
             F.count(F.lit(1)).alias("active_customers"),
             F.sum("n_orders").alias("total_orders"),
         )
+        .select("region", F.col("shown").alias("country"), "active_customers", "total_orders")
         .orderBy(F.desc("region"), F.desc("total_orders"), "country")
     )
 
@@ -216,11 +218,13 @@ def products_in_orders(
     one product has no bound."""
     return (
         _products_of(lines, products, wanted)
-        .groupBy(F.col("productName").alias("product_name"))
+        .groupBy("productName")
         .agg(
+            least_spelling("productName").alias("product_name"),
             F.sum("n").alias("times_disputed"),
             F.count_distinct("orderNumber").alias("orders_involved"),
         )
+        .drop("productName")
         .orderBy(F.desc("times_disputed"), "product_name")
     )
 
@@ -231,8 +235,9 @@ def products_and_orders(
     """Each product with each of the ``wanted`` orders that has it, and on how many lines."""
     return (
         _products_of(lines, products, wanted)
-        .groupBy(F.col("productName").alias("product_name"), F.col("orderNumber").alias("order_number"))
-        .agg(F.sum("n").alias("times_disputed"))
+        .groupBy("productName", F.col("orderNumber").alias("order_number"))
+        .agg(least_spelling("productName").alias("product_name"), F.sum("n").alias("times_disputed"))
+        .select("product_name", "order_number", "times_disputed")
     )
 
 

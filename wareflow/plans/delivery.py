@@ -20,7 +20,7 @@ from wareflow.functions.rules import (
     Rules,
     keyword_label,
 )
-from wareflow.functions.text import distinct_list, name_list
+from wareflow.functions.text import distinct_list, least_spelling, name_list
 from wareflow.operators.rollups import order_places
 
 DAYS_TO_SHIP = "datediff(shippedDate, orderDate)"
@@ -81,9 +81,10 @@ def shipping_by_country(
         weight = F.col("n_lines")
     return (
         placed.groupBy("country", "warehouseName")
-        .agg(F.sum(weight).alias("n"), F.sum(weight * F.col("days")).alias("days"))
+        .agg(least_spelling("country").alias("shown"), F.sum(weight).alias("n"), F.sum(weight * F.col("days")).alias("days"))
         .groupBy("country")
         .agg(
+            F.min("shown").alias("shown"),
             F.sum("n").alias("number_of_orders"),
             F.sum("days").alias("days"),
             distinct_list("warehouseName", ",").alias("warehouses_affected"),
@@ -93,7 +94,7 @@ def shipping_by_country(
             rounded(ratio(F.col("days"), F.col("number_of_orders")), 0)
             .cast("bigint")
             .alias("avg_days_to_ship"),
-            "country",
+            F.col("shown").alias("country"),
             "warehouses_affected",
         )
         .orderBy(F.desc("avg_days_to_ship"), "country")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 from wareflow.operators.clean import fold_text
-from wareflow.sources.schemas import CANONICAL, FACTS, TABLES, schema_of
+from wareflow.sources.schemas import CANONICAL, COLLATED, FACTS, TABLES, schema_of
 
 
 def read_parquet(spark: SparkSession, base: str, table: str) -> DataFrame:
@@ -79,6 +79,10 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **split) -> DataFrame:
     return raw.select(*[raw[f.name].cast(f.dataType).alias(f.name) for f in schema_of(table)])
 
 
+def _typed_as(options: Mapping[str, Mapping] | None, table: str) -> dict[str, bool]:
+    return {k: v for k, v in (options or {}).get(table, {}).items() if k == "text_dates"}
+
+
 def load(
     spark: SparkSession,
     base: str,
@@ -91,6 +95,11 @@ def load(
     the reader by table."""
     reader = {"parquet": read_parquet, "csv": read_csv, "jdbc": read_jdbc}[fmt]
     return {
-        table: fold_text(reader(spark, base, table, **(options or {}).get(table, {})), CANONICAL.get(table))
+        table: fold_text(
+            reader(spark, base, table, **(options or {}).get(table, {})),
+            CANONICAL.get(table),
+            COLLATED.get(table, ()),
+            [f.name for f in schema_of(table, **_typed_as(options, table)) if isinstance(f.dataType, StringType)],
+        )
         for table in tables
     }

@@ -87,6 +87,13 @@ CANONICAL: dict[str, dict[str, tuple[str, ...]]] = {
     "warehouses": {"warehouseCode": CODES, "warehouseName": NAMES},
 }
 
+# Text columns that are compared although not all their values are listed, by table.
+COLLATED: dict[str, tuple[str, ...]] = {
+    "customers": ("country",),
+    "offices": ("country",),
+    "products": ("productName",),
+}
+
 # The imported variant of orders, before its dates are normalised.
 TEXT_DATES = ("orderDate", "requiredDate", "shippedDate")
 

@@ -4,7 +4,8 @@ Each method returns one table of the model as a lazy DataFrame over the Parquet
 filters and column selection reach the scan, and what a report does not read is not computed.
 Every row of a file is a row of the model; keys decide which of the cases that reports tell apart a
 row is: unsold products, idle customers, dangling references, comments of every kind. Statuses,
-countries, lines and codes come as people type them and are folded as they are read.
+countries, lines, codes and product names come as people type them and are folded as they are read, or
+collated where their values are not listed.
 """
 
 from __future__ import annotations
@@ -14,6 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from wareflow.operators.clean import fold_text, override
 from wareflow.sources.schemas import NAMES, STATUSES
 
+#: Columns of the supplied tables that are read; no footer is needed to know them.
+COLUMNS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
+    "documents": "doc_id BIGINT, text STRING",
+}
 JAPAN = "NATION_2"  # the country whose office starts in a territory of its own
 
 # product line -> warehouse
@@ -49,6 +62,8 @@ COMMENTS = (
     "fine, thank you",
     "FINE, thank you  ",
 )
+FREEPORT = "Freeport"  # a country of some customers that no list knows
+COLLATED = ("country", "productName")
 UNKNOWN = 1_000_000_000  # added to a key, it refers to nothing
 
 # Every 50th order is cancelled whatever its letter: some products are on such orders only.
@@ -99,10 +114,10 @@ class Supplied:
         self.base = base
 
     def scan(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/{name}.parquet")
+        return self.spark.read.schema(COLUMNS[name]).parquet(f"{self.base}/{name}.parquet")
 
-    def folded(self, df: DataFrame) -> DataFrame:
-        return fold_text(df, SPELLING)
+    def folded(self, df: DataFrame, *columns: str) -> DataFrame:
+        return fold_text(df, SPELLING, COLLATED, columns)
 
     def warehouses(self) -> DataFrame:
         return self.folded(
@@ -110,7 +125,9 @@ class Supplied:
                 "SELECT * FROM VALUES ('a', 'North', '72'), ('b', 'EAST', '67'), "
                 "('C ', 'West  ', '50'), ('d', 'south', '75') "
                 "AS w(warehouseCode, warehouseName, warehousePctCap)"
-            )
+            ),
+            "warehouseCode",
+            "warehouseName",
         )
 
     def products(self) -> DataFrame:
@@ -120,12 +137,15 @@ class Supplied:
         return self.folded(
             self.scan("part").selectExpr(
                 "p_partkey AS productCode",
-                "p_name AS productName",
+                f"{typed('p_name', 'p_partkey')} AS productName",
                 f"IF(p_partkey % 43 = 5, {line}, {typed('p_type', 'p_partkey')}) AS productLine",
                 "p_size * 80 AS quantityInStock",
                 f"{typed(home, 'p_partkey')} AS warehouseCode",
                 f"{_money('p_retailprice', 10)} AS buyPrice",
-            )
+            ),
+            "productName",
+            "productLine",
+            "warehouseCode",
         )
 
     def productlines(self) -> DataFrame:
@@ -140,7 +160,7 @@ class Supplied:
             f"CASE WHEN n_name = '{JAPAN}' THEN 'Japan' WHEN r_name = 'AMERICA' THEN 'NA' "
             "WHEN r_name = 'ASIA' THEN 'APAC' ELSE 'EMEA' END AS territory",
         )
-        folded = self.folded(raw)
+        folded = self.folded(raw, "country")
         return override(folded, "territory", [("country", JAPAN, "APAC")]) if cleaned else folded
 
     def employees(self) -> DataFrame:
@@ -156,6 +176,7 @@ class Supplied:
     def customers(self) -> DataFrame:
         reps = self.scan("supplier").selectExpr("count(*) AS reps").scalar()
         nation = self.scan("nation").selectExpr("n_nationkey AS c_nationkey", "n_name")
+        country = f"IF(c_custkey % 29 = 11, '{FREEPORT}', n_name)"
         rep = f"CASE WHEN c_custkey % 37 = 5 THEN c_custkey + {UNKNOWN} WHEN c_acctbal >= 0 THEN c_custkey % reps END"
         return self.folded(
             self.scan("customer")
@@ -165,9 +186,10 @@ class Supplied:
                 "c_custkey AS customerNumber",
                 "c_name AS customerName",
                 "n_name AS city",
-                f"{typed('n_name', 'c_custkey')} AS country",
+                f"{typed(country, 'c_custkey')} AS country",
                 f"{rep} AS salesRepEmployeeNumber",
-            )
+            ),
+            "country",
         )
 
     def orders_as_typed(self) -> DataFrame:
@@ -187,7 +209,7 @@ class Supplied:
         Comments cost a join with the documents, so they come on request: an order's remark is
         followed by the document of its number, if there is one.
         """
-        orders = self.folded(self.orders_as_typed())
+        orders = self.folded(self.orders_as_typed(), "status")
         if not comments:
             return orders
         remarks = ", ".join("NULL" if c is None else "'" + c.replace("'", "\\'") + "'" for c in COMMENTS)
