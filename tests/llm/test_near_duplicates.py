@@ -132,3 +132,26 @@ def test_empty_table_and_no_links(documents, scratch):
     assert nd.near_duplicates(documents([]), scratch).count() == 0
     got = nd.near_duplicates(documents([(1, "a b c d e f"), (2, "g h i j k l")]), scratch)
     assert rows_of(got, "doc_id", "component_id", "kept") == [(1, 1, True), (2, 2, True)]
+
+
+def templated(n, seed=6, shared=46, own=60):
+    """Texts with `shared` words in common and `own` ones of their own, and a near copy of every hundredth."""
+    draw = random.Random(seed)
+    template = " ".join(f"t{k}" for k in range(shared))
+    rows = [(k, template + " " + " ".join(f"w{draw.randrange(10**9)}" for _ in range(own))) for k in range(n)]
+    return rows + [(n + k, t + " more") for k, t in rows[::100]]
+
+
+def test_texts_of_one_template_are_not_compared_with_each_other(documents, scratch, monkeypatch):
+    """A chain of some hundred texts with a similarity of 0.27 is cut to the pairs that are alike."""
+    monkeypatch.setattr(nd, "BLOCK_CLASSES", 50)
+    seen = []
+    cut = nd.without_chains
+    monkeypatch.setattr(nd, "without_chains", lambda *a: seen.append((a[4], cut(*a))) or seen[-1][1])
+    rows = templated(1500)
+    got = nd.near_duplicates(documents(rows), scratch, shingle=4, percent=80)
+    want = [(k, k if k < 1500 else k - 1500) for k, _ in rows]
+    assert rows_of(got, "doc_id", "component_id") == sorted(want, key=repr)
+    (before, after), = seen
+    assert before.groupBy("group").count().where("count > 100").count() and after.count() < before.count() / 4
+    assert after.groupBy("group").count().where("count > 5").count() == 0

@@ -31,7 +31,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def _settled(links: DataFrame) -> bool:
     """Every node has one link, and none to a node that has a link itself."""
     again = links.select(F.col("a").alias("b")).distinct()
-    if links.join(again, "b", "left_semi").limit(1).count():
+    # Distinct before the join: the centre of a large component would bring all its links to one task.
+    if links.select("b").distinct().join(again, "b", "left_semi").limit(1).count():
         return False
     return not links.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
 

@@ -12,10 +12,15 @@ defaults 1.7e-6 at 0.8 and less above.
    so a class without relatives costs 2*side narrow rows and not side^2.
 3. In each table bucket every class is linked to the least one: a star, never all pairs. The
    components of these stars are candidate groups; whatever met in a table is in one group.
-4. A group's texts come together in blocks of bounded size, each pair of blocks once, and sets are
+4. Texts that share a template chain to groups that are much larger than what is alike in them. A group of more
+   than a block is therefore cut by an exact condition first: two sets with the wanted similarity share one of
+   the shingles that are rarest in the group, among as many of each set as the similarity allows to differ, and one.
+   Texts that have a fifth of their own beside the template then meet nobody, so work
+   follows what may be alike and not the size of the chain.
+5. A group's texts come together in blocks of bounded size, each pair of blocks once, and sets are
    compared exactly, skipping pairs that are already connected. A pair of blocks emits at
    most a spanning forest of its links.
-5. Components of the verified links are the result.
+6. Components of the verified links are the result.
 
 Defined results
 * null, empty or blank text: no shingles, linked with nothing; it is a component of itself.
@@ -36,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wareflow.llm.components import components
@@ -160,6 +165,58 @@ def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(new))
 
 
+def _blocks_of(s: str, n: str) -> Column:
+    """Blocks that a group of n classes with s shingles is cut to."""
+    return F.greatest(F.ceil(F.col(s) / BLOCK_SHINGLES), F.ceil(F.col(n) / BLOCK_CLASSES))
+
+
+def _member_texts(docs: DataFrame, text: str, placed: DataFrame, few: bool) -> DataFrame:
+    """The columns of placed and the text of a row of each class; placed has the row's id_ and key_."""
+    names = [c for c in placed.columns if c not in ("id_", "key_")]
+    if few:
+        placed = F.broadcast(placed)
+    rows = docs.select("doc_id", text_key(F.col(text)).alias("row_"), F.col(text).cast("binary").alias("text"))
+    held = rows.join(placed, rows["doc_id"].eqNullSafe(placed["id_"]) & (rows["row_"] == placed["key_"])).select(*names, "text")
+    return held.mapInArrow(_first_rows, held.schema)
+
+
+def without_chains(docs: DataFrame, text: str, shingle: int, percent: int, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """members with groups of more than a block cut to the parts that can have links at all.
+
+    A set of n shingles that is linked to another has at least percent * n / 100 of them in common with it. So at
+    most n less that many are not common, and of one more than those, the rarest in the group by one order, some is in both
+    sets' rarest ones. Classes that share none of theirs with anyone leave.
+    """
+    size = members.groupBy("group").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n"))
+    large = scratch.keep(size.where(_blocks_of("s", "n") > 1).select("group", "n"), "large")
+    n = large.agg(F.sum("n")).first()[0]
+    if not n:
+        return members
+    chained = members.join(large.select("group"), "group", "left_semi")
+    placed = chained.select("id", "group", F.col("row.doc_id").alias("id_"), F.col("row.row_").alias("key_"))
+
+    def cut(part: pa.RecordBatch) -> dict:
+        sets = shingle_sets(texts_of(part.column("text")), shingle)
+        return {"id": part.column("id"), "group": part.column("group"), "s": [x.view(np.int64) for x in sets]}
+
+    sets = map_texts(_member_texts(docs, text, placed, n <= MOST_SENT).dropDuplicates(["id"]), "text", cut, "id long, `group` long, s array<long>")
+    flat = scratch.keep(sets.select("id", "group", F.explode("s").alias("s")), "shingles")
+    shared = flat.groupBy("group", "s").agg(F.count("*").alias("df")).where("df > 1")
+    rare = flat.join(shared, ["group", "s"]).groupBy("id", "group").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    rare = rare.join(members.select("id", "n_shingles"), "id")
+    # Shingles that no other class has are the rarest and fill the first places.
+    places = F.expr(f"n_shingles - (n_shingles * {percent} + 99) DIV 100 + 1 - (n_shingles - size(shared))")
+    rare = rare.select("id", "group", F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))).alias("p"))
+    rare = scratch.keep(rare.select("id", "group", "p.s"), "rare")
+    least = rare.groupBy("group", "s").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = rare.join(least, ["group", "s"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    parts = components(stars, scratch)
+    parts = parts.union(parts.select("b", "b").distinct()).toDF("id", "part")
+    scratch.drop(flat, rare)
+    cut_up = chained.join(parts, "id").select("id", "n_shingles", "row", F.col("part").alias("group"))
+    return members.join(large.select("group"), "group", "left_anti").select("id", "n_shingles", "row", "group").union(cut_up)
+
+
 def verified_links(docs: DataFrame, text: str, shingle: int, percent: int, members: DataFrame) -> DataFrame:
     """(a, b): a spanning forest of the true links in each candidate group.
 
@@ -168,10 +225,9 @@ def verified_links(docs: DataFrame, text: str, shingle: int, percent: int, membe
     cut into blocks.
     """
     size = members.groupBy("group").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n"))
-    cut = F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_CLASSES))
     total = size.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     bins = 1 + (total.s or 0) // BLOCK_SHINGLES + (total.n or 0) // BLOCK_CLASSES
-    placed = members.join(size.select("group", cut.alias("blocks")), "group").select(
+    placed = members.join(size.select("group", _blocks_of("s", "n").alias("blocks")), "group").select(
         "id",
         "group",
         "blocks",
@@ -179,12 +235,7 @@ def verified_links(docs: DataFrame, text: str, shingle: int, percent: int, membe
         F.col("row.doc_id").alias("id_"),
         F.col("row.row_").alias("key_"),
     )
-    if (total.n or 0) <= MOST_SENT:
-        placed = F.broadcast(placed)
-    rows = docs.select("doc_id", text_key(F.col(text)).alias("row_"), F.col(text).cast("binary").alias("text"))
-    held = rows.join(placed, rows["doc_id"].eqNullSafe(placed["id_"]) & (rows["row_"] == placed["key_"]))
-    held = held.select("id", "group", "blocks", "block", "text")
-    held = held.mapInArrow(_first_rows, held.schema)
+    held = _member_texts(docs, text, placed, (total.n or 0) <= MOST_SENT)
     pairs = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     alone = F.col("blocks") == 1
     pairs = pairs.select(
@@ -232,6 +283,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", shing
     groups = components(table_stars(classes, scratch), scratch)
     groups = groups.union(groups.select("b", "b").distinct()).toDF("id", "group")
     members = scratch.keep(classes.select("id", "n_shingles", "row").join(groups, "id"), "members")
+    members = scratch.keep(without_chains(docs, text, shingle, percent, members, scratch), "parts")
     linked = components(verified_links(docs, text, shingle, percent, members), scratch)
     named = classes.select("id", "digest", "row", "copies").join(linked.toDF("id", "root"), "id", "left")
     named = named.withColumn("root", F.coalesce("root", "id"))
