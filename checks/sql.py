@@ -144,6 +144,7 @@ ORACLE["normalize_dates"] = _q('{pre} SELECT k AS "orderNumber", {cols} FROM txt
 ORACLE["normalize_dates_whole_row"] = _q('{pre} SELECT k AS "orderNumber", {cols} FROM txt', pre=_TEXT_DATES, cols=", ".join(
     f'CASE WHEN {" OR ".join(_OFF_ISO.format(x) for x, _ in _DATE_COLUMNS)} THEN {_date(c, _DMY)} ELSE {_date(c, _ISO)} END AS "{name}"'
     for c, name in _DATE_COLUMNS))
+ORACLE["normalize_dates_update"] = ORACLE["normalize_dates"]
 ORACLE["duplicate_keys"] = _q("""
 , keyed AS (
   SELECT 'Product Code' AS t, CAST(code AS VARCHAR) AS k FROM prod
@@ -394,6 +395,13 @@ ORACLE["product_revenue"] = _product_revenue("lin")
 ORACLE["product_revenue_corrected"] = _product_revenue(_KEPT_LINES)
 
 
+ORACLE["product_rank"] = _q("""
+, s AS (SELECT pcode, sum(qty) AS units, sum(rev) AS rev FROM lin GROUP BY pcode)
+SELECT code AS product_code, name AS product_name, wname AS warehouse_name, CAST(coalesce(units, 0) AS BIGINT) AS total_units_sold,
+       CAST(coalesce(rev, 0) AS DOUBLE) AS total_revenue, dense_rank() OVER (ORDER BY coalesce(rev, 0) DESC) AS revenue_rank
+FROM spot LEFT JOIN s ON pcode = code""")
+
+
 def _top_bottom(lines: str) -> str:
     return _q("""
 , s AS (
@@ -564,3 +572,6 @@ SELECT warehouse_code, simulated_warehouse, product_lines,
        format('{{:.1f}}%', simulated_capacity_pct) AS simulated_capacity_pct
 FROM ({ORACLE["whatif_close_west_reduced"]}) AS r"""
 ORACLE["reallocate"] = _closure({"ECONOMY": "c", "MEDIUM": "b"}, kept={"d": "0.9"})
+ORACLE["reallocate_scenarios"] = " UNION ALL ".join(
+    f"SELECT '{scenario}' AS scenario, * FROM ({ORACLE[name]}) AS s"
+    for scenario, name in (("south", "whatif_close_south"), ("west", "whatif_close_west"), ("west reduced", "whatif_close_west_reduced"), ("swap", "reallocate")))

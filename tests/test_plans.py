@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SMALL
 from wareflow.plans.catalog import REPORTS
+from wareflow.session import FILTERED_SCAN
 from wareflow.operators.rollups import with_status
 from wareflow.sources import readers, sinks
 from wareflow.sources.supplied import Supplied
@@ -58,7 +59,7 @@ AUDITS = ("duplicate_keys", "key_audit", "orphan_audit")
 
 
 #: Entries whose second scan adaptive execution replaces by the exchange of the first.
-SHARED = ("top_bottom_products", "top_bottom_products_corrected")
+SHARED = ("top_bottom_products", "top_bottom_products_corrected", "product_rank")
 
 
 @pytest.mark.parametrize("name", SHARED)
@@ -89,6 +90,29 @@ def test_lines_meet_the_wanted_orders_below_the_aggregate(plan):
         assert joins and joins[-1] > max(i for i, op in enumerate(path) if "Aggregate" in op)
 
 
+@pytest.mark.parametrize("name", ["order_exceptions", "disputed_products", "disputed_product_orders"])
+def test_wanted_orders_filter_the_lines_before_they_are_shuffled(spark, plan, name):
+    old = spark.conf.get(FILTERED_SCAN)
+    spark.conf.set(FILTERED_SCAN, "0")
+    try:
+        (path,) = [p for p in ancestors_of_scans(plan(name)) if "lineitem.parquet" in p[-1]]
+    finally:
+        spark.conf.set(FILTERED_SCAN, old)
+    shuffles = [i for i, op in enumerate(path) if op.startswith("Exchange")]
+    filters = [i for i, op in enumerate(path) if "might_contain" in op]
+    assert filters and max(filters) > max(shuffles)
+
+
+def test_ranks_of_all_products_are_made_by_ranges(plan):
+    """What reaches a single task above the ranks are one row for each range, or partial quantiles."""
+    single = [p for p in ancestors_of_scans(plan("product_rank")) if any(op.startswith("Exchange SinglePartition") for op in p)]
+    assert single
+    for path in single:
+        at = max(i for i, op in enumerate(path) if op.startswith("Exchange SinglePartition"))
+        below = next(op for op in path[at + 1 :] if "Aggregate" in op)
+        assert "partial_percentile_approx" in below or "count(1)" in below
+
+
 def test_stock_against_sales_moves_raw_lines_once(plan):
     (path,) = [p for p in ancestors_of_scans(plan("line_stock_vs_sales")) if "lineitem.parquet" in p[-1]]
     below = path[max(i for i, op in enumerate(path) if "Aggregate" in op) :]

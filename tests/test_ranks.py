@@ -1,0 +1,34 @@
+"""Ranks made by ranges equal those of a window over everything."""
+
+import random
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from wareflow.operators.ranks import dense_rank_desc
+
+
+@pytest.mark.parametrize("ranges", [2, 5, 64])
+@pytest.mark.parametrize("kind", ["BIGINT", "DECIMAL(31,2)", "DOUBLE"])
+def test_equal_to_a_window(spark, ranges, kind):
+    draw = random.Random(ranges)
+    values = [draw.choice([0, 0, 0, None, draw.randrange(40), draw.randrange(-(10**9), 10**9)]) for _ in range(900)]
+    cast = {"BIGINT": int, "DECIMAL(31,2)": Decimal, "DOUBLE": float}[kind]
+    df = spark.createDataFrame([(k, None if v is None else cast(v)) for k, v in enumerate(values)], f"k INT, v {kind}").repartition(7)
+    got = dense_rank_desc(df, "v", "r", ranges)
+    want = df.withColumn("r", F.dense_rank().over(Window.orderBy(F.desc_nulls_last("v"))))
+    assert got.columns == ["k", "v", "r"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_ties_are_not_cut_by_a_border(spark):
+    df = spark.createDataFrame([(k, 5) for k in range(500)] + [(k, k) for k in range(20)], "k INT, v INT")
+    got = dense_rank_desc(df, "v", "r", 16)
+    assert {r.r for r in got.filter("v = 5").collect()} == {15} and got.count() == 520
+
+
+def test_empty_and_null_only(spark):
+    df = spark.createDataFrame([], "k INT, v INT")
+    assert dense_rank_desc(df, "v", "r").count() == 0
+    assert [r.r for r in dense_rank_desc(spark.createDataFrame([(1, None), (2, None)], "k INT, v INT"), "v", "r").collect()] == [1, 1]

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tests.conftest import frame
-from wareflow.operators.whatif import reallocate
+from wareflow.operators.whatif import reallocate, reallocate_scenarios
 
 LINES = ["Cars", "Boats", "Trams"]
 CODES = ["a", "b", "c", "d", "y", None]
@@ -52,3 +52,35 @@ def test_a_move_to_an_unknown_warehouse_fails(spark):
     products, warehouses, sales, _ = tables(spark, ["a", "b"])
     with pytest.raises(Exception, match="unknown warehouse"):
         reallocate(products, warehouses, sales, {"Cars": "q"}).collect()
+
+
+def test_scenarios_at_once_equal_single_ones(spark):
+    products, warehouses, sales, total = tables(spark, ["a", "b", "c", "d", "y", None, "b", "c", "a"])
+    scenarios = {
+        "one": ({"Cars": "b"}, ["a"], {}),
+        "two": ({"Boats": "a", "Trams": "c"}, ["d", "b"], {"b": 0.5, "y": 0.25}),
+        "three": ({}, ["c"], {}),
+        "four": ({"Cars": "d"}, [], {"a": 0.9}),
+    }
+    moves = spark.createDataFrame([(s, line, to) for s, (m, _, _) in scenarios.items() for line, to in m.items()], "scenario STRING, productLine STRING, warehouseCode STRING")
+    closed = spark.createDataFrame([(s, c) for s, (_, shut, _) in scenarios.items() for c in shut], "scenario STRING, warehouseCode STRING")
+    kept = spark.createDataFrame([(s, c, Decimal(str(x))) for s, (_, _, k) in scenarios.items() for c, x in k.items()], "scenario STRING, warehouseCode STRING, kept DECIMAL(4,2)")
+    got = reallocate_scenarios(products, warehouses, sales, moves, closed, kept).collect()
+    show = lambda r: (r.warehouse_code, r.simulated_warehouse, r.product_lines, *(None if x is None else round(float(x), 4) for x in (r.simulated_stock, r.simulated_capital, r.simulated_revenue, r.simulated_capacity_pct)))
+    for name, (move, shut, keep) in scenarios.items():
+        single = reallocate(products, warehouses, sales, move, shut, keep).collect()
+        own = [r for r in got if r.scenario == name]
+        assert sorted(map(show, own), key=repr) == sorted(map(show, single), key=repr), name
+        if not keep:
+            assert sum(r.simulated_stock for r in own) == total
+    plan = reallocate_scenarios(products, warehouses, sales, moves, closed, kept)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan
+
+
+@pytest.mark.parametrize(("line", "to", "error"), [("Cars", "q", "unknown warehouse: q"), ("Boats", "a", "more than one value for Boats in scenario s")])
+def test_moves_that_make_no_sense_fail(spark, line, to, error):
+    products, warehouses, sales, _ = tables(spark, ["a", "b", "c"])
+    moves = spark.createDataFrame([("s", "Boats", "b"), ("s", line, to)], "scenario STRING, productLine STRING, warehouseCode STRING")
+    none = spark.createDataFrame([], "scenario STRING, warehouseCode STRING, kept DECIMAL(4,2)")
+    with pytest.raises(Exception, match=error):
+        reallocate_scenarios(products, warehouses, sales, moves, none, none).collect()

@@ -63,6 +63,14 @@ def normalize_dates(
     return df.withColumns(parsed)
 
 
+def text_date_update(cols: Sequence[str], formats: Sequence[str] = (ISO, DAY_FIRST)) -> tuple[Column, dict[str, Column]]:
+    """Which rows have a text date that is not spelled yyyy-MM-dd, and each column's date in that spelling: the
+    condition and the values of an update of a stored table (``sources.versions.update``)."""
+    odd = [F.col(c).isNotNull() & ~F.col(c).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") for c in cols]
+    spelled = {c: F.date_format(F.coalesce(*[_date(c, fmt) for fmt in formats]), "yyyy-MM-dd") for c in cols}
+    return reduce(lambda a, b: a | b, odd), spelled
+
+
 def fold_text(
     df: DataFrame,
     canonical: Mapping[str, Sequence[str]] | None = None,

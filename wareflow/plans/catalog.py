@@ -16,11 +16,12 @@ from pyspark.sql.types import DateType, DecimalType, StringType
 from wareflow.functions import present, rules
 from wareflow.operators import clean, quality
 from wareflow.operators.rollups import lines_of, product_sales, with_status
-from wareflow.operators.whatif import reallocate
+from wareflow.operators.whatif import reallocate, reallocate_scenarios
 from wareflow.session import missing_settings
 from wareflow.plans import customers, delivery, inventory, stock, territory, warehouse
-from wareflow.sources import supplied
-from wareflow.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, STATUSES, TABLES
+from wareflow.sources import supplied, versions
+from wareflow.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, STATUSES, TABLES, TEXT_DATES
+from wareflow.sources.scratch import new_path
 from wareflow.sources.supplied import Supplied
 
 CLOSE_SOUTH = {"moves": {"SMALL": "a", "LARGE": "c"}, "closed": ["d"]}
@@ -47,6 +48,14 @@ def normalize_dates(t: Supplied, whole_row: bool = False) -> DataFrame:
     )
 
 
+def normalize_dates_update(t: Supplied) -> DataFrame:
+    """The same dates, as an update of a stored table of orders that rewrites only folders with such rows."""
+    base = new_path(t.spark, "orders")
+    versions.create(t.orders_with_text_dates().withColumn("batch", F.expr("orderNumber % 8")), base, "batch")
+    versions.update(t.spark, base, *clean.text_date_update(TEXT_DATES))
+    return versions.read(t.spark, base).drop("batch")
+
+
 def duplicate_keys(t: Supplied) -> DataFrame:
     return quality.duplicate_keys(
         {
@@ -105,6 +114,21 @@ def reallocate_any(t: Supplied) -> DataFrame:
     return reallocate(t.products(), t.warehouses(), sales, moves, retention={"d": 0.9})
 
 
+#: Scenario, product line, where it goes; scenario, closed warehouse; scenario, warehouse, fraction kept.
+MOVES = "('south', 'SMALL', 'a'), ('south', 'LARGE', 'c'), ('west', 'MEDIUM', 'b'), ('west reduced', 'MEDIUM', 'b'), ('swap', 'ECONOMY', 'c'), ('swap', 'MEDIUM', 'b')"
+CLOSED = "('south', 'd'), ('west', 'c'), ('west reduced', 'c')"
+RETAINED = "('west reduced', 'b', 0.81), ('west reduced', 'c', 0.81), ('swap', 'd', 0.9)"
+
+
+def reallocate_scenarios_at_once(t: Supplied) -> DataFrame:
+    """The what-ifs of this catalog as tables, in one pass over the products."""
+    sales = product_sales(lines_of(t.lines(), with_status(t.orders(), keep=["Shipped"])))
+    moves = t.spark.sql(f"SELECT * FROM VALUES {MOVES} AS m(scenario, productLine, warehouseCode)")
+    closed = t.spark.sql(f"SELECT * FROM VALUES {CLOSED} AS c(scenario, warehouseCode)")
+    retained = t.spark.sql(f"SELECT * FROM VALUES {RETAINED} AS r(scenario, warehouseCode, kept)")
+    return reallocate_scenarios(t.products(), t.warehouses(), sales, moves, closed, retained)
+
+
 def warehouse_baseline_shown(t: Supplied) -> DataFrame:
     return present.report(
         warehouse.warehouse_baseline(*goods_and_orders(t)),
@@ -127,6 +151,7 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
     # cleaning and quality
     "normalize_dates": normalize_dates,
     "normalize_dates_whole_row": lambda t: normalize_dates(t, whole_row=True),
+    "normalize_dates_update": normalize_dates_update,
     "duplicate_keys": duplicate_keys,
     "null_audit_payments": lambda t: quality.null_audit(
         t.payments(),
@@ -228,6 +253,7 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
     "product_revenue_corrected": lambda t: inventory.product_revenue(
         *goods_and_orders(t), corrected=True, ordered=False
     ),
+    "product_rank": lambda t: inventory.product_rank(*goods(t)),
     "top_bottom_products": lambda t: inventory.top_bottom_products(*goods(t)),
     "top_bottom_products_corrected": lambda t: inventory.top_bottom_products(
         *goods_and_orders(t), drop=["Cancelled"]
@@ -260,6 +286,7 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
     ),
     "whatif_close_west_reduced_shown": whatif_shown,
     "reallocate": reallocate_any,
+    "reallocate_scenarios": reallocate_scenarios_at_once,
 }
 
 

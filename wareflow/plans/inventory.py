@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from wareflow.functions.numbers import percent, ratio, rounded, sample_deviation, std_error, steady
 from wareflow.functions.present import in_order, text_or
+from wareflow.operators.ranks import dense_rank_desc
 from wareflow.operators.rollups import (
     lines_of,
     located_products,
+    product_sales,
     revenue,
     stock_by,
     with_status,
@@ -116,6 +118,23 @@ def product_revenue(
     return in_order(rows, ordered, "total_revenue", "product_code")
 
 
+def product_rank(products: DataFrame, warehouses: DataFrame, lines: DataFrame, ranges: int = 64) -> DataFrame:
+    """Every product with its warehouse, units, revenue and DENSE_RANK by revenue among all products.
+
+    Ranks are made by ranges of revenue, so any number of products is ranked without bringing them to one task.
+    """
+    sold = product_sales(lines).drop("n_lines")
+    rows = located_products(products, warehouses, "left").join(sold, "productCode", "left")
+    rows = rows.select(
+        F.col("productCode").alias("product_code"),
+        F.col("productName").alias("product_name"),
+        F.col("warehouseName").alias("warehouse_name"),
+        F.coalesce("units", F.lit(0)).alias("total_units_sold"),
+        F.coalesce("revenue", F.lit(0)).alias("total_revenue"),
+    )
+    return dense_rank_desc(rows, "total_revenue", "revenue_rank", ranges)
+
+
 def top_bottom_products(
     products: DataFrame,
     warehouses: DataFrame,

@@ -15,6 +15,13 @@ NEEDED = (
 )
 
 
+#: A filter made from the wanted orders' keys is applied to the lines where they are scanned, before
+#: they are shuffled, if the lines' scan has at least this size. Spark's own limit is ten times as much.
+RUNTIME_FILTER = "spark.sql.optimizer.runtime.bloomFilter.enabled"
+FILTERED_SCAN = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+SPARK_LIMIT, LIMIT = "10GB", "1GB"
+
+
 def missing_settings(spark: SparkSession) -> list[str]:
     """The settings the plans rely on that a session doesn't have."""
     return [key for key in NEEDED if spark.conf.get(key) != "true"]
@@ -29,6 +36,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key in NEEDED:
         if spark.conf.get(key) != "true":
             spark.conf.set(key, "true")
+    if spark.conf.get(RUNTIME_FILTER) != "true":
+        spark.conf.set(RUNTIME_FILTER, "true")
+    if spark.conf.get(FILTERED_SCAN) == SPARK_LIMIT:
+        spark.conf.set(FILTERED_SCAN, LIMIT)
     return spark
 
 
