@@ -1,46 +1,23 @@
 """Scratch tables live in the session's shared folder; ranges of rows keep to their bounds."""
 
 import glob
-from types import SimpleNamespace
 
 import pyarrow as pa
 
 from wareflow.llm import rows
-from wareflow.llm.store import KEY, Scratch, shared_folder
-
-
-class Context:
-    """A context without a folder until one is set."""
-
-    folder: str | None = None
-
-    def getCheckpointDir(self):  # noqa: N802
-        return self.folder
-
-    def setCheckpointDir(self, folder):  # noqa: N802
-        self.folder = f"{folder}/own"
-
-
-def session(conf, context):
-    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: conf.get(key, other)), sparkContext=context)
-
-
-def test_the_clusters_folder_comes_first_and_an_own_one_last():
-    context = Context()
-    assert shared_folder(session({KEY: "hdfs://x/y/"}, context)) == "hdfs://x/y" and context.folder is None
-    own = shared_folder(session({}, context))
-    assert own.startswith("file:///") and shared_folder(session({}, context)) == own
+from wareflow.llm.store import Scratch
+from wareflow.sources.scratch import shared_folder
 
 
 def test_tables_are_kept_and_dropped(spark):
     scratch = Scratch(spark)
     kept = scratch.keep(spark.range(10), "ten")
-    (path,) = scratch.paths.values()
+    ((_, path),) = scratch.kept
     assert path.startswith(shared_folder(spark)) and kept.count() == 10
     files = f"{path.removeprefix('file://')}/part-*"
     assert glob.glob(files)
     scratch.drop(kept, spark.range(1))
-    assert not glob.glob(files) and not scratch.paths
+    assert not glob.glob(files) and not scratch.kept
 
 
 def test_ranges_of_rows(monkeypatch):

@@ -1,33 +1,14 @@
 """Tables written once to the folder that driver and executors share, to cut lineage.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests, a
-temporary folder is made and set.
+The folder is the session's ``spark.checkpoint.dir`` (see ``wareflow.sources.scratch``).
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-KEY = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder."""
-    context = spark.sparkContext
-    folder = spark.conf.get(KEY, None) or context.getCheckpointDir()
-    if not folder:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wareflow-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_folder(spark)}/wareflow/{tag}-{uuid.uuid4().hex}"
+from wareflow.sources.scratch import new_path
 
 
 class Scratch:
@@ -39,24 +20,25 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.kept: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
         path = new_path(self.spark, tag)
         writer = df.write.partitionBy(partition_by) if partition_by else df.write
         writer.parquet(path)
         out = self.read(path, df.schema)
-        self.paths[id(out)] = path
+        self.kept.append((out, path))
         return out
 
     def read(self, path: str, schema: StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
-        for df in tables:
-            path = self.paths.pop(id(df), None)
-            if path:
-                delete(self.spark, path)
+        """Delete tables that ``keep`` returned; others are left alone."""
+        gone = [path for own, path in self.kept if any(own is df for df in tables)]
+        self.kept = [(own, path) for own, path in self.kept if path not in gone]
+        for path in gone:
+            delete(self.spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
