@@ -3,8 +3,13 @@
 Method: levelled sorted runs of line hashes. Each batch of documents becomes a sorted run of
 (line hash, number of documents). A new batch is merge-anti-joined with the run of lines that are
 known to be common, so these never count again, and the rest is added as a run of the first level.
-When a level holds `fanout` runs they are compacted into one of the next level; lines that reach
-the threshold there move to the common run.
+Two runs of a level are merged into one of the next level; lines that reach the threshold there enter the common
+run.
+
+Runs are bucketed tables: all have the same number of buckets by the hash, and a bucket is one file in the hash's order. So merging
+and anti-joining runs reads equal buckets side by side, without a shuffle and without a sort; only the documents'
+own line counts are shuffled, once. The number of batches follows the size of the input, up to
+MOST_BATCHES, since each batch is spread over all executors.
 
 Defined results
 * null or empty text: one empty line, whose key is empty; it stays, as an empty text.
@@ -20,22 +25,28 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareflow.llm.rows import map_texts, text_key, texts_of
-from wareflow.llm.store import Scratch
+from wareflow.llm.store import Scratch, delete, new_path
 
 #: Stripped at both ends of a line to get its key.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Common lines up to this many go to every task as two sorted arrays (16 bytes a line); more of
 #: them are joined instead.
 MOST_SENT = 1_000_000
+#: Bytes of input, as Spark estimates them, for each batch, and the most batches.
+BATCH_BYTES, MOST_BATCHES = 64 << 20, 8
+#: Lets a scan of a bucket that is one file tell its order.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_keys(text: bytes, least: int) -> tuple[list[bytes], list[bytes | None]]:
@@ -53,8 +64,8 @@ def _halves(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def line_counts(docs: DataFrame, text: str, batches: int, least: int) -> DataFrame:
-    """(batch, h1, h2, n): documents of a batch that hold the line."""
+def line_counts(docs: DataFrame, text: str, batches: int, least: int, buckets: int) -> DataFrame:
+    """(batch, h1, h2, n): documents of a batch that hold the line, dealt to buckets by the line."""
 
     def keys(part: pa.RecordBatch) -> dict:
         found: list[bytes] = []
@@ -64,66 +75,96 @@ def line_counts(docs: DataFrame, text: str, batches: int, least: int) -> DataFra
         return {"h1": pairs[:, 0], "h2": pairs[:, 1], "n": np.asarray(n, np.int64)}
 
     found = map_texts(docs.select(text), text, keys, "h1 long, h2 long, n long")
-    batch = F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch")
-    return found.select(batch, "h1", "h2", "n").groupBy("batch", "h1", "h2").agg(F.sum("n").alias("n"))
+    found = found.select(F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch"), "h1", "h2", "n")
+    return found.repartition(buckets, "h1", "h2").groupBy("batch", "h1", "h2").agg(F.sum("n").alias("n"))
+
+
+@contextmanager
+def _ordered_scans(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, plans take a bucket of one file to be in its stored order."""
+    old = spark.conf.get(ORDERED)
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ORDERED, old)
 
 
 class LineRuns:
-    """Sorted runs of line hashes in levels, and the run of common lines."""
+    """Sorted runs of line hashes in levels, and the run of common lines. Runs are h1, h2 and n."""
 
-    def __init__(self, scratch: Scratch, threshold: int, fanout: int = 4):
-        self.scratch, self.threshold, self.fanout = scratch, threshold, fanout
+    def __init__(self, spark: SparkSession, threshold: int, buckets: int):
+        self.spark, self.threshold, self.buckets = spark, threshold, buckets
         self.levels: list[list[DataFrame]] = [[]]
         self.common: DataFrame | None = None
-
-    def _sorted(self, df: DataFrame, tag: str) -> DataFrame:
-        return self.scratch.keep(df.sortWithinPartitions("h1", "h2"), tag)
+        self.tables: list[tuple[DataFrame, str, str]] = []
+
+    def store(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        """Write rows that lie in their buckets' tasks, as one sorted file for each bucket."""
+        path, name = new_path(self.spark, "run"), f"wareflow_run_{uuid.uuid4().hex}"
+        writer = df.write.partitionBy(partition_by) if partition_by else df.write
+        writer.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).format("parquet").saveAsTable(name)
+        out = self.spark.table(name)
+        self.tables.append((out, name, path))
+        return out
+
+    def drop(self, *runs: DataFrame) -> None:
+        """Drop tables that `store` returned; others, such as a batch of one, are left alone."""
+        for own, name, path in [t for t in self.tables if any(t[0] is r for r in runs)]:
+            self.spark.sql(f"DROP TABLE {name}")
+            delete(self.spark, path)
+            self.tables = [t for t in self.tables if t[1] != name]
+
+    def fresh(self, counts: DataFrame) -> DataFrame:
+        """What of a batch isn't known to be common."""
+        return counts if self.common is None else counts.join(self.common.hint("merge"), ["h1", "h2"], "left_anti")
+
+    @staticmethod
+    def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs as one, with the counts added up."""
+        both = a.hint("merge").join(b.withColumnRenamed("n", "m"), ["h1", "h2"], "full")
+        return both.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
 
     def add(self, counts: DataFrame) -> None:
-        """Add a batch: h1, h2 and the number n of its documents with that line."""
-        new = counts.select("h1", "h2", "n")
-        if self.common is not None:
-            new = new.join(self.common.hint("merge"), ["h1", "h2"], "left_anti")
-        self.levels[0].append(self._sorted(new, "run"))
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            self._compact(level)
-            level += 1
-
-    def _compact(self, level: int) -> None:
-        """Merge a level's runs into one of the next level; common lines leave the levels."""
-        runs, self.levels[level] = self.levels[level], []
-        if level + 1 == len(self.levels):
-            self.levels.append([])
-        both = self._merged(runs)
-        self.levels[level + 1].append(self._sorted(both.where(f"n < {self.threshold}"), "run"))
-        self._settle(both.where(f"n >= {self.threshold}"))
-        self.scratch.drop(both, *runs)
-
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
-        for run in runs[1:]:
-            every = every.union(run)
-        every = every.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        return self.scratch.keep(every, "merged")
-
-    def _settle(self, found: DataFrame) -> None:
-        found, old = found.select("h1", "h2"), self.common
-        self.common = self._sorted(found if old is None else found.union(old), "common")
+        """Add a batch: h1, h2 and the number n of its documents with that line, a stored run or a part of one."""
+        with _ordered_scans(self.spark):
+            new = self.fresh(counts)
+            self.levels[0].append(new if new is counts else self.store(new))
+            level = 0
+            while len(self.levels[level]) == 2:
+                pair, self.levels[level] = self.levels[level], []
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append(self._compact(*pair))
+                level += 1
+
+    def _compact(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        run = self.store(self.merged(a, b))
+        self._settle(run)
+        self.drop(a, b)
+        return run
+
+    def _settle(self, run: DataFrame) -> None:
+        found, old = run.where(f"n >= {self.threshold}"), self.common
+        self.common = self.store(found if old is None else self.merged(old, found))
         if old is not None:
-            self.scratch.drop(old)
+            self.drop(old)
 
     def common_lines(self) -> DataFrame:
         """(h1, h2) of the lines that `threshold` documents hold, over all levels."""
         runs = [run for level in self.levels for run in level]
         if not runs:
             raise ValueError("no batch was added")
-        found = self._merged(runs)
-        self._settle(found.where(f"n >= {self.threshold}"))
-        self.scratch.drop(found, *runs)
+        with _ordered_scans(self.spark):
+            last = runs[0]
+            for run in runs[1:]:
+                last = self._compact(last, run)
+            if len(runs) == 1:
+                self._settle(last)
+            self.drop(last)
         self.levels = [[]]
         assert self.common is not None
-        return self.common
+        return self.common.select("h1", "h2")
 
 
 def _in_sorted(h1: np.ndarray, h2: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -215,16 +256,21 @@ def _halves_to_keys(pairs: list[dict] | None) -> list[bytes]:
     return [x["h1"].to_bytes(8, "big", signed=True) + x["h2"].to_bytes(8, "big", signed=True) for x in pairs or []]
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, text: str = "text", threshold: int = 10, least: int = 1, batches: int = 5, fanout: int = 4, **how) -> DataFrame:
+def dedup_lines(docs: DataFrame, scratch: Scratch, text: str = "text", threshold: int = 10, least: int = 1, batches: int | None = None, **how) -> DataFrame:
     """Drop every line whose key is in `threshold` documents or more.
 
-    The documents' line counts are written once, split in `batches`; batch after batch then goes
-    through LineRuns. `how` is passed to drop_common_lines.
+    The documents' line counts are written once, split in `batches` (by default one for
+    each BATCH_BYTES of input); batch after batch then goes through LineRuns. `how` is passed to drop_common_lines.
     """
-    counts = scratch.keep(line_counts(docs, text, batches, least), "counts", partition_by="batch")
-    runs = LineRuns(scratch, threshold, fanout)
+    spark = docs.sparkSession
+    if batches is None:
+        size = int(str(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        batches = min(MOST_BATCHES, max(1, size // BATCH_BYTES))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = LineRuns(spark, threshold, buckets)
+    counts = runs.store(line_counts(docs, text, batches, least, buckets), partition_by="batch")
     for batch in range(batches):
-        runs.add(counts.where(F.col("batch") == batch))
-    common = runs.common_lines()
-    scratch.drop(counts)
-    return drop_common_lines(docs, common, text, least, **how)
+        runs.add(counts.where(F.col("batch") == batch).select("h1", "h2", "n"))
+    found = scratch.keep(runs.common_lines(), "common")
+    runs.drop(*[t[0] for t in runs.tables])
+    return drop_common_lines(docs, found, text, least, **how)
