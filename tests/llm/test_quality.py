@@ -105,7 +105,9 @@ def test_accepted_rows_keep_their_columns(spark, documents, scratch):
     rows, known = corpus(200, 6)
     docs = documents(rows)
     model = quality.fit(quality.statistics(docs), labels(spark, known), scratch)
-    kept = quality.accepted(docs, model)
+    measured, name = quality.with_features(docs)
+    assert name == "features_"  # the table has a column of that name
+    kept = quality.accepted(measured, model, name)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.scored(quality.statistics(docs), model).collect() if r.predicted}
 

@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from wareflow.llm.rows import map_texts, pieces, texts_of
 from wareflow.llm.store import Scratch
@@ -199,6 +201,23 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(docs.select("doc_id", text), text, measure, f"doc_id {kind}, features array<double>")
 
 
+def with_features(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """The rows of docs with all their columns and one of features, and that column's name, which no other has."""
+    name = "features"
+    while name in docs.columns:
+        name += "_"
+    kind = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])
+    arrow = to_arrow_schema(kind)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text):
+                found = pa.array(list(features(texts_of(part.column(text)))), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns, arrow)), found.cast(arrow[-1].type)], schema=arrow)
+
+    return docs.mapInArrow(measure, kind), name
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
 
@@ -269,14 +288,13 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "
     return scored(measured, fit(measured, labels, scratch), least)
 
 
-def accepted(docs: DataFrame, model: Discriminant, text: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores `least` or more."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def accepted(measured: DataFrame, model: Discriminant, name: str, least: float = 0.3) -> DataFrame:
+    """The rows of a table from with_features, without its column `name` of features, that score `least` or more."""
+    sent = measured.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text):
-                scores = sent.value.scores(features(texts_of(part.column(text))))
-                yield part.filter(pa.array(scores >= least))
+            scores = sent.value.scores(_matrix(batch.column(name)))
+            yield batch.drop_columns([name]).filter(pa.array(scores >= least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return measured.mapInArrow(keep, StructType([f for f in measured.schema.fields if f.name != name]))
