@@ -17,12 +17,12 @@ from wareflow.llm.store import Scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Each text is measured once, and travels with its figures."""
     scratch = Scratch(spark)
-    measured = scratch.keep(quality.statistics(docs), "statistics")
-    model = quality.fit(measured, table(spark, sf_dir, "labels"), scratch)
-    scratch.drop(measured)
-    return quality.accepted(docs, model, least=0.3)
+    found, name = quality.with_features(docs)
+    measured = scratch.keep(found, "statistics")
+    model = quality.fit(measured.select("doc_id", measured[name].alias("features")), table(spark, sf_dir, "labels"), scratch)
+    return quality.accepted(measured, model, name, least=0.3)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
