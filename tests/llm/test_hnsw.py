@@ -76,10 +76,20 @@ def test_empty_table(spark, scratch):
     assert hnsw.nearest(table(spark, []), F.col("vec_id") % 2 == 0, scratch).count() == 0
 
 
-def test_blocks_of_queries(spark):
+def test_blocks_of_queries(spark, scratch):
     vectors = clustered(300, 6, 4)
     rows = hnsw.usable(table(spark, [(i, v.tolist()) for i, v in enumerate(vectors)]), "embedding", "vec_id")
-    index = hnsw.build_index(rows, shard_rows=100)
-    one = hnsw.search(index, rows.where("vec_id < 40"), k=4)
-    many = hnsw.search(index, rows.where("vec_id < 40"), k=4, block=7)
+    index = scratch.keep(hnsw.build_index(rows, shard_rows=100), "index")
+    one = hnsw.search(index, rows.where("vec_id < 40"), scratch, k=4)
+    many = hnsw.search(index, rows.where("vec_id < 40"), scratch, k=4, block_bytes=400)
     assert sorted(one.collect()) == sorted(many.collect()) and one.count() == 160
+
+
+def test_index_rows_are_neither_copied_nor_shuffled(spark, scratch):
+    vectors = clustered(200, 6, 5)
+    rows = hnsw.usable(table(spark, [(i, v.tolist()) for i, v in enumerate(vectors)]), "embedding", "vec_id")
+    index = scratch.keep(hnsw.build_index(rows, shard_rows=50), "index")
+    found = hnsw.searched(index, rows.where("vec_id < 9").toPandas(), 3, 64)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("Exchange", "Generate", "Join"))
+    assert found.groupBy("query_id").count().where(f"count > 3 * {found.rdd.getNumPartitions()}").count() == 0

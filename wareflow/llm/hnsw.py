@@ -9,7 +9,8 @@ found there; shard results are merged. All rows are indexed; nothing is fitted o
 Vectors are inserted, and queries searched, in batches that move in step as arrays. Equal vectors of a
 shard are one node with a list of members, so copies don't fill up neighbour lists.
 
-Queries go to the shards in blocks, each block to every shard.
+Index rows stay where they are stored. Queries come in blocks of bounded size; a block is sent to every task, which
+goes through its index rows and keeps each query's best so far, so only these are shuffled to be merged.
 
 Defined results
 * A vector that is null, empty, zero, or has a null or non-finite component takes no part. Nor does
@@ -22,15 +23,19 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wareflow.llm.store import Scratch
 
-#: Vectors of a shard, queries of a block, and vectors inserted or queries searched in step.
-SHARD_ROWS, BLOCK_QUERIES, STEP = 8_192, 4_096, 256
+#: Vectors of a shard, bytes of a block of queries, and vectors inserted or queries searched in step.
+SHARD_ROWS, BLOCK_BYTES, STEP = 8_192, 32 << 20, 256
 
 
 class Graph:
@@ -291,17 +296,44 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS, m: int = 16, ef:
     return dealt.groupBy("dim", "shard").applyInPandas(lambda part: _build(part, m, ef), INDEX)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = 128, block: int = BLOCK_QUERIES) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k nearest found. queries: vec_id, vector, dim."""
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Each query's k best rows; a vec_id counts once."""
+    found = found.sort_values(["query_id", "score", "vec_id"]).drop_duplicates(["query_id", "vec_id"])
+    return found.groupby("query_id", sort=False).head(k)
+
+
+def searched(index: DataFrame, queries: pd.DataFrame, k: int, ef: int) -> DataFrame:
+    """query_id, vec_id and score of the best of each query in what a task has of the index. queries: a block of them."""
+    sent = index.sparkSession.sparkContext.broadcast(dict(tuple(queries.groupby("dim"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pandas()
+                own = sent.value.get(int(row["dim"].iloc[0]))
+                if own is not None:
+                    best = _best(pd.concat([best, _search(own, row, k, ef)], ignore_index=True), k)
+        yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+
+    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def search(index: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 10, ef: int = 128, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """query_id, rank, vec_id and score of each query's k nearest found. queries: vec_id, vector, dim.
+
+    index: a written one, as each block of queries reads it.
+    """
     queries = queries.groupBy("vec_id", "dim").agg(F.min("vector").alias("vector"))
     queries = queries.groupBy("vec_id").agg(F.min(F.struct("dim", "vector")).alias("q")).select("vec_id", "q.dim", "q.vector")
-    blocks = max(1, -(-queries.count() // block))
-    shards = index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
-    sent = queries.join(shards, "dim").select("dim", F.explode("shards").alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), "vec_id", "vector")
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    key = ("dim", "shard", "block")
-    found = sent.groupBy(*key).cogroup(graphs.groupBy(*key)).applyInPandas(lambda q, i: _search(q, i, k, ef), "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    queries = scratch.keep(queries, "queries")
+    size = queries.agg(F.sum(F.col("dim") * 8 + 8)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    found = []
+    for block in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toPandas()  # about block_bytes
+        found.append(scratch.keep(searched(index, own, k, ef), "found"))
+    merged = reduce(DataFrame.union, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -310,4 +342,4 @@ def nearest(embeddings: DataFrame, is_query: Column, scratch: Scratch, k: int =
     """The k nearest rows of each row that `is_query` selects, by Euclidean distance."""
     rows = usable(embeddings, vector, key)
     index = scratch.keep(build_index(rows, **how), "index")
-    return search(index, usable(embeddings.where(is_query), vector, key), k)
+    return search(index, usable(embeddings.where(is_query), vector, key), scratch, k)
