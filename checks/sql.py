@@ -145,6 +145,9 @@ ORACLE["normalize_dates_whole_row"] = _q('{pre} SELECT k AS "orderNumber", {cols
     f'CASE WHEN {" OR ".join(_OFF_ISO.format(x) for x, _ in _DATE_COLUMNS)} THEN {_date(c, _DMY)} ELSE {_date(c, _ISO)} END AS "{name}"'
     for c, name in _DATE_COLUMNS))
 ORACLE["normalize_dates_update"] = ORACLE["normalize_dates"]
+_NO_DATE = "NOT regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}} ?')"
+ORACLE["ingest_reasons"] = _q("{pre} SELECT * FROM ({rows}) AS r WHERE n_rows > 0", pre=_TEXT_DATES, rows=" UNION ALL ".join(
+    f"SELECT '{name} is not date' AS reason, count(*) AS n_rows FROM txt WHERE {c} IS NOT NULL AND {_NO_DATE.format(c)}" for c, name in _DATE_COLUMNS))
 ORACLE["duplicate_keys"] = _q("""
 , keyed AS (
   SELECT 'Product Code' AS t, CAST(code AS VARCHAR) AS k FROM prod
@@ -402,6 +405,13 @@ SELECT code AS product_code, name AS product_name, wname AS warehouse_name, CAST
 FROM spot LEFT JOIN s ON pcode = code""")
 
 
+ORACLE["monthly_sales"] = _q("""
+SELECT pcode AS "productCode", strftime(placed, '%Y-%m') AS month, count(*) AS n_lines, CAST(sum(qty) AS BIGINT) AS units,
+       CAST(sum(rev) AS DOUBLE) AS revenue, CAST(min(price) AS DOUBLE) AS price_low, CAST(max(price) AS DOUBLE) AS price_high,
+       {mean} AS price_mean, {dev} AS price_deviation
+FROM lin JOIN ord ON no = ono GROUP BY ALL""", mean=_quot("sum(price)", "count(*)"), dev=_r("stddev_samp(CAST(price AS DOUBLE))"))
+
+
 def _top_bottom(lines: str) -> str:
     return _q("""
 , s AS (

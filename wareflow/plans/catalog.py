@@ -11,15 +11,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType, StringType
+from pyspark.sql.types import DateType, DecimalType, StringType, StructType
 
 from wareflow.functions import present, rules
+from wareflow.functions.numbers import ratio, rounded, sample_deviation, steady
 from wareflow.operators import clean, quality
 from wareflow.operators.rollups import lines_of, product_sales, with_status
 from wareflow.operators.whatif import reallocate, reallocate_scenarios
 from wareflow.session import missing_settings
 from wareflow.plans import customers, delivery, inventory, stock, territory, warehouse
-from wareflow.sources import supplied, versions
+from wareflow.sources import ingest, rollups, supplied, versions
 from wareflow.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, STATUSES, TABLES, TEXT_DATES
 from wareflow.sources.scratch import new_path
 from wareflow.sources.supplied import Supplied
@@ -56,6 +57,27 @@ def normalize_dates_update(t: Supplied) -> DataFrame:
     return versions.read(t.spark, base).drop("batch")
 
 
+def ingest_reasons(t: Supplied) -> DataFrame:
+    """Orders exported as text with the dates that people typed, and read back with declared types: what doesn't fit, by reason."""
+    path = new_path(t.spark, "export")
+    t.orders_with_text_dates().write.option("header", True).option("nullValue", "NULL").csv(path)
+    schema = StructType.fromDDL("orderNumber BIGINT, orderDate DATE, requiredDate DATE, shippedDate DATE")
+    checked, _ = ingest.read_csv_checked(t.spark, path, schema, PRIMARY_KEYS["orders"])
+    return ingest.by_reason(checked)
+
+
+def monthly_sales(t: Supplied) -> DataFrame:
+    """Sales by product and month, from a stored roll-up to which the lines came in three batches."""
+    base = new_path(t.spark, "sales")
+    for batch in range(3):
+        part = t.lines().where(F.expr(f"pmod(orderNumber, 3) = {batch}"))
+        rollups.append(rollups.summary(part, t.orders()), base, str(batch))
+    found = rollups.merged(t.spark, base, ["productCode", "month"])
+    mean = rounded(ratio(F.col("price_sum"), F.col("n_lines")), 2)
+    deviation = rounded(steady(sample_deviation(F.col("n_lines"), F.col("price_sum"), F.col("price_squares"))), 2)
+    return found.select("productCode", "month", "n_lines", "units", "revenue", "price_low", "price_high", mean.alias("price_mean"), deviation.alias("price_deviation"))
+
+
 def duplicate_keys(t: Supplied) -> DataFrame:
     return quality.duplicate_keys(
         {
@@ -152,6 +174,7 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
     "normalize_dates": normalize_dates,
     "normalize_dates_whole_row": lambda t: normalize_dates(t, whole_row=True),
     "normalize_dates_update": normalize_dates_update,
+    "ingest_reasons": ingest_reasons,
     "duplicate_keys": duplicate_keys,
     "null_audit_payments": lambda t: quality.null_audit(
         t.payments(),
@@ -253,6 +276,7 @@ REPORTS: dict[str, Callable[[Supplied], DataFrame]] = {
     "product_revenue_corrected": lambda t: inventory.product_revenue(
         *goods_and_orders(t), corrected=True, ordered=False
     ),
+    "monthly_sales": monthly_sales,
     "product_rank": lambda t: inventory.product_rank(*goods(t)),
     "top_bottom_products": lambda t: inventory.top_bottom_products(*goods(t)),
     "top_bottom_products_corrected": lambda t: inventory.top_bottom_products(

@@ -23,6 +23,21 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
 
 
+def write_lines_by_month(lines: DataFrame, orders: DataFrame, path: str) -> None:
+    """Store order lines in a folder for each month of order, so that reports on some orders skip the other months.
+
+    Join them with ``orders_with_month`` on both its columns: a filter on the orders then prunes the
+    lines' folders when the query runs (dynamic partition pruning). Lines without an order are in the folder of no month.
+    """
+    dated = lines.join(orders_with_month(orders).select("orderNumber", "order_month"), "orderNumber", "left")
+    write_table(dated, path, ("order_month",))
+
+
+def orders_with_month(orders: DataFrame) -> DataFrame:
+    """Orders with the month that stored lines are partitioned by."""
+    return orders.withColumn("order_month", F.date_format("orderDate", "yyyy-MM"))
+
+
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     """Store a table hashed and sorted on a join key.
 
