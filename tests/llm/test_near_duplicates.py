@@ -144,7 +144,7 @@ def templated(n, seed=6, shared=46, own=60):
 
 def test_texts_of_one_template_are_not_compared_with_each_other(documents, scratch, monkeypatch):
     """A chain of some hundred texts with a similarity of 0.27 is cut to the pairs that are alike."""
-    monkeypatch.setattr(nd, "BLOCK_CLASSES", 50)
+    monkeypatch.setattr(nd, "BLOCK_CLASSES", 30)
     seen = []
     cut = nd.without_chains
     monkeypatch.setattr(nd, "without_chains", lambda *a: seen.append((a[4], cut(*a))) or seen[-1][1])

@@ -12,8 +12,8 @@ defaults 1.7e-6 at 0.8 and less above.
    so a class without relatives costs 2*side narrow rows and not side^2.
 3. In each table bucket every class is linked to the least one: a star, never all pairs. The
    components of these stars are candidate groups; whatever met in a table is in one group.
-4. Texts that share a template chain to groups that are much larger than what is alike in them. A group of more
-   than a block is therefore cut by an exact condition first: two sets with the wanted similarity share one of
+4. Texts that share a template chain to groups that are much larger than what is alike in them. A group of CHAIN
+   blocks or more is therefore cut by an exact condition first: two sets with the wanted similarity share one of
    the shingles that are rarest in the group, among as many of each set as the similarity allows to differ, and one.
    Texts that have a fifth of their own beside the template then meet nobody, so work
    follows what may be alike and not the size of the chain.
@@ -51,8 +51,8 @@ from wareflow.llm.words import U, mix, shingle_sets
 
 #: Texts of groups go to every task's filter up to so many classes; more are joined.
 MOST_SENT = 200_000
-#: Shingles and classes of a block.
-BLOCK_SHINGLES, BLOCK_CLASSES = 500_000, 2_000
+#: Shingles and classes of a block, and blocks of a group from which on it is cut before it is compared.
+BLOCK_SHINGLES, BLOCK_CLASSES, CHAIN = 500_000, 2_000, 5
 
 
 def minhash_keys(sets: list[np.ndarray], side: int, width: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -181,17 +181,19 @@ def _member_texts(docs: DataFrame, text: str, placed: DataFrame, few: bool) -> D
 
 
 def without_chains(docs: DataFrame, text: str, shingle: int, percent: int, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """members with groups of more than a block cut to the parts that can have links at all.
+    """members with groups of CHAIN blocks or more cut to the parts that can have links at all.
 
     A set of n shingles that is linked to another has at least percent * n / 100 of them in common with it. So at
     most n less that many are not common, and of one more than those, the rarest in the group by one order, some is in both
     sets' rarest ones. Classes that share none of theirs with anyone leave.
     """
     size = members.groupBy("group").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n"))
-    large = scratch.keep(size.where(_blocks_of("s", "n") > 1).select("group", "n"), "large")
-    n = large.agg(F.sum("n")).first()[0]
+    large = scratch.keep(size.where(_blocks_of("s", "n") >= CHAIN).select("group", "n"), "large")
+    n, groups = large.agg(F.sum("n"), F.count("*")).first()
     if not n:
         return members
+    if groups <= MOST_SENT:
+        large = F.broadcast(large)
     chained = members.join(large.select("group"), "group", "left_semi")
     placed = chained.select("id", "group", F.col("row.doc_id").alias("id_"), F.col("row.row_").alias("key_"))
 
@@ -217,7 +219,7 @@ def without_chains(docs: DataFrame, text: str, shingle: int, percent: int, membe
     return members.join(large.select("group"), "group", "left_anti").select("id", "n_shingles", "row", "group").union(cut_up)
 
 
-def verified_links(docs: DataFrame, text: str, shingle: int, percent: int, members: DataFrame) -> DataFrame:
+def verified_links(docs: DataFrame, text: str, shingle: int, percent: int, members: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): a spanning forest of the true links in each candidate group.
 
     members: id, n_shingles and group of the classes in a group, with `row` = (doc_id, row_) of
@@ -227,11 +229,16 @@ def verified_links(docs: DataFrame, text: str, shingle: int, percent: int, membe
     size = members.groupBy("group").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n"))
     total = size.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     bins = 1 + (total.s or 0) // BLOCK_SHINGLES + (total.n or 0) // BLOCK_CLASSES
-    placed = members.join(size.select("group", _blocks_of("s", "n").alias("blocks")), "group").select(
+    # Few groups have more than a block; what goes to every task is counted first.
+    several = scratch.keep(size.select("group", _blocks_of("s", "n").alias("blocks")).where("blocks > 1"), "several")
+    if several.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        several = F.broadcast(several)
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    placed = members.join(several, "group", "left").select(
         "id",
         "group",
-        "blocks",
-        F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"),
+        blocks.alias("blocks"),
+        F.pmod(F.xxhash64("id"), blocks).alias("block"),
         F.col("row.doc_id").alias("id_"),
         F.col("row.row_").alias("key_"),
     )
@@ -284,7 +291,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", shing
     groups = groups.union(groups.select("b", "b").distinct()).toDF("id", "group")
     members = scratch.keep(classes.select("id", "n_shingles", "row").join(groups, "id"), "members")
     members = scratch.keep(without_chains(docs, text, shingle, percent, members, scratch), "parts")
-    linked = components(verified_links(docs, text, shingle, percent, members), scratch)
+    linked = components(verified_links(docs, text, shingle, percent, members, scratch), scratch)
     named = classes.select("id", "digest", "row", "copies").join(linked.toDF("id", "root"), "id", "left")
     named = named.withColumn("root", F.coalesce("root", "id"))
     first = named.groupBy("root").agg(F.min("row").alias("first"), F.sum("copies").alias("rows"))
