@@ -1,10 +1,13 @@
 """Packing: ids by the tokenizer, every id once, little padding."""
 
+import json
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
@@ -33,6 +36,20 @@ def test_words_give_the_ids_of_the_text(tokenizer):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(tokenizer, t)[:-1] for t in TEXTS]
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A tokenizer that keeps case and lets blanks into tokens, and one with another token of its own."""
+    texts = ["Hello  World", "it's \n\n two  Blanks ", "", "é É ﬁ", "mask [MASK] it"]
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    changed = json.loads(Path(VOCABULARY).read_text())
+    changed["added_tokens"].append(changed["added_tokens"][0] | {"id": 49408, "content": "[MASK]"})
+    (tmp_path / "masked.json").write_text(json.dumps(changed))
+    for path, by_words in ((other, False), (str(tmp_path / "masked.json"), False), (VOCABULARY, True)):
+        made, whole = WordEncoder(path), Tokenizer.from_file(path)
+        assert made.by_words == by_words
+        for text, ids in zip(texts, made.encode([t.encode() for t in texts])):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(5)
     for window in (1, 7, 64, 4096):

@@ -19,6 +19,7 @@ Defined results
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -42,6 +43,17 @@ WINDOWS, MOST_PIECES = 200, 262_144
 #: Stands between words; no id has these bytes.
 LINE = b"\xff\xff\xff\xff"
 
+# The normaliser and pre-tokenizer that WordEncoder's shortcuts are made for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -59,6 +71,8 @@ class WordEncoder:
     characters needs no normaliser beyond lower-casing: it is cut by the tokenizer's own pattern, and
     its parts go to the tokenizer's model together with many others. All other words, and texts with
     what may be a special token, go through the whole tokenizer.
+
+    The file tells whether its tokenizer is such a one; with any other, whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -66,6 +80,9 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        said = json.loads(self.tokenizer.to_str())
+        same = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER and said["model"]["type"] == "BPE"
+        self.by_words = same and all("<|" in token["content"] for token in said["added_tokens"])
         self.model = Tokenizer(self.tokenizer.model)
         split, levels = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.model.pre_tokenizer = pre_tokenizers.Sequence([split, levels])
@@ -150,6 +167,8 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts."""
+        if not self.by_words:
+            return [self._whole(t.decode("utf-8", "replace")) for t in texts]
         out: list[bytes] = []
         for begin, end in chunks(texts):
             own = texts[begin:end]
