@@ -3,6 +3,7 @@
 import glob
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from wareflow.llm import rows
 from wareflow.llm.store import Scratch
@@ -39,3 +40,18 @@ def test_rows_are_dropped_by_id_and_text(spark, documents, monkeypatch):
         left = rows.without_rows(docs, gone)
         assert left.columns == docs.columns
         assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, "b"), (2, "")]
+
+
+def test_the_least_of_rows_that_differ_in_other_columns_stays(spark, documents, monkeypatch):
+    docs = documents([(1, "a")] * 3 + [(2, "b"), (2, "b"), (None, None), (None, None), (3, "c")], 4)
+    docs = docs.withColumns({"lang": F.expr("concat('l', rand(3))"), "a.b": F.lit(1), "n_chars": F.lit(None).cast("long")})
+    docs = Scratch(spark).keep(docs, "docs")
+    wanted = docs.where("doc_id IS NULL OR doc_id < 3").withColumn("row_", rows.text_key(docs["text"]))
+    least = {(r.doc_id, r.text): r.m for r in docs.groupBy("doc_id", "text").agg(F.min("lang").alias("m")).collect()}
+    del least[3, "c"]
+    for most_sent in (10, 0):
+        monkeypatch.setattr(rows, "MOST_SENT", most_sent)
+        for n in (1, 5):
+            got = rows.rows_once(docs.repartition(n), wanted)
+            assert got.dtypes == docs.dtypes
+            assert {(r.doc_id, r.text): r.lang for r in got.collect()} == least and got.count() == 3

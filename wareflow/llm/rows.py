@@ -77,7 +77,13 @@ def without_rows(docs: DataFrame, gone: DataFrame, text: str = "text") -> DataFr
 def rows_once(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
     """One row, with all its columns, of each id and text of docs whose keys are in `wanted`.
 
-    wanted: as `gone` of without_rows. Rows that differ in other columns only count as repeats; any
-    one of them stays. A task sends at most one row of an id and text.
+    wanted: as `gone` of without_rows. Rows that differ in other columns only count as repeats; the one
+    whose other columns are least, written as JSON, stays. A task sends at most one row of an id and text.
     """
-    return _meeting(docs, wanted, text, "left_semi").dropDuplicates(["doc_id", text])
+    found = _meeting(docs, wanted, text, "left_semi")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", text)]
+    if not others:
+        return found.dropDuplicates(["doc_id", text])
+    least = F.min_by(F.struct(*others), F.to_json(F.struct(*others), {"ignoreNullFields": "false"}))
+    found = found.groupBy("doc_id", text).agg(least.alias("others_"))
+    return found.select(*(F.col(c if c in ("doc_id", text) else f"others_.`{c}`").alias(c) for c in docs.columns))
