@@ -77,12 +77,13 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        said = json.loads(self.tokenizer.to_str())
-        same = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER and said["model"]["type"] == "BPE"
-        self.by_words = same and all("<|" in token["content"] for token in said["added_tokens"])
+        parts = (self.tokenizer.normalizer, NORMALIZER), (self.tokenizer.pre_tokenizer, PRE_TOKENIZER)
+        same = all(part is not None and json.loads(part.__getstate__()) == wanted for part, wanted in parts)
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        self.by_words = same and isinstance(self.tokenizer.model, models.BPE) and all("<|" in token.content for token in tokens)
         self.model = Tokenizer(self.tokenizer.model)
         split, levels = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.model.pre_tokenizer = pre_tokenizers.Sequence([split, levels])
