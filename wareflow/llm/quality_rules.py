@@ -255,7 +255,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: st
     return scratch.keep(found.select("label", "fold", "slots", "values"), "training")
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "text", label: str = "quality", most_ids: int = 12_000, most_rows: int = 16_000, part_rows: int = 2_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "text", label: str = "quality", most_ids: int = 12_000, most_rows: int = 16_000, part_rows: int = 1_000) -> Model:
     """A model of the labelled rows of docs; most_ids and most_rows bound the sample that trains."""
     training = training_rows(docs, labels, scratch, text, label, most_ids, most_rows)
     sizes = {(bool(r["link"]), r["label"]): r["n"] for r in training.groupBy((F.col("fold") == 0).alias("link"), "label").agg(F.count("*").alias("n")).collect()}
