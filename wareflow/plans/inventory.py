@@ -11,6 +11,7 @@ from wareflow.functions.numbers import percent, ratio, rounded, sample_deviation
 from wareflow.functions.present import in_order, text_or
 from wareflow.operators.ranks import dense_rank_desc
 from wareflow.operators.rollups import (
+    first_of_order,
     lines_of,
     located_products,
     product_sales,
@@ -95,9 +96,9 @@ def product_revenue(
     """
     if corrected:
         lines = lines_of(lines, with_status(orders, drop=drop))
-    sold = lines.groupBy("productCode").agg(
+    sold = lines.withColumn("first", first_of_order()).groupBy("productCode").agg(
         F.sum("quantityOrdered").alias("units"),
-        F.count_distinct("orderNumber").alias("n_orders"),
+        F.count_if("first").alias("n_orders"),
         F.sum(revenue()).alias("revenue"),
     )
     per_unit = rounded(ratio(F.col("revenue"), F.col("units")), 2)

@@ -21,6 +21,12 @@ RUNTIME_FILTER = "spark.sql.optimizer.runtime.bloomFilter.enabled"
 FILTERED_SCAN = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 SPARK_LIMIT, LIMIT = "10GB", "1GB"
 
+#: A task after a shuffle sorts and hashes what it reads, in about twenty times the memory. Shuffles start with
+#: this many partitions at least and adaptive execution merges them up to this size, so a task's share
+#: doesn't grow with the input until a shuffle has more than both allow, 3.2 GB.
+FIRST_PARTITIONS, LEAST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "200"
+TASK_READ, TASK_SHARE = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "16MB"
+
 
 def missing_settings(spark: SparkSession) -> list[str]:
     """The settings the plans rely on that a session doesn't have."""
@@ -31,7 +37,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """The adaptive settings the plans rely on, for any session.
 
     A key that holds a large part of the rows is split at run time, also where the next
-    step could have used the join's partitioning and needs one more shuffle for it.
+    step could have used the join's partitioning and needs one more shuffle for it. Sizes and numbers of
+    partitions that the session sets itself stay as they are.
     """
     for key in NEEDED:
         if spark.conf.get(key) != "true":
@@ -40,6 +47,13 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.conf.set(RUNTIME_FILTER, "true")
     if spark.conf.get(FILTERED_SCAN) == SPARK_LIMIT:
         spark.conf.set(FILTERED_SCAN, LIMIT)
+    if spark.conf.get(TASK_READ, None) is None:
+        spark.conf.set(TASK_READ, TASK_SHARE)
+    if spark.conf.get(FIRST_PARTITIONS, None) in (None, LEAST_PARTITIONS):
+        if int(spark.conf.get("spark.sql.shuffle.partitions")) < int(LEAST_PARTITIONS):
+            spark.conf.set(FIRST_PARTITIONS, LEAST_PARTITIONS)
+        else:  # the shuffles have as many by themselves
+            spark.conf.unset(FIRST_PARTITIONS)
     return spark
 
 
